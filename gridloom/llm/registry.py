@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, quality_rules, token_shards
+from . import chat_format, pieces, quality_rules, token_shards
 
 QUERIES = {
     "op2_chat_format": chat_format.query,
     "op4_token_shards": token_shards.query,
     "op7_quality_rules": quality_rules.query,
+    "op9_sentencepiece": pieces.query,
 }
 
 ORACLE_SQL = {
