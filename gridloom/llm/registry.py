@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_gru, chat_format, line_crf, pieces, quality_rules, token_shards
+from . import byte_gru, chat_format, cover_tree, line_crf, pieces, quality_rules, token_shards
 
 QUERIES = {
     "op1_line_crf": line_crf.query,
@@ -10,10 +10,12 @@ QUERIES = {
     "op4_token_shards": token_shards.query,
     "op6_byte_gru": byte_gru.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_cover_tree": cover_tree.query,
     "op9_sentencepiece": pieces.query,
 }
 
 ORACLE_SQL = {
     "op2_chat_format": chat_format.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op8_cover_tree": cover_tree.SQL,
 }
