@@ -23,7 +23,7 @@ from .shared import sample_by_hash
 TRAIN_ROWS, TRAIN_LINES = 2500, 400
 ROUNDS, RATE, L2 = 150, 0.15, 1e-3
 KEEP = 0.7
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 
 #: Classes of bytes: 0 other, 1 blank, 2 lower, 3 upper, 4 digit, 5 stop or comma, 6 shout, 7 pipe, 8 symbol, 9 beyond ASCII.
 _CLASS = np.zeros(256, np.uint8)
