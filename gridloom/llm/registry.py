@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_gru, chat_format, cover_tree, line_crf, pieces, quality_rules, token_shards
+from . import byte_gru, chat_format, cover_tree, line_crf, packing, pieces, quality_rules, token_shards
 
 QUERIES = {
     "op1_line_crf": line_crf.query,
     "op2_chat_format": chat_format.query,
+    "op3_cutting_stock": packing.query,
     "op4_token_shards": token_shards.query,
     "op6_byte_gru": byte_gru.query,
     "op7_quality_rules": quality_rules.query,
