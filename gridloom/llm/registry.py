@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_gru, chat_format, cover_tree, line_crf, packing, pieces, quality_rules, token_shards
+from . import byte_gru, chat_format, chunk_dedup, cover_tree, line_crf, packing, pieces, quality_rules, token_shards
 
 QUERIES = {
     "op1_line_crf": line_crf.query,
+    "op10_chunk_dedup": chunk_dedup.query,
     "op2_chat_format": chat_format.query,
     "op3_cutting_stock": packing.query,
     "op4_token_shards": token_shards.query,
