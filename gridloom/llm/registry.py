@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_gru, chat_format, chunk_dedup, cover_tree, line_crf, packing, pieces, quality_rules, token_shards
+from . import byte_gru, chat_format, chunk_dedup, cover_tree, jaccard_join, line_crf, packing, pieces, quality_rules, token_shards
 
 QUERIES = {
     "op1_line_crf": line_crf.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_chat_format": chat_format.query,
     "op3_cutting_stock": packing.query,
     "op4_token_shards": token_shards.query,
+    "op5_jaccard_join": jaccard_join.query,
     "op6_byte_gru": byte_gru.query,
     "op7_quality_rules": quality_rules.query,
     "op8_cover_tree": cover_tree.query,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_chat_format": chat_format.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op7_quality_rules": quality_rules.SQL,
     "op8_cover_tree": cover_tree.SQL,
 }
