@@ -83,6 +83,11 @@ def _greedy(lengths: np.ndarray, need: np.ndarray, size: int) -> tuple[np.ndarra
     return basis, x
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Product without BLAS, whose threads cost more than they save at this size."""
+    return (matrix * vector).sum(1)
+
+
 def solve(demand: dict[int, int], size: int = LENGTH) -> list[tuple[np.ndarray, float]]:
     """Patterns (count by length) and how often the linear program uses each.
 
@@ -96,7 +101,7 @@ def solve(demand: dict[int, int], size: int = LENGTH) -> list[tuple[np.ndarray,
     place = {int(n): i for i, n in enumerate(lengths)}
     basis, x = _greedy(lengths, need, size)
     inverse = np.linalg.inv(basis)
-    x = np.maximum(inverse @ need, 0)
+    x = np.maximum(_times(inverse, need), 0)
     pivots, blend, bound = 0, 0.9, need @ lengths / size
     for _ in range(STEPS):
         dual = np.maximum(inverse.sum(0), 0)
@@ -111,7 +116,7 @@ def solve(demand: dict[int, int], size: int = LENGTH) -> list[tuple[np.ndarray,
             column = _trace(last, size, place, int(lengths[i]))
             if inverse.sum(0) @ column <= 1 + 1e-9:
                 continue
-            move = inverse @ column
+            move = _times(inverse, column)
             up = move > 1e-9
             if not up.any():
                 continue
@@ -122,7 +127,7 @@ def solve(demand: dict[int, int], size: int = LENGTH) -> list[tuple[np.ndarray,
             pivots += 1
             if pivots % 200 == 0:
                 inverse = np.linalg.inv(basis)
-                x = np.maximum(inverse @ need, 0)
+                x = np.maximum(_times(inverse, need), 0)
                 continue
             amount = ratio[out]
             x = np.maximum(x - amount * move, 0)

@@ -9,6 +9,7 @@ document is kept if no rule rejects it.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,7 +115,11 @@ def apply_rules(documents: DataFrame, order: list[str] | None = None, text: str
     order = order if order is not None else order_rules(documents, text)
     given = rules(text)
     rest = [n for n in order if n not in ("few_words", "repeated_words")]
-    out = with_statistics(documents, text).drop("_words").withColumn("base_failed", base_failed())
+    counted = with_statistics(documents, text).drop("_words")
+    # observing the rows keeps a later filter from being pushed below: there it would take
+    # the statistics' expressions with it and cut the text into words again for every word
+    counted = counted.observe(f"rules-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("documents"))
+    out = counted.withColumn("base_failed", base_failed())
     first = F.when(F.col("base_failed"), F.when(given["few_words"], "few_words").otherwise("repeated_words"))
     for name in rest:
         first = first.when(given[name], name)
