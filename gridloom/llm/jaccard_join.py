@@ -307,7 +307,7 @@ def similar_groups(documents: DataFrame, words: int = WORDS, over: int = OVER, u
     pairs = settle(pairs.distinct(), "regions")
     members = pairs.union(pairs.select(F.col("pivot").alias("node"), "pivot")).distinct()
 
-    wanted = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles")).alias("r")).select("node", F.col("r.doc_id").alias("doc_id"))
+    wanted = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members.select("node").distinct(), "node", "left_semi")
 
     def fetch(batches):
         for batch in batches:
