@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .shared import settle
 
 #: A chunk ends after one word in EVERY by hash, and after MOST words in any case.
-EVERY, MOST = 6, 64
+EVERY, MOST = 4, 64
 #: Words of neighbouring duplicates that are cut out, at least.
 RUN_WORDS = 20
 #: Words longer than this also end where the hash says so, one byte in EVERY_BYTE.
