@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import sample_by_hash
+from .shared import sample_by_hash, tidy
 from .words import SLICE_BYTES
 
 #: Size of the network, longest run of bytes without a new state, words that a worker remembers.
-HIDDEN, SPAN, CACHE_WORDS = 16, 48, 1_500_000
+HIDDEN, SPAN, CACHE_WORDS = 16, 48, 1_000_000
 #: Bounds of the training: documents, about, of at most so many characters, words, passes, words in a step.
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_WORDS, PASSES, BATCH, RATE = 1200, 20_000, 24_000, 4, 256, 0.01
 UNKNOWN = "und"
@@ -260,7 +260,7 @@ def identify(documents: DataFrame, net: ByteGRU | None) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

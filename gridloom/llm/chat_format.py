@@ -44,8 +44,13 @@ def unescape(body: str) -> str:
     return _FOUND.sub(lambda m: m[0][1:] if m[1] else m[0], body)
 
 
+def _other(role: str) -> str:
+    """A role in quotes, without characters that could make a control string."""
+    return "Other " + json.dumps(role).replace("<", "\\u003c").replace("#", "\\u0023")
+
+
 def render_turn(role: str, body: str) -> str:
-    return f"### {ROLES.get(role) or 'Other ' + json.dumps(role)}: {body}{END}"
+    return f"### {ROLES.get(role) or _other(role)}: {body}{END}"
 
 
 def parse(rendered: str) -> list[tuple[str, str]]:

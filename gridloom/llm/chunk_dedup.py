@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import settle
+from .shared import settle, tidy
 
 #: A chunk ends after one word in EVERY by hash, and after MOST words in any case.
 EVERY, MOST = 4, 64
@@ -174,7 +174,7 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     names = kept.columns
     twin = F.xxhash64(F.col("text").cast("string"))
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), twin.alias("twin"), F.col("text").cast("string").alias("text"))
-    rows = source.where("doc_id is not null and text is not null").mapInArrow(_digests, _ROWS)
+    rows = source.where("doc_id is not null and text is not null").mapInArrow(tidy(_digests), _ROWS)
     spread = F.when(F.col("nth") < 0, F.col("twin") + F.col("doc_id") % 4096).otherwise(F.col("digest"))
     found = rows.withColumn("_to", spread).repartition("_to").drop("_to").sortWithinPartitions("digest", "doc_id", "twin", "nth").mapInArrow(_later, "doc_id bigint, twin bigint, nth int, first_id bigint")
     marks = settle(found.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("nth", "first_id")).alias("_marks")), "marks")
@@ -216,7 +216,7 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(removed), pa.array(lost), pa.array(lists, pa.list_(pa.int64()))], [*names, *added])
 
     schema = T.StructType([*(T.StructField("text", T.StringType()) if f.name == "text" else f for f in kept.schema.fields), *T._parse_datatype_string("n_chunks int, n_removed int, removed_words bigint, first_ids array<bigint>").fields])
-    return joined.mapInArrow(rebuild, schema)
+    return joined.mapInArrow(tidy(rebuild), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import connected_components, forest, settle
+from .shared import connected_components, forest, settle, tidy
 
 #: Defaults: words in a shingle; the similarity as a fraction of whole numbers.
 WORDS, OVER, UNDER = 5, 80, 100
@@ -302,8 +302,8 @@ def similar_groups(documents: DataFrame, words: int = WORDS, over: int = OVER, u
                 for a in range(0, len(key), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(node[owner[a : a + 200_000]])], ["key", "node"])
 
-    rows = settle(source.mapInArrow(name, "doc_id bigint, node bigint, n_shingles bigint"), "sets")
-    pairs = source.where("text is not null").select("text").mapInArrow(keys, "key bigint, node bigint").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_regions, "node bigint, pivot bigint")
+    rows = settle(source.mapInArrow(tidy(name), "doc_id bigint, node bigint, n_shingles bigint"), "sets")
+    pairs = source.where("text is not null").select("text").mapInArrow(tidy(keys), "key bigint, node bigint").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_regions, "node bigint, pivot bigint")
     pairs = settle(pairs.distinct(), "regions")
     members = pairs.union(pairs.select(F.col("pivot").alias("node"), "pivot")).distinct()
 
@@ -318,7 +318,7 @@ def similar_groups(documents: DataFrame, words: int = WORDS, over: int = OVER, u
                 data = [flat[a:b].astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([node.filter(pa.array(same)), pa.array([d for d, s in zip(data, same, strict=True) if s], pa.binary())], ["node", "items"])
 
-    sets = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(fetch, "node bigint, items binary")
+    sets = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(tidy(fetch), "node bigint, items binary")
     sets = settle(sets.groupBy("node").agg(F.first("items").alias("items")), "items")
 
     sized = members.join(sets.select("node", (F.length("items") / 8).cast("bigint").alias("n")), "node")
@@ -351,7 +351,7 @@ def similar_groups(documents: DataFrame, words: int = WORDS, over: int = OVER, u
         if len(node) > 1:
             yield edges()
 
-    links = dealt.repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b", "node").mapInArrow(compare, "src bigint, dst bigint")
+    links = dealt.repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b", "node").mapInArrow(tidy(compare), "src bigint, dst bigint")
     parts = connected_components(links)
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
     lowest = nodes.groupBy("component_id").agg(F.min("low").alias("lowest"))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import sample_by_hash
+from .shared import sample_by_hash, tidy
 
 #: Bound of the training sample: labelled documents, about, and lines of one of them.
 TRAIN_ROWS, TRAIN_LINES = 2500, 400
@@ -261,7 +261,7 @@ def score_documents(documents: DataFrame, model: dict) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import settle
+from .shared import settle, tidy
 from .token_shards import END_ID, encoder, with_end
 
 LENGTH = 1024
@@ -88,6 +88,20 @@ def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
     return (matrix * vector).sum(1)
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row pivots, in numpy's own loops for the same reason."""
+    n = len(matrix)
+    work = np.concatenate([matrix, np.eye(n)], 1)
+    for i in range(n):
+        p = i + int(np.abs(work[i:, i]).argmax())
+        work[[i, p]] = work[[p, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        work -= factor[:, None] * work[i]
+    return work[:, n:]
+
+
 def solve(demand: dict[int, int], size: int = LENGTH) -> list[tuple[np.ndarray, float]]:
     """Patterns (count by length) and how often the linear program uses each.
 
@@ -100,7 +114,7 @@ def solve(demand: dict[int, int], size: int = LENGTH) -> list[tuple[np.ndarray,
     need = np.array([demand[n] for n in lengths], float)
     place = {int(n): i for i, n in enumerate(lengths)}
     basis, x = _greedy(lengths, need, size)
-    inverse = np.linalg.inv(basis)
+    inverse = _inverse(basis)
     x = np.maximum(_times(inverse, need), 0)
     pivots, blend, bound = 0, 0.9, need @ lengths / size
     for _ in range(STEPS):
@@ -126,7 +140,7 @@ def solve(demand: dict[int, int], size: int = LENGTH) -> list[tuple[np.ndarray,
             basis[:, out] = column
             pivots += 1
             if pivots % 200 == 0:
-                inverse = np.linalg.inv(basis)
+                inverse = _inverse(basis)
                 x = np.maximum(_times(inverse, need), 0)
                 continue
             amount = ratio[out]
@@ -247,7 +261,7 @@ def cut_documents(documents: DataFrame, vocabulary: str, size: int = LENGTH, end
                 at += len(n)
 
     kind = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * keep_ids
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), kind)
 
 
 def pack(pieces: DataFrame, size: int = LENGTH) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import tidy
 from .words import TextEncoder
 
 #: Fixed value: the character that stands for a space in pieces.
@@ -189,7 +190,7 @@ def encode_pieces(documents: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), lists, pa.array(_decode(model, flat, bounds), pa.string())], ["doc_id", "ids", "decoded"])
                 at += len(part)
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id bigint, ids array<int>, decoded string")
 
 
 def _decode(model: PieceModel, flat: np.ndarray, bounds: np.ndarray) -> list[str]:
@@ -235,7 +236,7 @@ def digest_pieces(documents: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(counts), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(part)
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import fresh_path, sample_by_hash
+from .shared import fresh_path, sample_by_hash, tidy
 from .words import byte_bpe_encoder
 
 MAGIC = b"TIDS0001"
@@ -189,7 +189,7 @@ def write_shards(documents: DataFrame, vocabulary: str, folder: str | None = Non
             yield row()
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(tidy(write), MANIFEST).write.parquet(f"{folder}/manifest")
     return folder, spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -213,7 +213,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
                     cut = slice(a, a + 10_000)
                     yield pa.RecordBatch.from_arrays([pa.array(shard.ids[cut], pa.int64(), mask=shard.null[cut] > 0), pa.array(starts[cut], pa.int64()), pa.array(counts[cut], pa.int64()), pa.array(crc[cut], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return bases.select("path", "base").repartition(files).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return bases.select("path", "base").repartition(files).mapInArrow(tidy(read), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker keeps with their ids, at most.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Text bytes handled at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: Characters that Unicode or Python call blank, other than the space.
 _OTHER_BLANKS = "\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
