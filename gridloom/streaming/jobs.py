@@ -39,7 +39,7 @@ class Job:
         self.cancelled = False
 
         def run():
-            spark.addTag(self._tag)
+            spark.sparkContext.addJobTag(self._tag)
             try:
                 self._result = work()
             except BaseException as e:  # handed on by wait()
@@ -49,7 +49,7 @@ class Job:
                     self._error = e
             finally:
                 self._ended = time.monotonic()
-                spark.removeTag(self._tag)
+                spark.sparkContext.removeJobTag(self._tag)
 
         self._thread = InheritableThread(target=run, daemon=True)
         self._thread.start()
@@ -57,7 +57,7 @@ class Job:
     def cancel(self) -> None:
         """Ask the operation to stop; ``wait`` says whether it did."""
         self._asked.set()
-        self._spark.interruptTag(self._tag)
+        self._spark.sparkContext.cancelJobsWithTag(self._tag)
 
     def progress(self) -> Progress:
         tracker = self._spark.sparkContext.statusTracker()
