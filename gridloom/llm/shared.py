@@ -40,11 +40,6 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def sample_by_hash(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame:
     """About ``rows`` rows of ``df``, chosen by a hash of ``key``; all rows when there are fewer.
 
