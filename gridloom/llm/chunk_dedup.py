@@ -125,8 +125,8 @@ def _digests(batches):
 
 
 def _later(batches):
-    """Of rows sorted by digest and document, all but each digest's first, with the document that has that."""
-    last, owner = None, None
+    """Of rows sorted by digest and document, all but those of each digest's first document, with its id."""
+    last = owner = owner_twin = None
     for batch in batches:
         digest, doc, twin, nth = (batch.column(c).to_numpy() for c in ("digest", "doc_id", "twin", "nth"))
         if not len(digest):
@@ -136,12 +136,13 @@ def _later(batches):
         first_of = np.where(whole, digest, 0)
         dup = whole.copy()
         if len(real):
-            d, ids = digest[real], doc[real]
+            d, ids, twins = digest[real], doc[real], twin[real]
             new = np.concatenate([[last is None or d[0] != last], d[1:] != d[:-1]])
             at = np.maximum.accumulate(np.where(new, np.arange(len(d)), -1))
             first_of[real] = np.where(at >= 0, ids[at], owner if owner is not None else 0)
-            dup[real] = ~new
-            last, owner = d[-1], first_of[real][-1]
+            first_twin = np.where(at >= 0, twins[at], owner_twin if owner_twin is not None else 0)
+            dup[real] = ~new & ((ids != first_of[real]) | (twins != first_twin))  # a repeated row is its own first
+            last, owner, owner_twin = d[-1], first_of[real][-1], first_twin[-1]
         rows = np.flatnonzero(dup)
         yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(twin[rows]), pa.array(nth[rows]), pa.array(first_of[rows])], ["doc_id", "twin", "nth", "first_id"])
 
@@ -177,9 +178,9 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     rows = source.where("doc_id is not null and text is not null").mapInArrow(tidy(_digests), _ROWS)
     spread = F.when(F.col("nth") < 0, F.col("twin") + F.col("doc_id") % 4096).otherwise(F.col("digest"))
     found = rows.withColumn("_to", spread).repartition("_to").drop("_to").sortWithinPartitions("digest", "doc_id", "twin", "nth").mapInArrow(_later, "doc_id bigint, twin bigint, nth int, first_id bigint")
-    marks = settle(found.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("nth", "first_id")).alias("_marks")), "marks")
-    marks = marks.select(F.col("doc_id").alias("_id"), F.col("twin").alias("_twin"), F.transform("_marks", lambda m: m["nth"]).alias("_nth"), F.transform("_marks", lambda m: m["first_id"]).alias("_first"))
-    joined = kept.withColumns({"_key": F.col("doc_id").cast("bigint"), "_of": twin}).join(marks, (F.col("_key") == F.col("_id")) & (F.col("_of") == F.col("_twin")), "left").select(*names, "_nth", "_first")
+    marks = settle(found.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("nth", "first_id")).alias("__gridloom_marks")), "marks")
+    marks = marks.select(F.col("doc_id").alias("__gridloom_id"), F.col("twin").alias("__gridloom_twin"), F.transform("__gridloom_marks", lambda m: m["nth"]).alias("__gridloom_nth"), F.transform("__gridloom_marks", lambda m: m["first_id"]).alias("__gridloom_first"))
+    joined = kept.withColumns({"__gridloom_key": F.col("doc_id").cast("bigint"), "__gridloom_of": twin}).join(marks, (F.col("__gridloom_key") == F.col("__gridloom_id")) & (F.col("__gridloom_of") == F.col("__gridloom_twin")), "left").select(*names, "__gridloom_nth", "__gridloom_first")
 
     where = names.index("text")
 

@@ -30,7 +30,7 @@ def _words(text: Column) -> Column:
 
 
 def with_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Add the statistics and ``_words`` to ``documents``; null texts have no words.
+    """Add the statistics and ``__gridloom_words`` to ``documents``; null texts have no words.
 
     A window of three words is found again if its 64-bit hash is: the chance
     that two windows of a text collide is about n * n / 2**65. Windows' hashes
@@ -38,22 +38,22 @@ def with_statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     the repeats' places, sorted, tell how many words the windows cover.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    bare = documents.withColumns({"_words": _words(t), "word_chars": F.length(F.translate(t, BLANKS, "")).cast("bigint"), "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"), "_lines": F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)})
+    bare = documents.withColumns({"__gridloom_words": _words(t), "word_chars": F.length(F.translate(t, BLANKS, "")).cast("bigint"), "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"), "__gridloom_lines": F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)})
     sized = bare.withColumns(
         {
-            "n_words": F.size("_words").cast("bigint"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-            "_windows": F.when(F.size("_words") >= 3, F.slice(F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2))), 1, F.size("_words") - 2)).otherwise(F.array().cast("array<bigint>")),
+            "n_words": F.size("__gridloom_words").cast("bigint"),
+            "n_dup_lines": (F.size("__gridloom_lines") - F.size(F.array_distinct("__gridloom_lines"))).cast("bigint"),
+            "__gridloom_windows": F.when(F.size("__gridloom_words") >= 3, F.slice(F.transform("__gridloom_words", lambda w, i: F.xxhash64(w, F.get("__gridloom_words", i + 1), F.get("__gridloom_words", i + 2))), 1, F.size("__gridloom_words") - 2)).otherwise(F.array().cast("array<bigint>")),
         }
-    ).drop("_lines")
-    some = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    marked = sized.withColumn("_sorted", F.when(some, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("_windows")
+    ).drop("__gridloom_lines")
+    some = F.size(F.array_distinct("__gridloom_windows")) < F.size("__gridloom_windows")
+    marked = sized.withColumn("__gridloom_sorted", F.when(some, F.sort_array(F.transform("__gridloom_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("__gridloom_windows")
     again = marked.withColumn(
-        "_at",
-        F.sort_array(F.transform(F.filter("_sorted", lambda x, k: (x["h"] == F.get("_sorted", k + 1)["h"]) | (x["h"] == F.get("_sorted", k - 1)["h"])), lambda x: x["i"])),
-    ).drop("_sorted")
-    covered = F.aggregate(F.transform("_at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_at", k + 1) - p, F.lit(3)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return again.withColumn("n_repeat_words", covered).drop("_at")
+        "__gridloom_at",
+        F.sort_array(F.transform(F.filter("__gridloom_sorted", lambda x, k: (x["h"] == F.get("__gridloom_sorted", k + 1)["h"]) | (x["h"] == F.get("__gridloom_sorted", k - 1)["h"])), lambda x: x["i"])),
+    ).drop("__gridloom_sorted")
+    covered = F.aggregate(F.transform("__gridloom_at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("__gridloom_at", k + 1) - p, F.lit(3)))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return again.withColumn("n_repeat_words", covered).drop("__gridloom_at")
 
 
 def base_failed() -> Column:
@@ -83,7 +83,7 @@ def order_rules(documents: DataFrame, text: str = "text", rows: int = SAMPLE_ROW
     that evaluates none. Without rows the given order stays.
     """
     given = rules(text)
-    sample = with_statistics(sample_by_hash(documents.where(F.col(text).isNotNull()).select("doc_id", text), "doc_id", rows), text).drop("_words").persist()
+    sample = with_statistics(sample_by_hash(documents.where(F.col(text).isNotNull()).select("doc_id", text), "doc_id", rows), text).drop("__gridloom_words").persist()
     try:
         total = sample.count()
         if not total:
@@ -115,7 +115,7 @@ def apply_rules(documents: DataFrame, order: list[str] | None = None, text: str
     order = order if order is not None else order_rules(documents, text)
     given = rules(text)
     rest = [n for n in order if n not in ("few_words", "repeated_words")]
-    counted = with_statistics(documents, text).drop("_words")
+    counted = with_statistics(documents, text).drop("__gridloom_words")
     # observing the rows keeps a later filter from being pushed below: there it would take
     # the statistics' expressions with it and cut the text into words again for every word
     counted = counted.observe(f"rules-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("documents"))

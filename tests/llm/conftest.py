@@ -11,7 +11,7 @@ def prose(seed, n):
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Null, empty and very long texts, repeated rows, ties, a null id, and columns named like the operators' own."""
-    names = ["doc_id", "text", "lang", "source", "n_chars", "score", "kept", "node", "length", "digest", "key", "n_words", "first_ids", "component_id", "lang_pred", "sequence_id", "_key", "n", "word"]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "score", "kept", "node", "length", "digest", "key", "n_words", "first_ids", "component_id", "lang_pred", "sequence_id", "_key", "_nth", "_words", "_at", "n", "word"]
     kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names[5:])
     same = prose(1, 120)
     texts = [None, "", " \n\t ", "x", same, same, same + " more", prose(2, 30000), "wort" * 30000, "a " * 5000, "日本語 テスト 😀 " * 60, "\x00\x1f \x85 b", prose(3, 300)]
