@@ -3,8 +3,8 @@
 All symbols of all words lie in flat numpy arrays. A round looks up the rank
 of every neighbouring pair, takes each word's smallest by a segmented minimum,
 merges its leftmost occurrences in all words at once and closes the gaps;
-words without a pair leave. A pair's occurrences merge together only where
-no better pair can come of it, else the leftmost alone, so the result is that
+words without a pair leave. A word's occurrences merge from the left as far as
+the first whose merge makes a pair that would come next, so the result is that
 of merging one pair at a time.
 """
 
@@ -84,27 +84,28 @@ class PieceModel:
             raise ValueError("only models whose pieces don't go across words are read")
         scores = np.array([p.score for p in model.pieces])
         _, rank = np.unique(-scores, return_inverse=True)
-        shared = np.bincount(rank[list(own.values())], minlength=len(scores)) > 1
         self.symbol = np.arange(0x110000, dtype=np.int64) + self.size
         for p, i in own.items():
             if len(p) == 1:
                 self.symbol[ord(p)] = i
         of = lambda s: own.get(s, self.size + ord(s) if len(s) == 1 else None)
-        alone = shared[rank]  # by piece: one merge at a time
         keys, ranks, made = [], [], []
         for p, i in own.items():
             for k in range(1, len(p)):
                 a, b = of(p[:k]), of(p[k:])
-                for part in (a, b):
-                    if part is not None and part < self.size and rank[i] < rank[part]:
-                        alone[part] = True
                 if a is not None and b is not None:
                     keys.append(a << _SHIFT | b)
                     ranks.append(int(rank[i]))
                     made.append(i)
-        self.pairs, self.alone = PairTable(keys, ranks, made), alone
+        self.pairs = PairTable(keys, ranks, made)
         self.byte = np.array([next(i for i, p in enumerate(model.pieces) if p.type == 6 and p.piece == f"<0x{b:02X}>") for b in range(256)])
 
+    def _rank(self, a: np.ndarray, b: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Rank of each pair, _NONE where ``some`` is false or it makes no piece."""
+        key = np.where(some, a << _SHIFT | b, -2)
+        slot = self.pairs.find(key)
+        return np.where(self.pairs.keys[slot] == key, self.pairs.rank[slot], _NONE)
+
     def encode(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths of units in which spaces are already SPACE."""
         n = len(units)
@@ -130,9 +131,18 @@ class PieceModel:
                 # of overlapping occurrences every other one, from the left
                 run = np.concatenate([[True], np.diff(at) != 1])
                 nth = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-                first = np.concatenate([[True], word[at[1:]] != word[at[:-1]]])
-                new = self.pairs.made[slot[at]]
-                at, new = (x[(nth % 2 == 0) & (first | ~self.alone[new])] for x in (at, new))
+                at = at[nth % 2 == 0]
+                new, own = self.pairs.made[slot[at]], word[at]
+                # none after one whose merge makes a pair that comes before the others
+                before = np.where(np.concatenate([[False], at[1:] == at[:-1] + 2]), np.concatenate([[0], new[:-1]]), sym[at - 1])
+                after = np.minimum(at + 2, len(sym) - 1)
+                left = self._rank(before, new, (at > 0) & (word[at - 1] == own))
+                right = self._rank(new, sym[after], (at + 2 < len(sym)) & (word[after] == own))
+                ahead = np.cumsum(np.minimum(left, right) <= best[at])
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                start = np.repeat(np.concatenate([[0], ahead])[first], np.diff(np.concatenate([first, [len(at)]])))
+                take = np.concatenate([[0], ahead[:-1]]) <= start
+                at, new = at[take], new[take]
                 sym = sym.copy()
                 sym[at] = new
             keep = ~finished
