@@ -2,9 +2,10 @@
 
 A gear hash over the last sixteen bytes decides after which words a chunk
 ends, so cuts depend on nearby bytes alone and fall in step again after an
-insertion. A chunk stays where its digest comes first, by document id, and is
-a duplicate elsewhere. Duplicates next to each other of RUN_WORDS words or more
-are cut out; shorter ones are common phrases and stay.
+insertion. Neighbouring chunks that span RUN_WORDS words make a group, and one
+digest stands for them together. A group stays where its digest comes first, by
+document id, and is cut out elsewhere; chunks that repeat without such a group
+are common phrases and stay.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .shared import settle, tidy
 
 #: A chunk ends after one word in EVERY by hash, and after MOST words in any case.
 EVERY, MOST = 4, 64
-#: Words of neighbouring duplicates that are cut out, at least.
+#: Words of a group of neighbouring chunks, at least: shorter repeats stay.
 RUN_WORDS = 20
 #: Words longer than this also end where the hash says so, one byte in EVERY_BYTE.
 LONG, EVERY_BYTE = 64, 32
@@ -30,6 +31,8 @@ _WINDOW = 16
 _RNG = np.random.default_rng(11)
 _GEAR = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
 _PLACE = _RNG.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -82,6 +85,33 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return doc, at - begin[doc], digest, words
 
 
+def groups(doc: np.ndarray, digest: np.ndarray, words: np.ndarray, least: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First chunk, chunk after the last, and digest of each group, by first chunk.
+
+    From each chunk on the shortest group of ``least`` words, and up to each
+    chunk the shortest: so the groups within a repeated passage cover all its
+    chunks. A group doesn't leave its text.
+    """
+    n = len(doc)
+    total = np.concatenate([[0], np.cumsum(words)])
+    bound = np.searchsorted(doc, doc, "right")
+    after = np.searchsorted(total, total[:-1] + least)
+    ahead = np.flatnonzero(after <= bound)
+    before = np.searchsorted(total, total[1:] - least, "right") - 1
+    up_to = np.flatnonzero((before >= 0) & (before >= np.searchsorted(doc, doc)))
+    up_to = up_to[after[before[up_to]] != up_to + 1]
+    first, stop = np.concatenate([ahead, before[up_to]]), np.concatenate([after[ahead], up_to + 1])
+    order = np.lexsort((stop, first))
+    first, stop = first[order], stop[order]
+    power, back = np.full(n, _BASE), np.full(n, _INVERSE)
+    power[:1] = back[:1] = 1
+    power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+    up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest.view(np.uint64) * power, dtype=np.uint64)])
+    value = (up[stop] - up[first]) * back[first]
+    value = (value ^ (value >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return first, stop, (value ^ (value >> np.uint64(29))).view(np.int64)
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()
 
@@ -101,7 +131,7 @@ _ROWS = "digest bigint, doc_id bigint, twin bigint, nth int"
 
 
 def _digests(batches):
-    """A row for each distinct digest of a text; of equal texts in a batch those of the lowest id, and one row for each other."""
+    """A row for each distinct group of a text; of equal texts in a batch those of the lowest id, and one row for each other."""
     for batch in batches:
         ids, twins, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), _bytes(batch.column(2))
         least: dict[bytes, int] = {}
@@ -111,7 +141,9 @@ def _digests(batches):
         alone = sorted(least.values())
         copies = [(i, least[t]) for i, t in enumerate(texts) if least[t] != i and ids[i] != ids[least[t]]]
         for at, part in _slices([texts[i] for i in alone]):
-            doc, _, digest, _ = chunks(part)
+            doc, _, digest, words = chunks(part)
+            first, _, digest = groups(doc, digest, words)
+            doc = doc[first]
             rows = np.array(alone[at : at + len(part)])
             nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
             order = np.lexsort((nth, digest, doc))
@@ -164,7 +196,8 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     """Add ``n_chunks``, ``n_removed``, ``removed_words`` and ``first_ids`` to ``documents``, whose ``text`` loses its repeats.
 
     Of a passage the copy in the lowest ``doc_id`` stays, in one document the
-    first. ``first_ids`` lists the documents that hold the copies which stay.
+    first. A passage is cut where its chunks repeat together, as groups of
+    RUN_WORDS words. ``first_ids`` lists the documents that have them first.
     Every row stays, also one whose text becomes empty. Null texts stay null;
     a row without an id is not changed and no other for its sake. Rows of one
     id and text are one document and keep the same. Columns of ``documents``
@@ -192,26 +225,31 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
             out, n, removed, lost, lists = list(texts), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64), [[] for _ in texts]
             for at, part in _slices(texts):
                 doc, start, digest, words = chunks(part)
+                head, stop, digest = groups(doc, digest, words)
                 bound = np.searchsorted(doc, np.arange(len(part) + 1))
+                reach = np.searchsorted(head, bound)
                 for i in range(len(part)):
                     a, b, row = int(bound[i]), int(bound[i + 1]), at + i
                     n[row] = b - a
                     if a == b or not known[row]:
                         continue
-                    duplicate = np.ones(b - a, bool)
-                    _, once = np.unique(digest[a:b], return_index=True)
-                    duplicate[once] = False
-                    if marked[row]:
-                        if -1 in marked[row]:
-                            duplicate[:] = True
-                        else:
-                            duplicate[marked[row]] = True
+                    p, q = int(reach[i]), int(reach[i + 1])
+                    again = np.ones(q - p, bool)
+                    _, once = np.unique(digest[p:q], return_index=True)
+                    again[once] = False
+                    whole = bool(marked[row]) and -1 in marked[row]
+                    if marked[row] and not whole:
+                        again[marked[row]] = True
+                    edge = np.zeros(b - a + 1, np.int64)
+                    np.add.at(edge, head[p:q][again] - a, 1)
+                    np.add.at(edge, stop[p:q][again] - a, -1)
+                    duplicate = whole | (np.cumsum(edge)[:-1] > 0)
                     if not duplicate.any():
                         continue
                     out[row], gone = cut_text(part[i], start[a:b], words[a:b], duplicate)
                     removed[row], lost[row] = gone.sum(), words[a:b][gone].sum()
                     if marked[row]:
-                        lists[row] = sorted({f for k, f in zip(marked[row], first[row], strict=True) if (gone.any() if k < 0 else gone[k])})
+                        lists[row] = sorted(set(first[row])) if gone.any() else []
             text = pa.array([None if x else t for t, x in zip(out, nulls, strict=True)], pa.binary()).cast(pa.string())
             columns = [text if j == where else batch.column(j) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(removed), pa.array(lost), pa.array(lists, pa.list_(pa.int64()))], [*names, *added])

@@ -299,6 +299,40 @@ def test_dedup_on_awkward_rows(awkward, empty):
     assert chunk_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_text_without_a_repeated_window_stays(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(12)]  # every short phrase is soon seen somewhere
+    docs, seen = [], set()
+    while len(docs) < 120:
+        words = rng.choices(vocab, k=120)
+        windows = [tuple(words[i : i + 20]) for i in range(101)]
+        assert not seen & set(windows) and len(set(windows)) == 101
+        seen |= set(windows)
+        docs.append((len(docs), " ".join(words)))
+    copied = docs[7][1].split()[30:90]
+    mixed = (500, " ".join([*docs[50][1].split()[:9], *copied, *docs[60][1].split()[:9]]))
+    got = {r["doc_id"]: r for r in chunk_dedup.dedup_substrings(spark.createDataFrame([*docs, mixed], "doc_id bigint, text string")).collect()}
+    assert [got[i]["text"] for i, _ in docs] == [t for _, t in docs]
+    assert got[500]["first_ids"] == [7] and 20 <= got[500]["removed_words"] <= 60
+    assert set(got[500]["text"].split()[:9]) == set(mixed[1].split()[:9])
+
+
+def test_groups_cover_a_passage_and_stay_in_their_text():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 200))).encode() for _ in range(50)]
+    doc, _, digest, words = chunk_dedup.chunks(texts)
+    first, stop, value = chunk_dedup.groups(doc, digest, words)
+    total = [words[a:b].sum() for a, b in zip(first, stop, strict=True)]
+    assert all(t >= 20 for t in total) and all(doc[a] == doc[b - 1] for a, b in zip(first, stop, strict=True))
+    assert all(t - words[a] < 20 or t - words[b - 1] < 20 for t, a, b in zip(total, first, stop, strict=True))
+    covered = {k for a, b in zip(first, stop, strict=True) for k in range(a, b)}
+    assert covered == {k for k in range(len(doc)) if words[doc == doc[k]].sum() >= 20}
+    of = {}
+    for a, b, v in zip(first, stop, value.tolist(), strict=True):
+        assert of.setdefault(v, tuple(digest[a:b])) == tuple(digest[a:b])
+    assert len(of) == len({tuple(digest[a:b]) for a, b in zip(first, stop, strict=True)})
+
+
 # Pipeline
 
 
