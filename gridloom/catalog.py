@@ -318,6 +318,12 @@ def sort_unicode_bytes(spark, d):
     return sorting.sort_ordinals(rows, 0, True).select("place", "row", "key")
 
 
+@query("SELECT row_number() OVER (ORDER BY key DESC, row) - 1 AS place, row, md5(key) AS digest FROM (SELECT coalesce(text, '') AS key, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents)")
+def sort_whole_text(spark, d):
+    rows = sheet(spark, d, "documents", row=True, cell=F.array("text"))
+    return sorting.sort_ordinals(rows, 0, True).select("place", "row", F.md5(F.col("key").cast("binary")).alias("digest"))
+
+
 @query("SELECT count(*) - 1 AS adjacencies, 0 AS violations FROM orders")
 def sort_tie_check(spark, d):
     return sorting.order_violations(sorting.sort_ordinals(sheet(spark, d, "orders", row=True), 3)).select("adjacencies", F.col("violations").cast("int").alias("violations"))

@@ -95,6 +95,15 @@ def test_temporary_bytes():
     assert sorting.temporary_bytes(10, 2) == 136
 
 
+def test_sort_reads_whole_texts(spark, tmp_path):
+    head = "the same twenty chars "
+    texts = [head + "b", head + "c", None, head + "x" * 5000 + "a", head + "x" * 5000 + "é", head, head + "b", "", head + "😀", head + "\uffff"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["place"], r["row"]) for r in catalog.QUERIES["sort_whole_text"](spark, str(tmp_path)).collect())
+    keys = [(t or "").encode() for t in texts]
+    assert [row for _, row in got] == sorted(range(len(keys)), key=lambda i: keys[i], reverse=True)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
