@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import connected_components, forest, settle, tidy
@@ -184,7 +184,7 @@ def _regions(batches):
 class Region:
     """Exact join of a few thousand sets by recursive Voronoi cells."""
 
-    def __init__(self, sets: list[np.ndarray], over: int, under: int):
+    def __init__(self, sets: list[np.ndarray], over: int, under: int, every: bool = False):
         self.over, self.under = over, under
         self.reach = 1 - over / under
         self.n = np.array([len(s) for s in sets], np.int64)
@@ -198,6 +198,7 @@ class Region:
         self.bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
         self.width = int(shared.sum())
         self.label = np.arange(len(sets))
+        self.every, self.found = every, [np.zeros(0, np.int64)]
 
     def flat(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.bounds[rows + 1] - self.bounds[rows]
@@ -212,6 +213,19 @@ class Region:
             change[node] = low
             self.label = change[self.label]
 
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """The edges hold: unite what they connect and, where every link is wanted, keep them."""
+        self.unite(a, b)
+        if self.every:
+            self.found.append(np.unique((np.minimum(a, b) * len(self.label) + np.maximum(a, b))[a != b]))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of linked sets, each once, if ``every``; else edges to the labels."""
+        if not self.every:
+            moved = np.flatnonzero(self.label != np.arange(len(self.label)))
+            return moved, self.label[moved]
+        return np.divmod(np.unique(np.concatenate(self.found)), len(self.label))
+
     def linked(self, common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.under * common >= self.over * (a + b - common)
 
@@ -220,7 +234,7 @@ class Region:
         todo = [rows]
         while todo:
             rows = todo.pop()
-            if len(rows) < 2 or (self.label[rows] == self.label[rows[0]]).all():
+            if len(rows) < 2 or (not self.every and (self.label[rows] == self.label[rows[0]]).all()):
                 continue
             if len(rows) <= CELL:
                 self.compare(rows)
@@ -237,7 +251,7 @@ class Region:
                 gap[:, k] = 1 - common / (self.n[rows] + own - common)
                 hit = self.linked(common, self.n[rows], own)
                 hit[at] = False
-                self.unite(rows[hit], np.full(int(hit.sum()), rows[at]))
+                self.link(rows[hit], np.full(int(hit.sum()), rows[at]))
                 far = np.minimum(far, gap[:, k])
                 far[at] = -1
                 at = int(far.argmax())
@@ -256,7 +270,7 @@ class Region:
         for a in range(0, len(rows), 256):
             end = int(np.searchsorted(n, n[min(a + 255, len(rows) - 1)] * self.under // self.over, "right"))
             left, right = rows[a : a + 256], rows[a:end]
-            if (self.label[right] == self.label[left[0]]).all():
+            if not self.every and (self.label[right] == self.label[left[0]]).all():
                 continue
             items, owner = self.flat(right)
             used, column = np.unique(items, return_inverse=True)
@@ -269,19 +283,11 @@ class Region:
                 m[owner[s:e], column[s:e] - c] = 1
                 common += m[: len(left)] @ m.T
             i, j = np.nonzero(self.linked(common.astype(np.int64), self.n[left][:, None], self.n[right][None]))
-            self.unite(left[i], right[j])
+            self.link(left[i], right[j])
 
 
-def similar_groups(documents: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row: the smallest id that links lead to.
-
-    Two documents link when ``under * |intersection| >= over * |union|`` of
-    their distinct shingles. A document without words or text links with
-    nothing. Equal sets are compared once, however many documents have them.
-    Rows of one id are separate documents that may lie in different groups; a
-    row without an id takes part but never names a group of others. Other
-    columns aren't read; an empty table gives an empty result.
-    """
+def _compared(documents: DataFrame, words: int, over: int, under: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, node, n_shingles)`` and edges ``(src, dst)`` between nodes: all links if ``every``, else enough to connect them."""
     classes = Classes(over, under)
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -334,11 +340,11 @@ def similar_groups(documents: DataFrame, words: int = WORDS, over: int = OVER, u
         name, node, items = None, [], []
 
         def edges():
-            region = Region([np.frombuffer(x, "<u8") for x in items], over, under)
+            region = Region([np.frombuffer(x, "<u8") for x in items], over, under, every)
             region.join(np.arange(len(node)))
             ids = np.array(node, np.int64)
-            moved = region.label != np.arange(len(ids))
-            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[region.label[moved]])], ["src", "dst"])
+            a, b = region.links()
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["src", "dst"])
 
         for batch in batches:
             for p, a, b, n, x in zip(*(batch.column(c).to_pylist() for c in ("pivot", "a", "b", "node", "items")), strict=True):
@@ -352,12 +358,49 @@ def similar_groups(documents: DataFrame, words: int = WORDS, over: int = OVER, u
             yield edges()
 
     links = dealt.repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b", "node").mapInArrow(tidy(compare), "src bigint, dst bigint")
+    return rows, links
+
+
+def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, lowest)``: the smallest id in the group of each set."""
     parts = connected_components(links)
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
     lowest = nodes.groupBy("component_id").agg(F.min("low").alias("lowest"))
-    named = nodes.join(lowest, "component_id").select("node", "lowest")
-    out = rows.join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
+    return nodes.join(lowest, "component_id").select("node", "lowest")
+
+
+def _group() -> Column:
+    return F.when(F.col("n_shingles") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id")
+
+
+def similar_groups(documents: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row: the smallest id that links lead to.
+
+    Two documents link when ``under * |intersection| >= over * |union|`` of
+    their distinct shingles. A document without words or text links with
+    nothing. Equal sets are compared once, however many documents have them.
+    Rows of one id are separate documents that may lie in different groups; a
+    row without an id takes part but never names a group of others. Other
+    columns aren't read; an empty table gives an empty result.
+    """
+    rows, links = _compared(documents, words, over, under)
+    return rows.join(_named(rows, links), "node", "left").select("doc_id", "n_shingles", _group())
+
+
+def similar_links(documents: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
+    """``similar_groups`` with ``n_links``: how many other rows a row links with, rows of an equal set among them.
+
+    Links are found between distinct sets and weighted by the rows that have
+    each, so the pairs compared and kept are those of different texts.
+    """
+    rows, links = _compared(documents, words, over, under, every=True)
+    links = settle(links.distinct(), "links")
+    copies = rows.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("copies"))
+    both = links.union(links.select("dst", "src")).toDF("node", "other")
+    others = both.join(copies.toDF("other", "weight"), "other").groupBy("node").agg(F.sum("weight").alias("others"))
+    counted = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = rows.join(_named(rows, links), "node", "left").join(counted, "node", "left")
+    return out.select("doc_id", "n_shingles", _group(), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,29 @@ def test_large_regions_are_dealt_exactly(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_groups(wide, 3, 70, 100)
 
 
+def plain_link_counts(docs, n, over, under):
+    sets = [plain_sets(t, n) for _, t in docs]
+    linked = lambda a, b: bool(a and b) and under * len(a & b) >= over * len(a | b)
+    return [sum(linked(s, t) for j, t in enumerate(sets) if j != i) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("rows", [3, 2000])
+def test_links_match_all_pairs(spark, monkeypatch, rows):
+    monkeypatch.setattr(jaccard_join, "REGION_ROWS", rows)
+    docs = near_copies(12, groups=6) + [(900 + k, t) for k, (_, t) in enumerate(near_copies(12, groups=6)[:8])] + [(990, None), (991, ""), (992, "")]
+    docs = docs + [(2000 + i, " ".join(f"k{j}" for j in range(150) if j != i)) for i in range(90)]  # one cell more than CELL
+    got = sorted((tuple(r) for r in jaccard_join.similar_links(spark.createDataFrame(docs, "doc_id bigint, text string"), 3, 70, 100).collect()), key=repr)
+    want = [(*g, k) for g, k in zip(sorted(plain_groups(docs, 3, 70, 100)), [k for _, k in sorted(zip([d for d, _ in docs], plain_link_counts(docs, 3, 70, 100), strict=True))], strict=True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_links_on_awkward_rows(awkward, empty):
+    docs = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    got = jaccard_join.similar_links(awkward).collect()
+    assert sorted(r["n_links"] for r in got) == sorted(plain_link_counts(docs, 5, 80, 100))
+    assert jaccard_join.similar_links(empty).count() == 0
+
+
 @pytest.mark.parametrize("over", [60, 85])
 def test_cells_split_exactly(over):
     rng = np.random.default_rng(over)
