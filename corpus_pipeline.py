@@ -29,10 +29,16 @@ def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join, five words and 0.8: of each group the document with the lowest id stays."""
-    groups = jaccard_join.similar_groups(docs)
-    lowest = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(lowest, docs["doc_id"].eqNullSafe(lowest["_kept"]), "left_semi")
+    """N-gram Jaccard join, five words and 0.8: of each group the row with the lowest id stays.
+
+    Rows are told apart by id and text. Of equal rows one stays; of one id's
+    texts in a group the one of the least hash; a text whose group has a
+    lower id goes, also where the id's other text heads a group.
+    """
+    first = jaccard_join.first_rows(docs).select(F.col("doc_id").alias("_kept"), F.col("twin").alias("_kept_twin"))
+    told = docs.withColumn("_twin", jaccard_join.twin(F.col("text")))
+    kept = told.join(first, told["doc_id"].eqNullSafe(first["_kept"]) & (told["_twin"] == first["_kept_twin"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_twin"]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

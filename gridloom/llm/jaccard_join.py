@@ -286,16 +286,22 @@ class Region:
             self.link(left[i], right[j])
 
 
+def twin(text: Column) -> Column:
+    """What tells rows of one id apart: a 64-bit hash of the text."""
+    return F.xxhash64(text.cast("string"))
+
+
 def _compared(documents: DataFrame, words: int, over: int, under: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(doc_id, node, n_shingles)`` and edges ``(src, dst)`` between nodes: all links if ``every``, else enough to connect them."""
+    """Rows ``(doc_id, twin, node, n_shingles)`` and edges ``(src, dst)`` between nodes: all links if ``every``, else enough to connect them."""
     classes = Classes(over, under)
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    told = source.select("doc_id", twin(F.col("text")).alias("twin"), "text")
 
     def name(batches):
         for batch in batches:
-            for at, part in _slices(_bytes(batch.column(1))):
+            for at, part in _slices(_bytes(batch.column(2))):
                 flat, bounds = shingle_sets(part, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(node_ids(flat, bounds)), pa.array(np.diff(bounds))], ["doc_id", "node", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(node_ids(flat, bounds)), pa.array(np.diff(bounds))], ["doc_id", "twin", "node", "n_shingles"])
 
     def keys(batches):
         for batch in batches:
@@ -308,7 +314,7 @@ def _compared(documents: DataFrame, words: int, over: int, under: int, every: bo
                 for a in range(0, len(key), 200_000):
                     yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(node[owner[a : a + 200_000]])], ["key", "node"])
 
-    rows = settle(source.mapInArrow(tidy(name), "doc_id bigint, node bigint, n_shingles bigint"), "sets")
+    rows = settle(told.mapInArrow(tidy(name), "doc_id bigint, twin bigint, node bigint, n_shingles bigint"), "sets")
     pairs = source.where("text is not null").select("text").mapInArrow(tidy(keys), "key bigint, node bigint").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_regions, "node bigint, pivot bigint")
     pairs = settle(pairs.distinct(), "regions")
     members = pairs.union(pairs.select(F.col("pivot").alias("node"), "pivot")).distinct()
@@ -362,11 +368,12 @@ def _compared(documents: DataFrame, words: int, over: int, under: int, every: bo
 
 
 def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``(node, lowest)``: the smallest id in the group of each set."""
+    """``(node, lowest, lowest_twin)``: the smallest id in the group of each set, and the least twin of its rows there."""
     parts = connected_components(links)
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low")).join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
-    lowest = nodes.groupBy("component_id").agg(F.min("low").alias("lowest"))
-    return nodes.join(lowest, "component_id").select("node", "lowest")
+    told = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "twin")
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min(told).alias("low")).join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
+    least = nodes.groupBy("component_id").agg(F.min("low").alias("least"))
+    return nodes.join(least, "component_id").select("node", F.col("least.doc_id").alias("lowest"), F.col("least.twin").alias("lowest_twin"))
 
 
 def _group() -> Column:
@@ -387,6 +394,13 @@ def similar_groups(documents: DataFrame, words: int = WORDS, over: int = OVER, u
     return rows.join(_named(rows, links), "node", "left").select("doc_id", "n_shingles", _group())
 
 
+def first_rows(documents: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
+    """``(doc_id, twin)``, each once, of the first row of every group; rows without a shingle are their own."""
+    rows, links = _compared(documents, words, over, under)
+    alone = rows.where("n_shingles = 0").select("doc_id", "twin")
+    return _named(rows, links).select(F.col("lowest").alias("doc_id"), F.col("lowest_twin").alias("twin")).union(alone).distinct()
+
+
 def similar_links(documents: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
     """``similar_groups`` with ``n_links``: how many other rows a row links with, rows of an equal set among them.
 

@@ -373,6 +373,17 @@ def test_stages_on_awkward_rows(spark, awkward, empty, labels, tmp_path):
         assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_one_row_of_a_group_stays(spark):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, words[0]), (1, words[0]), (2, words[0] + " z"), (3, words[1]), (5, words[1]), (5, words[2]), (6, words[2]), (2, words[2]), (7, ""), (7, ""), (8, None), (None, "q r s t u v"), (None, "q r s t u v"), (9, None)]
+    docs = spark.createDataFrame([(*r, "x", None) for r in rows], "doc_id bigint, text string, lang string, _twins string")
+    out = corpus_pipeline.keep_one_of_similar(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(1, words[0]), (3, words[1]), (2, words[2]), (7, ""), (8, None), (9, None), (None, "q r s t u v")]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.keep_one_of_similar(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline_keeps_what_its_stages_keep(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:3]:
