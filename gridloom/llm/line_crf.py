@@ -10,6 +10,7 @@ of their document.
 from __future__ import annotations
 
 import json
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from .shared import sample_by_hash, tidy
 
 #: Bound of the training sample: labelled documents, about, and lines of one of them.
 TRAIN_ROWS, TRAIN_LINES = 2500, 400
+#: Stretches of neighbouring lines that are taken from a longer document.
+STRETCHES = 10
 ROUNDS, RATE, L2 = 150, 0.15, 1e-3
 KEEP = 0.7
 SLICE_BYTES = 2 << 20
@@ -209,6 +212,20 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
+def spread(lines: int, text: bytes, most: int = TRAIN_LINES) -> np.ndarray:
+    """The lines of a document to learn from: all, or of more than ``most`` a stretch from each of STRETCHES equal parts, placed by hash.
+
+    Stretches follow each other in one chain, so a document counts once; lines'
+    features are of their real neighbours, only the seams' transitions aren't.
+    """
+    if lines <= most:
+        return np.arange(lines)
+    edge = lines * np.arange(STRETCHES + 1) // STRETCHES
+    size = most // STRETCHES
+    shift = [zlib.crc32(str(k).encode(), zlib.crc32(text)) % (int(room) - size + 1) for k, room in enumerate(np.diff(edge))]
+    return (edge[:-1, None] + np.array(shift)[:, None] + np.arange(size)).ravel()
+
+
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     """Fit on a bounded hash sample of labelled documents that aren't held out.
 
@@ -226,8 +243,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> di
             for part, ys in zip([_bytes(batch.column(0))], [batch.column(1)], strict=True):
                 active, per, _ = line_features(part) if part else (np.zeros((0, 1), np.int32), np.zeros(0, np.int64), None)
                 begin = np.cumsum(per) - per
-                short = np.minimum(per, TRAIN_LINES)
-                yield pa.RecordBatch.from_arrays([pa.array([active[b : b + k].astype("<i4").tobytes() for b, k in zip(begin, short, strict=True)], pa.binary()), ys], ["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([active[b + spread(int(k), t)].astype("<i4").tobytes() for b, k, t in zip(begin, per, part, strict=True)], pa.binary()), ys], ["x", "y"])
 
     got = chosen.mapInArrow(features, "x binary, y int").toArrow()
     label = got["y"].to_numpy().astype(np.int64)

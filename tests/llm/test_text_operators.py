@@ -274,3 +274,19 @@ def test_rules_query_equals_its_sql(spark, data):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
     want = sorted(con.sql(quality_rules.SQL).fetchall())
     assert sorted(rows_of(quality_rules.query(spark, data).orderBy(F.col("doc_id")))) == want
+
+
+def test_training_lines_come_from_the_whole_document(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(line_crf, "fit", lambda x, per, y: got.append((x, per)) or {"flat": 1.0})
+    text = "\n".join(["a clean line of words."] * 600 + ["$$$ 123 !!! ###"] * 900)
+    ids = [i for i in range(100) if __import__("zlib").crc32(str(i).encode()) % 4 != 2][:2]
+    docs = spark.createDataFrame([(ids[0], text), (ids[1], "short")], "doc_id bigint, text string")
+    line_crf.train(docs, spark.createDataFrame([(ids[0], 0), (ids[1], 1)], "doc_id bigint, quality int"))
+    active, _, _ = line_crf.line_features([text.encode()])
+    tail = {r.tobytes() for r in active[610:].astype("<i4")} - {r.tobytes() for r in active[:590].astype("<i4")}
+    (x, per), = got
+    assert max(per) == 400 and sum(r.tobytes() in tail for r in x.astype("<i4")) > 200
+    for n in (0, 1, 400, 401, 999, 12345):
+        at = line_crf.spread(n, b"t")
+        assert len(at) == min(n, 400) and len(set(at.tolist())) == len(at) and (not n or 0 <= at.min() and at.max() < n)
