@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade of native column expressions.
 
-A sample tells each rule's cost and how much it rejects; the rules then run in
-order of rejections per cost inside one CASE, so a document that an early rule
-rejects never pays for a later one. The order changes the cost alone: a
-document is kept if no rule rejects it.
+The statistics are computed for every document, as the contract wants them. The
+two base rules come first; a sample tells what each other rule costs beyond the
+statistics and how much it rejects, and these run in order of rejections per
+cost inside one CASE. So a rejected document saves later rules' comparisons but
+no statistics. The order changes the cost alone: a document is kept if no rule
+rejects it.
 """
 
 from __future__ import annotations
