@@ -6,18 +6,22 @@ insertion. Neighbouring chunks that span RUN_WORDS words make a group, and one
 digest stands for them together. A group stays where its digest comes first, by
 document id, and is cut out elsewhere; chunks that repeat without such a group
 are common phrases and stay.
+
+Groups meet by digest. A passage that a large share of all documents has would
+send a row of each to one task; a bounded sample tells such digests, and their
+rows are dealt by digest and a salt, so that the first of each salt is found
+apart and the first of all from these few.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import settle, tidy
+from .shared import byte_texts, mix, place_weights, runs, sample_rows, settle, tidy
 
 #: A chunk ends after one word in EVERY by hash, and after MOST words in any case.
 EVERY, MOST = 4, 64
@@ -26,13 +30,14 @@ RUN_WORDS = 20
 #: Words longer than this also end where the hash says so, one byte in EVERY_BYTE.
 LONG, EVERY_BYTE = 64, 32
 SLICE_BYTES = 2 << 20
+#: Sample that tells digests which more than one document in RARE has; so many of them at most; salts of each.
+SAMPLE_ROWS, RARE, COMMON, SALTS = 4000, 200, 4096, 64
 
 _WINDOW = 16
 _RNG = np.random.default_rng(11)
 _GEAR = _RNG.integers(0, 1 << 32, 256, dtype=np.uint32)
-_PLACE = _RNG.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Odd numbers whose powers make the two digests of a group.
+_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -77,8 +82,8 @@ def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     edges = np.stack([at, stop], 1).ravel()
     inside = np.zeros(len(data), np.int64)
     inside[at] = at
-    place = (np.arange(len(data)) - np.maximum.accumulate(inside)) & (len(_PLACE) - 1)
-    value = np.where(blank, np.uint64(0), _PLACE[place] * (data.astype(np.uint64) + np.uint64(1)))
+    place = np.arange(len(data)) - np.maximum.accumulate(inside)
+    value = np.where(blank, np.uint64(0), place_weights(place) * (data.astype(np.uint64) + np.uint64(1)))
     digest = np.add.reduceat(value, edges[edges < len(data)])[::2]
     digest = (digest ^ (digest >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     digest = (digest ^ (digest >> np.uint64(32))).view(np.int64)
@@ -103,80 +108,71 @@ def groups(doc: np.ndarray, digest: np.ndarray, words: np.ndarray, least: int =
     first, stop = np.concatenate([ahead, before[up_to]]), np.concatenate([after[ahead], up_to + 1])
     order = np.lexsort((stop, first))
     first, stop = first[order], stop[order]
-    power, back = np.full(n, _BASE), np.full(n, _INVERSE)
+    return first, stop, _fold(digest, first, stop, _BASES[0])
+
+
+def _fold(digest: np.ndarray, first: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
+    """One digest for the chunks from ``first`` to ``stop`` of each group, by powers of ``base``."""
+    power, back = np.full(len(digest), np.uint64(base)), np.full(len(digest), np.uint64(pow(base, -1, 1 << 64)))
     power[:1] = back[:1] = 1
     power, back = np.cumprod(power, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
     up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest.view(np.uint64) * power, dtype=np.uint64)])
-    value = (up[stop] - up[first]) * back[first]
-    value = (value ^ (value >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return first, stop, (value ^ (value >> np.uint64(29))).view(np.int64)
-
+    return mix((up[stop] - up[first]) * back[first]).view(np.int64)
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()
 
+_ROWS = "digest bigint, check int, salt smallint, doc_id bigint, twin bigint, nth int"
 
-def _slices(texts: list[bytes]):
-    at = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > SLICE_BYTES:
-            yield at, texts[at:i]
-            at, held = i, 0
-        held += len(t)
-    if at < len(texts):
-        yield at, texts[at:]
 
+def _digests(common: np.ndarray):
+    """A row for each distinct group of each text; those of ``common`` digests with a salt from 1 on."""
 
-_ROWS = "digest bigint, doc_id bigint, twin bigint, nth int"
-
-
-def _digests(batches):
-    """A row for each distinct group of a text; of equal texts in a batch those of the lowest id, and one row for each other."""
-    for batch in batches:
-        ids, twins, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), _bytes(batch.column(2))
-        least: dict[bytes, int] = {}
-        for i, t in enumerate(texts):
-            if t not in least or (ids[i], twins[i]) < (ids[least[t]], twins[least[t]]):
-                least[t] = i
-        alone = sorted(least.values())
-        copies = [(i, least[t]) for i, t in enumerate(texts) if least[t] != i and ids[i] != ids[least[t]]]
-        for at, part in _slices([texts[i] for i in alone]):
-            doc, _, digest, words = chunks(part)
-            first, _, digest = groups(doc, digest, words)
-            doc = doc[first]
-            rows = np.array(alone[at : at + len(part)])
-            nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            order = np.lexsort((nth, digest, doc))
-            keep = order[np.concatenate([[True], (digest[order][1:] != digest[order][:-1]) | (doc[order][1:] != doc[order][:-1])])] if len(order) else order
-            own = rows[doc[keep]] if len(keep) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(digest[keep], pa.int64()), pa.array(ids[own], pa.int64()), pa.array(twins[own], pa.int64()), pa.array(nth[keep], pa.int32())], ["digest", "doc_id", "twin", "nth"])
-        if copies:
-            # spread by twin, told apart by nth = -1; the digest carries the id of the copy that stays
-            a, b = (np.array(x) for x in zip(*copies, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[b], pa.int64()), pa.array(ids[a], pa.int64()), pa.array(twins[a], pa.int64()), pa.array(np.full(len(a), -1), pa.int32())], ["digest", "doc_id", "twin", "nth"])
+    def run(batches):
+        for batch in batches:
+            ids, twins, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), byte_texts(batch.column(2))
+            for at, part in runs(texts, SLICE_BYTES):
+                doc, _, chunk, words = chunks(part)
+                first, stop, digest = groups(doc, chunk, words)
+                if not len(digest):
+                    continue
+                check = (_fold(mix(chunk.view(np.uint64)), first, stop, _BASES[1]) >> 32).astype(np.int32)
+                doc = doc[first]
+                nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                order = np.lexsort((nth, check, digest, doc))
+                d, c, o = digest[order], check[order], doc[order]
+                keep = order[np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (o[1:] != o[:-1])])]
+                own = at + doc[keep]
+                salt = np.where(np.isin(digest[keep], common), 1 + (mix(ids[own].astype(np.uint64) ^ mix(twins[own].view(np.uint64))) % np.uint64(SALTS)).astype(np.int16), 0).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array(digest[keep]), pa.array(check[keep]), pa.array(salt), pa.array(ids[own], pa.int64()), pa.array(twins[own]), pa.array(nth[keep], pa.int32())], ["digest", "check", "salt", "doc_id", "twin", "nth"])
+
+    return tidy(run)
 
 
 def _later(batches):
-    """Of rows sorted by digest and document, all but those of each digest's first document, with its id."""
-    last = owner = owner_twin = None
+    """Of rows sorted by digest, check, salt and document: all but those of the first document, with its id; of salted ones also these, as ``lead``."""
+    last = owner = None
     for batch in batches:
-        digest, doc, twin, nth = (batch.column(c).to_numpy() for c in ("digest", "doc_id", "twin", "nth"))
+        digest, check, salt, doc, twin, nth = (batch.column(c).to_numpy() for c in range(6))
         if not len(digest):
             continue
-        whole = nth < 0
-        real = np.flatnonzero(~whole)
-        first_of = np.where(whole, digest, 0)
-        dup = whole.copy()
-        if len(real):
-            d, ids, twins = digest[real], doc[real], twin[real]
-            new = np.concatenate([[last is None or d[0] != last], d[1:] != d[:-1]])
-            at = np.maximum.accumulate(np.where(new, np.arange(len(d)), -1))
-            first_of[real] = np.where(at >= 0, ids[at], owner if owner is not None else 0)
-            first_twin = np.where(at >= 0, twins[at], owner_twin if owner_twin is not None else 0)
-            dup[real] = ~new & ((ids != first_of[real]) | (twins != first_twin))  # a repeated row is its own first
-            last, owner, owner_twin = d[-1], first_of[real][-1], first_twin[-1]
-        rows = np.flatnonzero(dup)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(twin[rows]), pa.array(nth[rows]), pa.array(first_of[rows])], ["doc_id", "twin", "nth", "first_id"])
+        new = np.concatenate([[last is None or (digest[0], check[0], salt[0]) != last], (digest[1:] != digest[:-1]) | (check[1:] != check[:-1]) | (salt[1:] != salt[:-1])])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(digest)), -1))
+        first, first_twin = (np.where(at >= 0, x[at], owner[i] if owner else 0) for i, x in enumerate((doc, twin)))
+        last, owner = (digest[-1], check[-1], salt[-1]), (first[-1], first_twin[-1])
+        lead = (doc == first) & (twin == first_twin)  # a repeated row is its own first
+        rows = np.flatnonzero(~lead | (salt > 0))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[rows]) for x in (doc, twin, nth, first, digest, check)), pa.array(salt[rows] > 0), pa.array(lead[rows])], _MARKS_NAMES)
+
+
+_MARKS_NAMES = ["doc_id", "twin", "nth", "first_id", "digest", "check", "salted", "lead"]
+_MARKS = "doc_id bigint, twin bigint, nth int, first_id bigint, digest bigint, check int, salted boolean, lead boolean"
+
+
+def _common(source: DataFrame) -> np.ndarray:
+    """Digests that more than one document in RARE of a bounded sample has, at most COMMON: they only say what is salted."""
+    sample = sample_rows(source, SAMPLE_ROWS, "doc_id", "twin")
+    seen = sample.mapInArrow(_digests(np.zeros(0, np.int64)), _ROWS).groupBy("digest").agg(F.count("*").alias("n"))
+    least = max(20, SAMPLE_ROWS // RARE)
+    return np.array(sorted(r["digest"] for r in seen.where(F.col("n") >= least).orderBy(F.desc("n"), "digest").limit(COMMON).collect()), np.int64)
 
 
 def cut_text(text: bytes, start: np.ndarray, words: np.ndarray, duplicate: np.ndarray, least: int = RUN_WORDS) -> tuple[bytes, np.ndarray]:
@@ -207,11 +203,14 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     kept = documents.drop(*added)
     names = kept.columns
     twin = F.xxhash64(F.col("text").cast("string"))
-    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), twin.alias("twin"), F.col("text").cast("string").alias("text"))
-    rows = source.where("doc_id is not null and text is not null").mapInArrow(tidy(_digests), _ROWS)
-    spread = F.when(F.col("nth") < 0, F.col("twin") + F.col("doc_id") % 4096).otherwise(F.col("digest"))
-    found = rows.withColumn("_to", spread).repartition("_to").drop("_to").sortWithinPartitions("digest", "doc_id", "twin", "nth").mapInArrow(_later, "doc_id bigint, twin bigint, nth int, first_id bigint")
-    marks = settle(found.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("nth", "first_id")).alias("__gridloom_marks")), "marks")
+    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), twin.alias("twin"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    rows = source.mapInArrow(_digests(_common(source)), _ROWS)
+    found = settle(rows.repartition("digest", "salt").sortWithinPartitions("digest", "check", "salt", "doc_id", "twin", "nth").mapInArrow(_later, _MARKS), "later")
+    # the first of all salts: a row for each salted digest, of which there are at most COMMON
+    top = found.where("lead").groupBy("digest", "check").agg(F.min(F.struct("doc_id", "twin")).alias("top"))
+    salted = found.where("salted").join(F.broadcast(top), ["digest", "check"]).where((F.col("doc_id") != F.col("top.doc_id")) | (F.col("twin") != F.col("top.twin")))
+    later = found.where("not salted").select("doc_id", "twin", "nth", "first_id").union(salted.select("doc_id", "twin", "nth", F.col("top.doc_id")))
+    marks = settle(later.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("nth", "first_id")).alias("__gridloom_marks")), "marks")
     marks = marks.select(F.col("doc_id").alias("__gridloom_id"), F.col("twin").alias("__gridloom_twin"), F.transform("__gridloom_marks", lambda m: m["nth"]).alias("__gridloom_nth"), F.transform("__gridloom_marks", lambda m: m["first_id"]).alias("__gridloom_first"))
     joined = kept.withColumns({"__gridloom_key": F.col("doc_id").cast("bigint"), "__gridloom_of": twin}).join(marks, (F.col("__gridloom_key") == F.col("__gridloom_id")) & (F.col("__gridloom_of") == F.col("__gridloom_twin")), "left").select(*names, "__gridloom_nth", "__gridloom_first")
 
@@ -219,11 +218,11 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
 
     def rebuild(batches):
         for batch in batches:
-            texts, nulls = _bytes(batch.column(where)), batch.column(where).is_null().to_numpy(zero_copy_only=False)
+            texts, nulls = byte_texts(batch.column(where)), batch.column(where).is_null().to_numpy(zero_copy_only=False)
             marked, first = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
             known = batch.column(names.index("doc_id")).is_valid().to_numpy(zero_copy_only=False)
             out, n, removed, lost, lists = list(texts), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64), [[] for _ in texts]
-            for at, part in _slices(texts):
+            for at, part in runs(texts, SLICE_BYTES):
                 doc, start, digest, words = chunks(part)
                 head, stop, digest = groups(doc, digest, words)
                 bound = np.searchsorted(doc, np.arange(len(part) + 1))
@@ -237,13 +236,12 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
                     again = np.ones(q - p, bool)
                     _, once = np.unique(digest[p:q], return_index=True)
                     again[once] = False
-                    whole = bool(marked[row]) and -1 in marked[row]
-                    if marked[row] and not whole:
+                    if marked[row]:
                         again[marked[row]] = True
                     edge = np.zeros(b - a + 1, np.int64)
                     np.add.at(edge, head[p:q][again] - a, 1)
                     np.add.at(edge, stop[p:q][again] - a, -1)
-                    duplicate = whole | (np.cumsum(edge)[:-1] > 0)
+                    duplicate = np.cumsum(edge)[:-1] > 0
                     if not duplicate.any():
                         continue
                     out[row], gone = cut_text(part[i], start[a:b], words[a:b], duplicate)

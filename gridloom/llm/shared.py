@@ -4,29 +4,16 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share.
-
-    It is the one in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a folder of this machine is made and set for the session.
-    """
-    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
+from ..shared import shared_dir
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -40,17 +27,54 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sample_by_hash(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFrame:
-    """About ``rows`` rows of ``df``, chosen by a hash of ``key``; all rows when there are fewer.
+def sample_rows(df: DataFrame, rows: int, *keys: str, seed: int = 17) -> DataFrame:
+    """At most ``rows`` rows of ``df``: all of them, or of more the distinct ones whose hash of ``keys`` is least.
 
-    The bound is statistical: the count fluctuates by a few square roots of ``rows``.
+    Rows with equal keys count as one there, so a row that comes thousands of
+    times neither breaks the bound nor fills the sample. The same table gives
+    the same sample however it is partitioned.
     """
-    total = df.count()
+    grain = 1 << 40
+    ranked = df.withColumn("__rank", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(grain)))
+    total, distinct = ranked.agg(F.count("*"), F.approx_count_distinct("__rank")).first()
     if total <= rows:
         return df
-    grain = 1 << 40
-    keep = int(grain * rows / total)
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(grain)) < keep)
+    near = ranked.where(F.col("__rank") <= int(grain * min(1.0, 1.5 * rows / max(distinct, 1))))
+    return near.dropDuplicates(["__rank"]).orderBy("__rank").limit(rows).drop("__rank")
+
+
+def byte_texts(column: pa.Array) -> list[bytes]:
+    """UTF-8 of each text; a null one is empty."""
+    return pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()
+
+
+def runs(texts: list[bytes], size: int):
+    """Place and texts of runs of about ``size`` bytes at most, or of one text."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > size:
+            yield at, texts[at:i]
+            at, held = i, 0
+        held += len(t)
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+_PLACE = np.random.default_rng(23).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def place_weights(place: np.ndarray) -> np.ndarray:
+    """An odd 64-bit weight for each place in a word, line or chunk; no two places of it share one but by chance."""
+    out = _PLACE[place & (len(_PLACE) - 1)]
+    if (far := np.flatnonzero(place >= len(_PLACE))).size:
+        out[far] = mix(place[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return out
 
 
 def tidy(run):
