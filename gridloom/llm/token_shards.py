@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import fresh_path, sample_by_hash, tidy
+from .shared import fresh_path, sample_rows, tidy
 from .words import byte_bpe_encoder
 
 MAGIC = b"TIDS0001"
 FOOTER = struct.Struct("<QQ32s8s")
-#: Documents on which the dictionary is trained, about; and its size in bytes at most.
-DICTIONARY_ROWS, DICTIONARY_BYTES = 400, 32 << 10
+#: Documents on which the dictionary is trained and ids of each, at most; and its size in bytes at most.
+DICTIONARY_ROWS, DICTIONARY_IDS, DICTIONARY_BYTES = 400, 16 << 10, 32 << 10
 #: Bytes of frames after which a task begins another file.
 SHARD_BYTES = 128 << 20
 END_ID = 0
@@ -63,14 +63,27 @@ def with_end(flat: np.ndarray, counts: np.ndarray, end_id: int = END_ID) -> tupl
 
 
 def train_dictionary(documents: DataFrame, vocabulary: str) -> bytes:
-    """Dictionary from a bounded hash sample of documents; empty where they're too few to train on."""
+    """Dictionary from a bounded hash sample of documents; empty where they're too few to train on.
+
+    Tasks encode the sample; of a document of more than DICTIONARY_IDS ids a
+    stretch of so many travels to the driver, from a place given by its bytes.
+    """
     import zstandard
 
-    texts = sample_by_hash(documents.select("doc_id", "text").where("text is not null"), "doc_id", DICTIONARY_ROWS).select("text").toArrow()["text"].combine_chunks()
-    samples = []
-    for part in encoder(vocabulary).slices(texts):
-        ids, bounds = with_end(*encoder(vocabulary).encode_slice(part))
-        samples += [ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    def stretches(batches):
+        code = encoder(vocabulary)
+        for batch in batches:
+            for part in code.slices(batch.column(0)):
+                ids, bounds = with_end(*code.encode_slice(part))
+                out = []
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    if b - a > DICTIONARY_IDS:
+                        a += zlib.crc32(ids[a:b].tobytes()) % (b - a - DICTIONARY_IDS + 1)
+                    out.append(ids[a : min(b, a + DICTIONARY_IDS)].astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
+
+    sample = sample_rows(documents.select("doc_id", "text").where("text is not null"), DICTIONARY_ROWS, "doc_id", "text")
+    samples = sorted(sample.select("text").mapInArrow(tidy(stretches), "ids binary").toArrow()["ids"].to_pylist())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:

@@ -177,15 +177,20 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 def byte_bpe_encoder(path: str) -> TextEncoder:
     """Ids as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives them.
 
-    Special tokens' strings in a text are ordinary text. Each distinct piece
-    goes through the library's model once; units with characters past U+024F
-    go through the whole library, whose tables say what a letter is.
+    Each distinct piece goes through the library's model once; units with
+    characters past U+024F go through the whole library, whose tables say what
+    a letter is. So do the strings of added tokens, at which a text is cut, as
+    the library does; a text with one that strips blanks or must be a whole
+    word is not cut at all.
     """
     import regex
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    added = sorted(whole.get_added_tokens_decoder().values(), key=lambda t: -len(t.content))
+    strings = [re.escape(t.content) for t in added if t.content]
+    cut_at = re.compile("(" + "|".join(strings) + ")") if strings else None
+    simple = not any(t.lstrip or t.rstrip or t.single_word for t in added)
     model = whole.model
     model._resize_cache(0)  # each piece comes once
     letters, find = _byte_letters(), regex.compile(PIECES).findall
@@ -203,8 +208,17 @@ def byte_bpe_encoder(path: str) -> TextEncoder:
 
     pieces = WordTable(of_pieces)
 
+    beyond = "|".join(["[^\\x00-\\x{24f}]", *strings])
+
+    def split_odd(text: str) -> list[str]:
+        if not cut_at or not cut_at.search(text):
+            return _SAFE_CUT.split(text)
+        if not simple:
+            return [text]
+        return [u for i, x in enumerate(cut_at.split(text)) if x for u in ([x] if i % 2 else _SAFE_CUT.split(x))]
+
     def encode(units: pa.Array):
-        hard = pc.match_substring_regex(units, "[^\\x00-\\x{24f}]").to_numpy(zero_copy_only=False)
+        hard = pc.match_substring_regex(units, beyond).to_numpy(zero_copy_only=False)
         cut = list(map(find, units.filter(pa.array(~hard)).to_pylist()))
         words = pa.array([p for x in cut for p in x], pa.large_string()).dictionary_encode()
         rows = pieces.rows(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
@@ -221,4 +235,5 @@ def byte_bpe_encoder(path: str) -> TextEncoder:
         out[ragged(begin[hard], lengths[hard])] = np.array([i for x in got for i in x], np.uint32)
         return out, lengths
 
-    return TextEncoder(encode, f"[ {_OTHER_BLANKS}] |[ {_OTHER_BLANKS}]\\n|\\n\\z", _SAFE_CUT.split, first=True, lines=True)
+    odd = "|".join([f"[ {_OTHER_BLANKS}] |[ {_OTHER_BLANKS}]\\n|\\n\\z", *strings])
+    return TextEncoder(encode, odd, split_odd, first=True, lines=True)
