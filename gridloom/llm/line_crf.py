@@ -14,14 +14,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import sample_by_hash, tidy
+from .shared import byte_texts, place_weights, runs, sample_rows, tidy
 
-#: Bound of the training sample: labelled documents, about, and lines of one of them.
+#: Bound of the training sample: rows of labelled documents, and lines of one of them.
 TRAIN_ROWS, TRAIN_LINES = 2500, 400
+#: Lines of a chain that forward-backward goes through one by one; longer chains are cut into such pieces.
+PIECE = 512
 #: Stretches of neighbouring lines that are taken from a longer document.
 STRETCHES = 10
 ROUNDS, RATE, L2 = 150, 0.15, 1e-3
@@ -57,8 +58,6 @@ _FEATURES = len(_BINS)
 #: Own bins, those of the line before and after (a bin more for "none"), and a constant.
 SIZE = 3 * _FEATURES * (_WIDTH + 1) + 1
 
-_POSITION = np.random.default_rng(7).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
-
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Active features of each line (n, 3F + 1), lines of each text, and lengths of the lines in bytes."""
@@ -71,8 +70,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     line = np.repeat(np.arange(n), size + 1)
     kinds = np.bincount(line * _KINDS + _CLASS[data], minlength=n * _KINDS).reshape(n, _KINDS).astype(np.float64)
     kinds[:, 0] -= 1  # the line's end
-    place = (np.arange(len(data)) - starts[line]) & (len(_POSITION) - 1)
-    print_ = np.add.reduceat(_POSITION[place] * (data.astype(np.uint64) + np.uint64(1)), starts)
+    print_ = np.add.reduceat(place_weights(np.arange(len(data)) - starts[line]) * (data.astype(np.uint64) + np.uint64(1)), starts)
     doc = np.repeat(np.arange(len(texts)), per)
     order = np.lexsort((np.arange(n), print_, doc))
     again = np.zeros(n, bool)
@@ -84,7 +82,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         mark = np.zeros(len(data), np.int64)
         mark[first] = first
         inside = np.arange(len(data)) - np.maximum.accumulate(mark)
-        word = np.add.reduceat(np.where(blank, np.uint64(0), _POSITION[inside & (len(_POSITION) - 1)] * (data.astype(np.uint64) + np.uint64(1))), first)
+        word = np.add.reduceat(np.where(blank, np.uint64(0), place_weights(inside) * (data.astype(np.uint64) + np.uint64(1))), first)
         echo = np.bincount(line[first[1:]], (word[1:] == word[:-1]) & (line[first[1:]] == line[first[:-1]]), n)
     words = kinds[:, 1] + (size > 0)
     by = lambda a, b: a / np.maximum(b, 1)
@@ -104,42 +102,75 @@ def marginals(odds: np.ndarray, per: np.ndarray, pair: np.ndarray) -> tuple[np.n
     """Forward-backward over ragged chains: P(good) of each line, expected pairs of labels, log partition less that of free lines.
 
     ``odds`` are the log-odds of good by line, ``pair`` the (2, 2) log weights
-    of neighbouring labels (bad, good). All chains advance together.
+    of neighbouring labels (bad, good). All chains advance together. A chain
+    of more than PIECE lines is cut into pieces: products of 2 x 2 matrices
+    carry the messages from piece to piece, then all pieces advance together.
     """
     good = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     psi = np.stack([1 - good, good], 1)
-    order = np.argsort(-per, kind="stable")
-    begin = (np.cumsum(per) - per)[order]
-    length = per[order]
-    steps = int(length[0]) if len(length) else 0
-    alive = np.searchsorted(-length, -np.arange(steps), "left")  # chains longer than t
     m = np.exp(pair)
+    count = -(-per // PIECE)
+    owner = np.repeat(np.arange(len(per)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    begin = (np.cumsum(per) - per)[owner] + nth * PIECE
+    length = np.minimum(per[owner] - nth * PIECE, PIECE)
+    before, after = _between(psi, m, begin, length, nth, count[owner]) if (count > 1).any() else (np.ones((len(nth), 2)), np.ones((len(nth), 2)))
+    order = np.argsort(-length, kind="stable")
+    begin, length, inner = begin[order], length[order], nth[order] > 0
+    before, back = before[order], after[order]
+    steps = int(length[0]) if len(length) else 0
+    alive = np.searchsorted(-length, -np.arange(steps), "left")  # pieces longer than t
     forward = np.empty_like(psi)
     log_z = 0.0
     for t in range(steps):
         at = begin[: alive[t]] + t
-        f = psi[at] if t == 0 else (forward[at - 1] @ m) * psi[at]
+        f = np.where(inner[:, None], (before @ m) * psi[at], psi[at]) if t == 0 else (forward[at - 1] @ m) * psi[at]
         total = f.sum(1, keepdims=True)
         log_z += float(np.log(total).sum())
         forward[at] = f / total
     out = np.empty(len(odds))
     pairs = np.zeros((2, 2))
-    back = np.ones((len(per), 2))
     for t in range(steps - 1, -1, -1):
         k = alive[t]
         at = begin[:k] + t
         post = forward[at] * back[:k]
         post /= post.sum(1, keepdims=True)
         out[at] = post[:, 1]
+        pull = psi[at] * back[:k]
+        left = forward[at - 1] if t else before[:k][inner]
+        joint = left[:, :, None] * m[None] * (pull if t else pull[inner])[:, None, :]
+        pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         if t:
-            pull = psi[at] * back[:k]
-            joint = forward[at - 1][:, :, None] * m[None] * pull[:, None, :]
-            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
             nxt = pull @ m.T
             back[:k] = nxt / nxt.sum(1, keepdims=True)
     return out, pairs, log_z
 
 
+def _between(psi, m, begin, length, nth, count) -> tuple[np.ndarray, np.ndarray]:
+    """Forward message into each piece from the line before it, and backward message at its last line."""
+    order = np.argsort(-length, kind="stable")
+    alive = np.searchsorted(-length[order], -np.arange(int(length.max())), "left")
+    product = np.tile(np.eye(2), (len(nth), 1, 1))
+    for t, k in enumerate(alive):
+        rows = order[:k]
+        step = psi[begin[rows] + t]
+        whole = product[rows] @ m if t else np.where(nth[rows, None, None] > 0, m, np.eye(2))
+        whole = whole * step[:, None, :]
+        product[rows] = whole / whole.sum((1, 2), keepdims=True)
+    before, after = np.ones((len(nth), 2)), np.ones((len(nth), 2))
+    last = int(count.max())
+    by_place = [np.flatnonzero((nth == k) & (count > 1)) for k in range(last)]
+    for k in range(1, last):
+        rows = by_place[k]
+        f = np.einsum("ni,nij->nj", before[rows - 1], product[rows - 1])
+        before[rows] = f / f.sum(1, keepdims=True)
+    for k in range(last - 1, 0, -1):
+        rows = by_place[k]
+        b = np.einsum("nij,nj->ni", product[rows], after[rows])
+        after[rows - 1] = b / b.sum(1, keepdims=True)
+    return before, after
+
+
 def fit(active: np.ndarray, per: np.ndarray, label: np.ndarray) -> dict:
     """Maximum conditional likelihood with L2, by Adam on whole batches. ``label`` is 1 or 0 by chain."""
     weights, pair = np.zeros(SIZE), np.zeros((2, 2))
@@ -193,23 +224,9 @@ def score_texts(texts: list[bytes], model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-(model["slope"] * x + model["shift"])))
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return pc.fill_null(column.cast(pa.string()), "").cast(pa.binary()).to_pylist()
-
-
-def _parts(texts: list[bytes]):
-    at = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > SLICE_BYTES:
-            yield texts[at:i]
-            at, held = i, 0
-        held += len(t)
-    if at < len(texts):
-        yield texts[at:]
-
-
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """Whether a document is kept from learning by its id; a row without an id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def spread(lines: int, text: bytes, most: int = TRAIN_LINES) -> np.ndarray:
@@ -230,22 +247,25 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> di
     """Fit on a bounded hash sample of labelled documents that aren't held out.
 
     Labels that are null are left out; of several for one id the smallest
-    counts. Only lines' features travel to the driver. Without both labels the
+    counts. At most ``rows`` rows are learned from, however often an id comes,
+    and at most TRAIN_LINES lines of each; only lines' features travel to the
+    driver. Without both labels the
     model is flat: it gives every document the share of good labels, or 1
     where there are no labels at all.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("y")).where(~held_out())
-    picked = sample_by_hash(known, "doc_id", rows)  # about `rows` rows: small enough to send to all
-    chosen = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y")
+    picked = sample_rows(known, rows, "doc_id")  # at most `rows` rows: small enough to send to all
+    chosen = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
 
     def features(batches):
         for batch in batches:
-            for part, ys in zip([_bytes(batch.column(0))], [batch.column(1)], strict=True):
-                active, per, _ = line_features(part) if part else (np.zeros((0, 1), np.int32), np.zeros(0, np.int64), None)
+            for at, part in runs(byte_texts(batch.column(1)), SLICE_BYTES):
+                active, per, _ = line_features(part)
                 begin = np.cumsum(per) - per
-                yield pa.RecordBatch.from_arrays([pa.array([active[b + spread(int(k), t)].astype("<i4").tobytes() for b, k, t in zip(begin, per, part, strict=True)], pa.binary()), ys], ["x", "y"])
+                x = [active[b + spread(int(k), t)].astype("<i4").tobytes() for b, k, t in zip(begin, per, part, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(x, pa.binary()), batch.column(2).slice(at, len(part))], ["doc_id", "x", "y"])
 
-    got = chosen.mapInArrow(features, "x binary, y int").toArrow()
+    got = sample_rows(chosen.mapInArrow(tidy(features), "doc_id bigint, x binary, y int"), rows, "doc_id", "x").toArrow()
     label = got["y"].to_numpy().astype(np.int64)
     if len(set(label.tolist())) < 2:
         share = float(label.mean()) if len(label) else 1.0
@@ -259,7 +279,8 @@ def score_documents(documents: DataFrame, model: dict) -> DataFrame:
     """Add ``score`` and ``predicted`` to ``documents``, in one pass without a shuffle.
 
     Null and empty texts are scored as one empty line. Scores depend on the
-    text alone. Every row stays; columns of those names are replaced.
+    text alone, so repeated rows score alike. Every row stays; columns of
+    those names are replaced; an empty table stays empty.
     """
     kept = documents.drop("score", "predicted")
     code = json.dumps({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in model.items()})
@@ -267,11 +288,11 @@ def score_documents(documents: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         m = {k: np.array(v) if isinstance(v, list) else v for k, v in json.loads(code).items()}
         for batch in batches:
-            texts = _bytes(batch.column(batch.schema.names.index("text")))
+            texts = byte_texts(batch.column(batch.schema.names.index("text")))
             if "flat" in m:
                 s = np.full(len(texts), m["flat"])
             else:
-                s = np.concatenate([score_texts(p, m) for p in _parts(texts)]) if texts else np.zeros(0)
+                s = np.concatenate([score_texts(p, m) for _, p in runs(texts, SLICE_BYTES)]) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= KEEP).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     from pyspark.sql import types as T
