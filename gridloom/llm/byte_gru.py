@@ -1,29 +1,33 @@
 """Language identification: a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The network reads the bytes of a text word by word, forwards and backwards,
-and labels every position with probabilities of the languages; a document's
-probabilities are the means over its positions. As its state begins anew at
-every blank or line end (and, in longer words, after SPAN bytes), equal words get equal labels,
-so each worker runs the network once for each distinct word it meets.
+The network reads the bytes of a running text, forwards and backwards, and
+labels every position with probabilities of the languages; a document's
+probabilities are the means over its positions. States go on across words and
+lines. A text of more than SEGMENT bytes is cut into segments of equal size;
+each is read with WARM bytes more on either side, from which its states begin,
+so no text is too long and segments of all texts advance together.
 """
 
 from __future__ import annotations
 
 import io
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from .shared import sample_by_hash, tidy
-from .words import SLICE_BYTES
+from .shared import byte_texts, runs, tidy
 
-#: Size of the network, longest run of bytes without a new state, words that a worker remembers.
-HIDDEN, SPAN, CACHE_WORDS = 16, 48, 1_000_000
-#: Bounds of the training: documents, about, of at most so many characters, words, passes, words in a step.
-TRAIN_ROWS, TRAIN_CHARS, TRAIN_WORDS, PASSES, BATCH, RATE = 1200, 20_000, 24_000, 4, 256, 0.01
+#: Size of the network; bytes of a segment and of the context on its sides; segments that advance together, and numbers kept for them, at most.
+HIDDEN, SEGMENT, WARM, LANES, NUMBERS = 16, 1024, 64, 2048, 16 << 20
+#: Bounds of the training: documents of a language, stretches of one, bytes of a stretch; passes, stretches in a step.
+TRAIN_ROWS, STRETCHES, STRETCH, PASSES, BATCH, RATE = 400, 6, 40, 5, 96, 0.02
+SLICE_BYTES = 4 << 20
 UNKNOWN = "und"
 
 
@@ -42,6 +46,34 @@ class Direction:
     def parameters(self):
         return [self.table, self.own, self.bias]
 
+    def reader(self, rows: int):
+        """``read(bytes, k)``: the states of the first ``k`` of ``rows`` lanes after one more byte of each; buffers are kept between calls."""
+        size, half = len(self.bias), np.float32(0.5)
+        gate_table, table = np.ascontiguousarray(half * self.table[:, : 2 * size]), np.ascontiguousarray(self.table[:, 2 * size :])
+        gate_own, own = np.ascontiguousarray(half * self.own[:, : 2 * size]), np.ascontiguousarray(self.own[:, 2 * size :])
+        h = np.zeros((rows, size), np.float32)
+        g, x, n, u = (np.empty((rows, w), np.float32) for w in (2 * size, 2 * size, size, size))
+
+        def read(byte: np.ndarray, k: int) -> np.ndarray:
+            now, gates, more, new, inner = h[:k], g[:k], x[:k], n[:k], u[:k]
+            np.take(gate_table, byte, axis=0, out=gates, mode="clip")
+            gates += np.matmul(now, gate_own, out=more)
+            np.tanh(gates, out=gates)  # a gate is half of this and a half
+            gates += 1
+            gates *= half
+            np.matmul(now, own, out=inner)
+            inner += self.bias
+            inner *= gates[:, size:]
+            np.take(table, byte, axis=0, out=new, mode="clip")
+            new += inner
+            np.tanh(new, out=new)
+            now -= new
+            now *= gates[:, :size]
+            now += new
+            return now
+
+        return read
+
     def run(self, data: np.ndarray, keep: bool = False):
         """States (time, words, hidden) over ``data`` (words, time); with ``keep`` also what backpropagation needs."""
         h_size = len(self.bias)
@@ -64,7 +96,7 @@ class Direction:
         """Gradients, through time, of the loss whose gradient by state is ``pull`` (time, words, hidden)."""
         h_size = len(self.bias)
         d_table, d_own, d_bias = np.zeros_like(self.table), np.zeros_like(self.own), np.zeros_like(self.bias)
-        d_h = np.zeros(pull.shape[1:], np.float32)
+        d_h, d_x = np.zeros(pull.shape[1:], np.float32), np.empty((data.shape[1], len(data), 3 * h_size), np.float32)
         for t in range(data.shape[1] - 1, -1, -1):
             h, z, r, n, inner = held[t]
             d_h = d_h + pull[t]
@@ -73,10 +105,14 @@ class Direction:
             d_inner = d_n * r
             d_r = d_n * inner * r * (1 - r)
             d_u = np.concatenate([d_z, d_r, d_inner], 1)
-            np.add.at(d_table, data[:, t], np.concatenate([d_z, d_r, d_n], 1))
+            d_x[t] = np.concatenate([d_z, d_r, d_n], 1)
             d_own += h.T @ d_u
             d_bias += d_inner.sum(0)
             d_h = d_h * z + d_u @ self.own.T
+        byte = data.T.ravel()
+        order = np.argsort(byte, kind="stable")
+        first = np.flatnonzero(np.diff(byte[order], prepend=-1))
+        d_table[byte[order][first]] = np.add.reduceat(d_x.reshape(len(byte), -1)[order], first)
         return [d_table, d_own, d_bias]
 
 
@@ -122,22 +158,49 @@ class ByteGRU:
             p[...] = got[f"p{i}"]
         return net
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """Sums over the positions of each word: a column for each language, then the number of positions."""
-        out = np.zeros((len(words), len(self.languages) + 1), np.float32)
-        runs: dict[int, tuple[list[bytes], list[int]]] = {}
-        for i, w in enumerate(words):
-            for a in range(0, len(w), SPAN):
-                piece = w[a : a + SPAN]
-                pieces, owners = runs.setdefault(len(piece), ([], []))
-                pieces.append(piece)
-                owners.append(i)
-        for size, (pieces, owners) in runs.items():
-            data = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, size)
-            for a in range(0, len(data), 2048):
-                p = self.positions(data[a : a + 2048]).sum(1)
-                np.add.at(out, np.array(owners[a : a + 2048]), np.concatenate([p, np.full((len(p), 1), size, np.float32)], 1))
-        return out
+    def texts(self, texts: list[bytes]) -> np.ndarray:
+        """Mean probabilities over the positions of each text; a row of zeros where there is no position."""
+        total = np.zeros((len(texts), len(self.languages)))
+        size = np.array([len(t) for t in texts], np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        begin = np.cumsum(size) - size
+        owner, first, stop = segments(size)
+        low, high = np.maximum(first - WARM, 0), np.minimum(stop + WARM, size[owner])
+        order = np.argsort(low - high, kind="stable")
+        longest = int((high - low).max()) if len(order) else 1
+        lanes = max(64, min(LANES, NUMBERS // (longest * len(self.languages))))
+        for a in range(0, len(order), lanes):
+            rows = order[a : a + lanes]
+            np.add.at(total, owner[rows], self._lanes(data, begin[owner[rows]] + low[rows], (high - low)[rows], (first - low)[rows], (stop - low)[rows]))
+        return total / np.maximum(size, 1)[:, None]
+
+    def _lanes(self, data, at, length, first, stop) -> np.ndarray:
+        """Sums of the probabilities of the positions from ``first`` to ``stop`` of each lane; lanes by falling length."""
+        steps, half, n = int(length[0]), len(self.there.bias), len(length)
+        alive = np.searchsorted(-length, -np.arange(steps), "left").tolist()
+        odds = np.zeros((steps, len(self.languages), n), np.float32)
+        read = self.there.reader(n)
+        for t, k in enumerate(alive):
+            odds[t, :, :k] = (read(data[at[:k] + t], k) @ self.out[:half]).T
+        read = self.back.reader(n)
+        for t in range(steps - 1, -1, -1):
+            k = alive[t]
+            odds[t, :, :k] += (read(data[at[:k] + t], k) @ self.out[half:]).T
+        out = np.zeros((len(self.languages), n), np.float64)
+        for t in range(0, steps, 64):
+            part = odds[t : t + 64] + self.base[:, None]
+            part = np.exp(part - part.max(1, keepdims=True))
+            when = np.arange(t, t + len(part))[:, None]
+            out += (part * (((first <= when) & (when < stop)) / part.sum(1))[:, None, :].astype(np.float32)).sum(0)
+        return out.T
+
+
+def segments(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first byte and byte after the last of each segment: texts cut into equal parts of SEGMENT bytes at most."""
+    per = -(-size // SEGMENT)
+    owner = np.repeat(np.arange(len(size)), per)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+    return owner, size[owner] * nth // per[owner], size[owner] * (nth + 1) // per[owner]
 
 
 def _softmax(x):
@@ -170,69 +233,59 @@ def fit(words: list[bytes], label: np.ndarray, languages: list[str], passes: int
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """Whether a document is kept from learning by its id; a row without an id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def stretches(text: bytes) -> list[bytes]:
+    """What is learned of a text: the whole of a short one, else STRETCHES stretches from places given by its hash."""
+    room = len(text) - STRETCH
+    if room <= 0:
+        return [text] if text else []
+    return [text[a : a + STRETCH] for a in sorted({zlib.crc32(text, k) % (room + 1) for k in range(STRETCHES)})]
 
 
 def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> ByteGRU | None:
-    """Learn from a bounded hash sample of documents that have a language and aren't held out.
+    """Learn from a bounded hash sample of each language's documents that aren't held out.
 
-    The sample's words, drawn evenly over its languages, are the training
-    cases. Null texts are left out; without any case there's no model.
+    Every language counts alike: of each at most ``rows`` distinct documents,
+    of whatever length, give a few stretches from all over their text, and
+    these alone travel to the driver. Null texts and languages are left out;
+    without any case there's no model.
     """
-    known = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null").where(~held_out()).where(F.length("text") <= TRAIN_CHARS)
-    got = sample_by_hash(known, "doc_id", rows).select("text", "lang").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["lang"], r["text"]))
+    known = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null").where(~held_out())
+    grain = 1 << 40
+    ranked = known.withColumn("rank", F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(grain)))
+    distinct = ranked.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n")).collect()  # a row for each language
+    if not distinct:
+        return None
+    keep = documents.sparkSession.createDataFrame([(r["lang"], int(grain * min(1.0, 1.5 * rows / max(r["n"], 1)))) for r in distinct], "lang string, keep bigint")
+    near = ranked.join(keep, "lang").where("rank <= keep")
+
+    def cut(batches):
+        for batch in batches:
+            held = [(name, rank, k, x) for name, rank, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch.column(2)), strict=True) for k, x in enumerate(stretches(t))]
+            columns = list(zip(*held, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], ["lang", "rank", "k", "x"])
+
+    found = near.select("lang", "rank", "text").mapInArrow(tidy(cut), "lang string, rank bigint, k int, x binary").dropDuplicates(["lang", "rank", "k"])
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("rank", "k"))
+    got = found.withColumn("nth", nth).where(F.col("nth") <= rows * STRETCHES).select("lang", "x").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["lang"], r["x"]))
     languages = sorted({r["lang"] for r in got})
-    rng = np.random.default_rng(3)
-    words, label = [], []
-    for i, name in enumerate(languages):
-        own = [w[:SPAN] for r in got if r["lang"] == name for w in r["text"].replace("\n", " ").encode().split(b" ") if w]
-        take = rng.choice(len(own), min(len(own), TRAIN_WORDS // len(languages)), replace=False) if own else []
-        words += [own[j] for j in take]
-        label += [i] * len(take)
-    return fit(words, np.array(label), languages) if words else None
-
-
-class WordLabels:
-    """Rows of ByteGRU.words by word, kept over the batches of a worker."""
-
-    def __init__(self, net: ByteGRU):
-        self.net = net
-        self.clear()
-
-    def clear(self):
-        self.words, self.sums = pa.array([], pa.large_binary()), np.zeros((0, len(self.net.languages) + 1), np.float32)
-
-    def rows(self, distinct: pa.Array) -> np.ndarray:
-        if len(self.words) + len(distinct) > CACHE_WORDS and len(self.words):
-            self.clear()
-        found = pc.index_in(distinct, value_set=self.words)
-        missing = distinct.filter(pc.is_null(found))
-        rows = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(missing):
-            rows[rows < 0] = np.arange(len(self.words), len(self.words) + len(missing))
-            self.words = pa.concat_arrays([self.words, missing])
-            self.sums = np.concatenate([self.sums, self.net.words(missing.to_pylist())])
-        return rows
-
-    def documents(self, texts: pa.Array) -> np.ndarray:
-        """Mean probabilities over the positions of each text; a row of zeros where there's no position."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
-        rows = self.rows(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        sums = np.add.reduceat(self.sums[rows].astype(np.float64), (bounds - bounds[0])[:-1])
-        return sums[:, :-1] / np.maximum(sums[:, -1:], 1)
-
-
-_nets: dict[bytes, WordLabels] = {}
+    place = {name: i for i, name in enumerate(languages)}
+    return fit([r["x"] for r in got], np.array([place[r["lang"]] for r in got]), languages) if got else None
+
+
+_nets: dict[bytes, ByteGRU] = {}
 
 
 def identify(documents: DataFrame, net: ByteGRU | None) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to ``documents``, in one pass without a shuffle.
 
     A null text or one without a letter is ``und`` with score 0, as is every
-    text without a model. Every row stays; columns of those names are replaced.
+    text without a model. Every row stays, and repeated rows get the same;
+    columns of those names are replaced; an empty table stays empty.
     """
     kept = documents.drop("lang_pred", "score")
     code = net.dump() if net else b""
@@ -240,25 +293,19 @@ def identify(documents: DataFrame, net: ByteGRU | None) -> DataFrame:
     def run(batches):
         if code and code not in _nets:
             _nets.clear()
-            _nets[code] = WordLabels(ByteGRU.load(code))
+            _nets[code] = ByteGRU.load(code)
         for batch in batches:
-            texts = pc.fill_null(batch.column(batch.schema.names.index("text")).cast(pa.large_string()), "")
-            some = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False) & bool(code)
-            names, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
-            a = 0
-            while a < len(texts) and code:
-                b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + SLICE_BYTES, "right")) - 1)
-                p = _nets[code].documents(texts.slice(a, b - a))
-                best = p.argmax(1)
-                names[a:b] = np.array(_nets[code].net.languages, object)[best]
-                score[a:b] = np.clip(p[np.arange(b - a), best], 0, 1)
-                a = b
-            names[~some], score[~some] = UNKNOWN, 0.0
+            column = pc.fill_null(batch.column(batch.schema.names.index("text")).cast(pa.large_string()), "")
+            some = pc.match_substring_regex(column, r"\pL").to_numpy(zero_copy_only=False) & bool(code)
+            names, score = np.full(len(column), UNKNOWN, object), np.zeros(len(column))
+            where = np.flatnonzero(some)
+            for at, part in runs(byte_texts(column.filter(pa.array(some))), SLICE_BYTES):
+                p = _nets[code].texts(part)
+                best, rows = p.argmax(1), where[at : at + len(part)]
+                names[rows] = np.array(_nets[code].languages, object)[best]
+                score[rows] = np.clip(p[np.arange(len(part)), best], 0, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return kept.mapInArrow(tidy(run), schema)
 
