@@ -16,12 +16,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import sample_by_hash
+from .shared import sample_rows
 
 #: Characters between words, and characters counted as symbols.
 BLANKS = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
-#: Documents in the sample by which the rules are ordered, about.
+#: Documents in the sample by which the rules are ordered, at most.
 SAMPLE_ROWS = 1000
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -85,7 +85,7 @@ def order_rules(documents: DataFrame, text: str = "text", rows: int = SAMPLE_ROW
     that evaluates none. Without rows the given order stays.
     """
     given = rules(text)
-    sample = with_statistics(sample_by_hash(documents.where(F.col(text).isNotNull()).select("doc_id", text), "doc_id", rows), text).drop("__gridloom_words").persist()
+    sample = with_statistics(sample_rows(documents.where(F.col(text).isNotNull()).select("doc_id", text), rows, "doc_id", text), text).drop("__gridloom_words").persist()
     try:
         total = sample.count()
         if not total:
