@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -214,9 +215,10 @@ def clustered(seed, n=400, d=12):
     return [(int(i), (centres[rng.integers(8)] + rng.normal(size=d) * rng.choice([0.02, 0.1, 0.4])).astype(np.float32).tolist()) for i in rng.permutation(n)]
 
 
-@pytest.mark.parametrize("block", [40, 5000])
-def test_vectors_match_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "region"), [(40, 64), (5000, 64), (40, 5), (7, 200)])
+def test_vectors_match_all_pairs(spark, monkeypatch, block, region):
     monkeypatch.setattr(cover_tree, "BLOCK", block)
+    monkeypatch.setattr(cover_tree, "REGION", region)
     vectors = clustered(3)
     vectors += [(1000 + i, vectors[i][1]) for i in range(15)] + [(2000 + i, [2 * c for c in vectors[i][1]]) for i in range(5)]
     near = plain_links(vectors, 0.95)
@@ -249,28 +251,115 @@ def test_vectors_on_awkward_rows(spark):
     assert cover_tree.near_duplicates(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_vectors_of_any_length_link(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e100]), (3, [1e-200, 0.0]), (4, [0.0, 1e-200]), (5, [0.0, 5e-324]), (6, [-1e308, -1e308]), (7, [-1.0, -1.0]), (8, [1e308, -1e-308])]
+    got = {r["vec_id"]: r for r in cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 8: (3, 1), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
+
+
+def test_clustered_vectors_are_sent_to_few_blocks(monkeypatch):
+    """What travels grows in proportion where clusters lie apart."""
+    rng = np.random.default_rng(2)
+    centres = cover_tree.units(rng.normal(size=(60, 32)))
+    for n in (1500, 7500):
+        x = cover_tree.units(centres[rng.integers(60, size=n)] + rng.normal(size=(n, 32)) * 0.02)
+        picked, far = [0], cover_tree._distances(x, x[:1])[:, 0]
+        while len(picked) < 60:
+            picked.append(int(far.argmax()))
+            far = np.minimum(far, cover_tree._distances(x, x[picked[-1:]])[:, 0])
+        d = cover_tree._distances(x, x[picked])
+        home = d.argmin(1)
+        radius = np.array([d[home == k, k].max() for k in range(60)])
+        monkeypatch.setattr(cover_tree, "BLOCK", 300)
+        blocks = cover_tree._blocks(x[picked], np.bincount(home, minlength=60))
+        assert sorted(np.concatenate(blocks).tolist()) == list(range(60))
+        near = d <= radius + np.sqrt(0.1) + 1e-6
+        assert sum(near[:, g].any(1).sum() for g in blocks) < 1.1 * n
+
+
 # Substring dedup
 
 
-def plain_dedup(docs):
+def naive_chunks(raw):
+    """(start, content, words) of the chunks of a text, byte by byte."""
+
+    def gear(i):
+        h = sum(int(chunk_dedup._GEAR[raw[i - k] if i >= k else 10]) << 2 * k for k in range(16)) & 0xFFFFFFFF
+        return ((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 8
+
+    units = []
+    for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw):
+        s, e = m.span()
+        cuts = [p for p in range(s + 1, e) if e - s > 64 and gear(p - 1) % 32 == 0 and raw[p] & 0xC0 != 0x80]
+        units += zip([s, *cuts], [*cuts, e], strict=True)
+    out, held = [], []
+    for s, e in units:
+        held.append((s, e))
+        if gear(e - 1) % 4 == 0 or len(held) == 64 or (s, e) == units[-1]:
+            out.append((held[0][0], re.sub(rb"[\x09-\x0d]", b" ", raw[held[0][0] : e]), len(held)))
+            held = []
+    return out
+
+
+def naive_groups(chunks):
+    """(first, after the last) of the shortest runs of 20 words from each chunk on and up to each chunk."""
+    n, out = [w for _, _, w in chunks], set()
+    for i in range(len(n)):
+        ahead = next((j for j in range(i + 1, len(n) + 1) if sum(n[i:j]) >= 20), None)
+        behind = next((j for j in range(i, -1, -1) if sum(n[j : i + 1]) >= 20), None)
+        out |= {(i, ahead)} if ahead else set()
+        out |= {(behind, i + 1)} if behind is not None else set()
+    return sorted(out)
+
+
+def naive_dedup(docs):
+    """One pass in order of the ids: text without what came before, and the documents that had it first."""
     seen, out = {}, []
     for doc_id, text in sorted(docs, key=lambda r: r[0]):
         raw = (text or "").encode()
-        _, start, digest, words = chunk_dedup.chunks([raw])
-        mine, duplicate = set(), np.zeros(len(digest), bool)
-        for k, x in enumerate(digest.tolist()):
-            duplicate[k] = x in mine or x in seen
-            mine.add(x)
-        for x in mine:
-            seen.setdefault(x, doc_id)
-        out.append((doc_id, None if text is None else (chunk_dedup.cut_text(raw, start, words, duplicate)[0] if len(digest) else raw).decode()))
-    return sorted(out)
+        chunks = naive_chunks(raw)
+        gone, firsts, own = set(), set(), {}
+        for i, j in naive_groups(chunks):
+            key = tuple(c for _, c, _ in chunks[i:j])
+            if key in seen:
+                firsts.add(seen[key])
+            if key in seen or key in own:
+                gone |= set(range(i, j))
+            own.setdefault(key, doc_id)
+        seen |= {k: v for k, v in own.items() if k not in seen}
+        stops = [s for s, _, _ in chunks[1:]] + [len(raw)]
+        kept = b"".join([raw[: chunks[0][0]] if chunks else raw, *(raw[s:e] for k, ((s, _, _), e) in enumerate(zip(chunks, stops, strict=True)) if k not in gone)])
+        out.append((doc_id, None if text is None else kept.decode(), sorted(firsts), len(gone)))
+    return out
+
+
+def deduplicated(spark, docs, parts):
+    got = chunk_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(parts)).collect()
+    return sorted((r["doc_id"], r["text"], r["first_ids"], r["n_removed"]) for r in got)
 
 
 def test_dedup_matches_one_pass_in_order(spark, data):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
-    got = chunk_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id bigint, text string"))
-    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == plain_dedup(docs)
+    assert deduplicated(spark, docs, 3) == naive_dedup(docs)
+
+
+@pytest.mark.parametrize("parts", [1, 4, 211])
+def test_dedup_is_the_same_however_rows_are_dealt(spark, parts):
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(9000)]
+    line, whole = " ".join(rng.choices(vocab, k=45)), " ".join(rng.choices(vocab, k=90))
+    docs = [(k, " ".join(rng.choices(vocab, k=30)) + "\n" + line + " " + " ".join(rng.choices(vocab, k=25))) for k in range(5, 95)]
+    docs += [(k, whole) for k in (1, 2, 3, 100, 101, 102, 103, 104)] + [(99, whole + " " + line), (110, ("w" * 70 + "\u00e9") * 40), (111, ("w" * 70 + "\u00e9") * 40 + " x")]
+    got = deduplicated(spark, docs, parts)
+    assert got == naive_dedup(docs)
+    assert {i: f for i, _, f, _ in got}[104] == [1]
+
+
+def test_common_passages_are_salted(spark):
+    rng = random.Random(13)
+    docs = spark.createDataFrame([(k, k, " ".join(f"v{rng.randint(0, 9999)}" for _ in range(30)) + " " + " ".join(f"c{i}" for i in range(40))) for k in range(40)], "doc_id bigint, twin bigint, text string")
+    common = chunk_dedup._common(docs)
+    assert len(common) and (docs.mapInArrow(chunk_dedup._digests(common), chunk_dedup._ROWS).where("salt > 0").groupBy("digest").agg({"salt": "max"}).count()) == len(common)
 
 
 def test_passages_go_and_the_first_stays(spark):

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from gridloom.llm import byte_gru, line_crf, packing, pieces, quality_rules, token_shards, words
+from gridloom.llm import byte_gru, line_crf, packing, pieces, quality_rules, shared, token_shards, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -79,6 +79,37 @@ def test_marginals_match_enumeration():
     np.testing.assert_allclose(pairs, want_pairs, rtol=1e-9)
 
 
+def test_marginals_of_long_chains_match_one_pass(monkeypatch):
+    rng = np.random.default_rng(1)
+    per, pair = np.array([2, 40, 1, 17, 16, 33, 8]), rng.normal(size=(2, 2))
+    odds = rng.normal(scale=3, size=per.sum())
+    whole = line_crf.marginals(odds, per, pair)
+    monkeypatch.setattr(line_crf, "PIECE", 8)
+    for a, b in zip(whole, line_crf.marginals(odds, per, pair), strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-9)
+
+
+def test_lines_of_many_bytes_are_told_apart():
+    a, b = b"a" * 4096 + b"b" * 4096, b"b" * 4096 + b"a" * 4096
+    active, _, _ = line_crf.line_features([a + b"\n" + b, a + b"\n" + a])
+    assert not np.array_equal(active[1], active[3])
+
+
+def test_classifier_learns_from_a_bound_of_rows(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(line_crf, "fit", lambda x, per, y: got.append(len(per)) or {"flat": 1.0})
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    docs = spark.createDataFrame([(ids[0], f"text {k}") for k in range(5000)] + [(ids[1], "bad")], "doc_id bigint, text string")
+    line_crf.train(docs, spark.createDataFrame([(ids[0], 1), (ids[1], 0)], "doc_id bigint, quality int"), rows=400)
+    assert all(n <= 400 for n in got)
+
+
+def test_samples_are_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(7, "one text")] * 5000 + [(i, f"t{i}") for i in range(3000)], "doc_id bigint, text string")
+    got = [sorted(map(tuple, shared.sample_rows(docs.repartition(n), 400, "doc_id", "text").collect())) for n in (1, 7)]
+    assert got[0] == got[1] and 380 <= len(got[0]) <= 400 and len(set(got[0])) == len(got[0])
+
+
 def test_classifier_on_held_out_documents(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -122,10 +153,62 @@ def test_gradient_through_time():
         assert abs((high - low) / 2e-2 - g[at]) < 2e-2 * max(1, abs(g[at]))
 
 
+def naive_probabilities(net, text):
+    """Mean over the positions of a text, a byte at a time, each segment with its context."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(way, data):
+        h, out, n = np.zeros(len(way.bias)), [], len(way.bias)
+        for b in data:
+            x, u = way.table[b].astype(float), h @ way.own.astype(float)
+            z, r = sigmoid(x[:n] + u[:n]), sigmoid(x[n : 2 * n] + u[n : 2 * n])
+            new = np.tanh(x[2 * n :] + r * (u[2 * n :] + way.bias))
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    total, cuts = np.zeros(len(net.languages)), -(-len(text) // byte_gru.SEGMENT)
+    for k in range(cuts):
+        a, b = len(text) * k // cuts, len(text) * (k + 1) // cuts
+        low, high = max(0, a - byte_gru.WARM), min(len(text), b + byte_gru.WARM)
+        there, back = states(net.there, text[low:high]), states(net.back, text[low:high][::-1])[::-1]
+        for i in range(a - low, b - low):
+            odds = np.concatenate([there[i], back[i]]) @ net.out + net.base
+            p = np.exp(odds - odds.max())
+            total += p / p.sum()
+    return total / max(len(text), 1)
+
+
+def test_network_reads_running_text_as_written_down(monkeypatch):
+    monkeypatch.setattr(byte_gru, "SEGMENT", 60)
+    monkeypatch.setattr(byte_gru, "WARM", 9)
+    monkeypatch.setattr(byte_gru, "LANES", 70)
+    net, rng = byte_gru.ByteGRU(["a", "b", "c"], hidden=6), np.random.default_rng(3)
+    texts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in [0, 1, 2, 59, 60, 61, 500, 1234, *rng.integers(0, 150, 90).tolist()]]
+    got = net.texts(texts)
+    for text, p in zip(texts, got, strict=True):
+        np.testing.assert_allclose(p, naive_probabilities(net, text), atol=2e-4)
+    a, b = net.texts([b"one two", b"six two"])
+    assert not np.allclose(a, b)
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = byte_gru.identify(docs, byte_gru.train(docs)).where(byte_gru.held_out()).select("lang", "lang_pred").collect()
-    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.95
+    for name in {r["lang"] for r in got}:
+        right = [r["lang_pred"] == name for r in got if r["lang"] == name]
+        assert sum(right) / len(right) > 0.95, name
+
+
+def test_rare_languages_and_those_of_long_texts_are_learned(spark):
+    rng = np.random.default_rng(5)
+    text = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(n))
+    rows = [(i, text("abcde", 30), "common") for i in range(4000)] + [(5000 + i, text("vwxyz", 8000), "long") for i in range(12)] + [(6000 + i, text("klmno", 40), "rare") for i in range(9)] + [(7001, text("fghi", 50), "repeated")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = byte_gru.train(docs)
+    assert net.languages == ["common", "long", "rare", "repeated"]
+    new = spark.createDataFrame([(1, text("abcde", 30)), (2, text("vwxyz", 9000)), (3, text("klmno", 30)), (4, text("fghi", 30))], "doc_id bigint, text string")
+    assert [r["lang_pred"] for r in byte_gru.identify(new, net).orderBy("doc_id").collect()] == net.languages
 
 
 def test_language_on_awkward_rows(awkward, empty):
@@ -141,19 +224,28 @@ def test_language_on_awkward_rows(awkward, empty):
 
 # Tokenizers
 
-ODD = ["", " ", "  ", "   a", " a", "a ", "a  b", "\n", "\nab", "a\n", "a\nb", "a \nb", "a\n b", "a\n\nb", "a\r\nb", "don't we'll it's 's", "x\u00a0\n y", "\x1c \x1d a", "naïve— “q” 12 3a", "a　 b", "<|endoftext|> <s> <0x41>", "▁", "a▁b", "▁▁ a", "日本 語 😀 é́ a", "\x00", "a" * 700, "ab" * 500, "x      y       z" + " " * 40]
+ODD = ["", " ", "  ", "   a", " a", "a ", "a  b", "\n", "\nab", "a\n", "a\nb", "a \nb", "a\n b", "a\n\nb", "a\r\nb", "don't we'll it's 's", "x\u00a0\n y", "\x1c \x1d a", "naïve— “q” 12 3a", "a　 b", "<|endoftext|> <s> <0x41>", "hello <|endoftext|> there", "a<|endoftext|>", "<|endoftext|><|endoftext|>  b\n", "x \n<|endoftext|>\n y <|endoftext", "é<|endoftext|> 日本", "▁", "a▁b", "▁▁ a", "日本 語 😀 é́ a", "\x00", "a" * 700, "ab" * 500, "x      y       z" + " " * 40]
 
 
 def test_byte_bpe_equals_the_library(spark, data):
     texts = ODD + [r[0] for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
     library = Tokenizer.from_file(BYTE_BPE)
-    library.encode_special_tokens = True
     flat, counts = words.byte_bpe_encoder(BYTE_BPE).encode_slice(pa.array(texts, pa.large_string()))
     ends = np.cumsum(counts)
     for text, a, b in zip(texts, ends - counts, ends, strict=True):
         assert flat[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text[:60]
 
 
+def test_added_tokens_are_found_in_any_text():
+    rng = np.random.default_rng(4)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "ab", "<|", "é", "日", "'s", "12", "\u00a0", "|>"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 12))) for _ in range(3000)]
+    flat, counts = words.byte_bpe_encoder(BYTE_BPE).encode_slice(pa.array(texts, pa.large_string()))
+    ends, library = np.cumsum(counts), Tokenizer.from_file(BYTE_BPE)
+    for text, a, b in zip(texts, ends - counts, ends, strict=True):
+        assert flat[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_word_table_forgets_without_changing_ids():
     code = words.byte_bpe_encoder(BYTE_BPE)
     code.table.limit = code.units.limit = 50
@@ -191,7 +283,6 @@ def test_piece_digests(awkward, empty):
 
 def test_shards_round_trip(spark, awkward, empty):
     library = Tokenizer.from_file(BYTE_BPE)
-    library.encode_special_tokens = True
     folder, manifest = token_shards.write_shards(awkward, BYTE_BPE)
     got = sorted(rows_of(token_shards.read_shards(spark, folder, manifest)), key=lambda r: r[1])
     docs = sorted((tuple(r)[:2] for r in awkward.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
@@ -239,7 +330,6 @@ def test_program_finds_the_optimum(demand, best):
 def test_packing_places_every_id_once(awkward, empty):
     got = packing.pack_documents(awkward, BYTE_BPE, keep_ids=True).collect()
     library = Tokenizer.from_file(BYTE_BPE)
-    library.encode_special_tokens = True
     want = Counter()
     for r in awkward.collect():
         want[(r["doc_id"], len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1)] += 1
