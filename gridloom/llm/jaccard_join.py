@@ -7,46 +7,50 @@ first pivots are therefore taken where documents are near: two sets within
 the threshold differ in at most D shingles, so if shingles are dealt by hash
 into more than D buckets, the sets agree on a whole bucket. Documents that share
 a bucket form a region around the smallest of them, its pivot. Every pair
-within the threshold lies in a common region. In a region further pivots make
-Voronoi cells: a document belongs to the cell of the nearest pivot and is
-copied to each other cell whose pivot is at most twice the threshold's
-distance farther; cells split again until they are small or don't shrink,
-and are then compared exactly. Only spanning edges leave a task.
+within the threshold lies in a common region.
+
+A region too large for a task is joined by rounds over the cluster. Each round
+takes pivots from its rows, measures the distances of all rows to them in as
+many tasks as the rows need, and makes Voronoi cells: a row belongs to the cell
+of the nearest pivot and is copied to each other cell whose pivot is at most
+twice the threshold's distance farther. Rows that links to pivots connect are the core,
+of which no pair need be compared; a cell without other rows is done, a small
+one is left to a task, a large one goes into the next round. What windows don't
+divide, near copies all around, is compared in blocks, each row outside the core
+with all others. Within a task cells split by pivots in the same way until they
+are compared directly. Only spanning edges leave a task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import connected_components, forest, settle, tidy
+from .shared import byte_texts, connected_components, forest, mix, place_weights, runs, sample_rows, settle, tidy
 
 #: Defaults: words in a shingle; the similarity as a fraction of whole numbers.
 WORDS, OVER, UNDER = 5, 80, 100
 SLICE_BYTES = 2 << 20
-#: A region of more documents or shingles than these is dealt to several tasks.
-REGION_ROWS, REGION_ITEMS = 2000, 3_000_000
+#: A region of more documents or shingles than these is joined over the cluster; rows of a task that measures or compares.
+REGION_ROWS, REGION_ITEMS, TASK_ROWS = 512, 1_000_000, 256
+#: Rounds over the cluster, at most; a cell with more than this share of its region's rows hasn't shrunk.
+ROUNDS, SHRUNK = 5, 0.8
+#: Sample that tells keys which more than one document in RARE has; so many of them at most; salts of each.
+SAMPLE_ROWS, RARE, COMMON, SALTS = 4000, 200, 4096, 64
+#: Set names that a task remembers so that copies don't give their keys again.
+REMEMBERED = 500_000
 #: Size of a cell that is compared directly, and pivots of a split.
 CELL, PIVOTS = 64, 8
 
-_RNG = np.random.default_rng(23)
-_PLACE = _RNG.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
-_ORDER = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_ORDER = np.random.default_rng(29).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit shingles of each text, one after the other, and their bounds.
 
@@ -62,8 +66,7 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     mark = np.zeros(len(data), np.int64)
     mark[starts] = starts
-    place = (np.arange(len(data)) - np.maximum.accumulate(mark)) & (len(_PLACE) - 1)
-    value = np.where(blank, np.uint64(0), _PLACE[place] * (data.astype(np.uint64) + np.uint64(1)))
+    value = np.where(blank, np.uint64(0), place_weights(np.arange(len(data)) - np.maximum.accumulate(mark)) * (data.astype(np.uint64) + np.uint64(1)))
     word = mix(np.add.reduceat(value, starts))
     first = np.searchsorted(starts, np.concatenate([begin, [len(data)]]))
     count = np.diff(first)
@@ -83,14 +86,16 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return h, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def node_ids(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, equal for equal sets; 0 for the empty one."""
-    out = np.zeros(len(bounds) - 1, np.uint64)
-    some = np.flatnonzero(np.diff(bounds))
+def set_names(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A 64-bit name of each set, by which candidates are found, and the 128-bit one that stands for it; zeros for the empty set."""
+    n = np.diff(bounds)
+    out = np.zeros((len(n), 2), np.uint64)
+    some = np.flatnonzero(n)
     if len(some):
-        total = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), bounds[some])
-        out[some] = mix(total + np.diff(bounds)[some].astype(np.uint64))
-    return out.view(np.int64)
+        for k, salt in enumerate((0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)):
+            out[some, k] = mix(np.add.reduceat(mix(flat ^ np.uint64(salt)), bounds[some]) + n[some].astype(np.uint64))
+    data = out.astype(">u8").tobytes()
+    return out[:, 0].copy().view(np.int64), [data[i : i + 16] for i in range(0, len(data), 16)]
 
 
 class Classes:
@@ -149,42 +154,27 @@ def bucket_keys(flat: np.ndarray, bounds: np.ndarray, classes: Classes, rows: np
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()
-
-
-def _slices(texts: list[bytes]):
-    at = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > SLICE_BYTES:
-            yield at, texts[at:i]
-            at, held = i, 0
-        held += len(t)
-    if at < len(texts):
-        yield at, texts[at:]
-
-
 def _regions(batches):
-    """(node, pivot) of the documents that share a key, from rows sorted by key and node; the pivot is the first."""
+    """(name, pivot) of the sets that share a key, from rows sorted by key, salt and name; the pivot is the first. Of salted keys also the pivot itself."""
     last = pivot = None
     for batch in batches:
-        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        key, salt, name = (batch.column(c).to_numpy() for c in range(3))
         if not len(key):
             continue
-        new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
+        new = np.concatenate([[last is None or (key[0], salt[0]) != last], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
         at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        first = np.where(at >= 0, node[at], pivot if pivot is not None else 0)
-        last, pivot = key[-1], first[-1]
-        more = node != first
-        if more.any():
-            pair = np.unique(np.stack([node[more], first[more]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["node", "pivot"])
+        first = np.where(at >= 0, name[at], pivot if pivot is not None else 0)
+        last, pivot = (key[-1], salt[-1]), first[-1]
+        rows = np.flatnonzero((name != first) | (salt > 0))
+        if len(rows):
+            found = np.unique(np.stack([name[rows], first[rows], np.where(salt[rows] > 0, key[rows], 0), salt[rows] > 0], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2]), pa.array(found[:, 3] > 0)], ["name", "pivot", "key", "salted"])
 
 
 class Region:
     """Exact join of a few thousand sets by recursive Voronoi cells."""
 
-    def __init__(self, sets: list[np.ndarray], over: int, under: int, every: bool = False):
+    def __init__(self, sets: list[np.ndarray], over: int, under: int, every: bool = False, core: np.ndarray | None = None):
         self.over, self.under = over, under
         self.reach = 1 - over / under
         self.n = np.array([len(s) for s in sets], np.int64)
@@ -198,6 +188,9 @@ class Region:
         self.bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
         self.width = int(shared.sum())
         self.label = np.arange(len(sets))
+        if core is not None and core.any() and not every:
+            self.label[core] = np.flatnonzero(core)[0]  # they are connected already
+        self.start = self.label.copy()
         self.every, self.found = every, [np.zeros(0, np.int64)]
 
     def flat(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +215,7 @@ class Region:
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of linked sets, each once, if ``every``; else edges to the labels."""
         if not self.every:
-            moved = np.flatnonzero(self.label != np.arange(len(self.label)))
+            moved = np.flatnonzero((self.label != self.start) & (self.start == np.arange(len(self.label))))
             return moved, self.label[moved]
         return np.divmod(np.unique(np.concatenate(self.found)), len(self.label))
 
@@ -263,108 +256,270 @@ class Region:
                 else:
                     todo.append(cell)
 
-    def compare(self, rows: np.ndarray) -> None:
-        """All pairs of a cell by counting common shingles in dense blocks."""
+    def compare(self, rows: np.ndarray, others: np.ndarray | None = None) -> None:
+        """All pairs of a cell, or of two, by counting common shingles in dense blocks."""
         rows = rows[np.argsort(self.n[rows], kind="stable")]
-        n = self.n[rows]
+        right_rows = rows if others is None else others[np.argsort(self.n[others], kind="stable")]
+        n, m = self.n[rows], self.n[right_rows]
         for a in range(0, len(rows), 256):
-            end = int(np.searchsorted(n, n[min(a + 255, len(rows) - 1)] * self.under // self.over, "right"))
-            left, right = rows[a : a + 256], rows[a:end]
-            if not self.every and (self.label[right] == self.label[left[0]]).all():
+            left, least = rows[a : a + 256], n[a]
+            begin = a if others is None else int(np.searchsorted(m, -(-least * self.over // self.under), "left"))
+            end = int(np.searchsorted(m, n[min(a + 255, len(rows) - 1)] * self.under // self.over, "right"))
+            right = right_rows[begin:end]
+            if not len(right) or (not self.every and (self.label[right] == self.label[left[0]]).all() and (self.label[left] == self.label[left[0]]).all()):
                 continue
-            items, owner = self.flat(right)
-            used, column = np.unique(items, return_inverse=True)
+            used, column = np.unique(np.concatenate([self.flat(left)[0], self.flat(right)[0]]), return_inverse=True)
+            owners = self.flat(left)[1], self.flat(right)[1]
+            columns = column[: len(owners[0])], column[len(owners[0]) :]
             common = np.zeros((len(left), len(right)), np.float32)
-            order = np.argsort(column, kind="stable")
-            column, owner = column[order], owner[order]
+            sides = []
+            for own, col in zip(owners, columns, strict=True):
+                order = np.argsort(col, kind="stable")
+                sides.append((own[order], col[order]))
             for c in range(0, len(used), 2048):
-                s, e = np.searchsorted(column, [c, c + 2048])
-                m = np.zeros((len(right), 2048), np.float32)
-                m[owner[s:e], column[s:e] - c] = 1
-                common += m[: len(left)] @ m.T
+                dense = []
+                for (own, col), size in zip(sides, (len(left), len(right)), strict=True):
+                    s, e = np.searchsorted(col, [c, c + 2048])
+                    x = np.zeros((size, 2048), np.float32)
+                    x[own[s:e], col[s:e] - c] = 1
+                    dense.append(x)
+                common += dense[0] @ dense[1].T
             i, j = np.nonzero(self.linked(common.astype(np.int64), self.n[left][:, None], self.n[right][None]))
             self.link(left[i], right[j])
 
 
+def measure(items: list[np.ndarray], pivots: list[np.ndarray], over: int, under: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set: distances to the pivots, bits of the pivots it links with, bits of the cells it belongs to or is copied to."""
+    size = np.array([len(x) for x in items], np.int64)
+    flat, owner = np.concatenate(items), np.repeat(np.arange(len(items)), size)
+    gap, links, cells = np.empty((len(items), len(pivots))), np.zeros(len(items), np.int64), np.zeros(len(items), np.int64)
+    for k, pivot in enumerate(pivots):
+        at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
+        common = np.bincount(owner, pivot[at] == flat, len(items)).astype(np.int64)
+        union = size + len(pivot) - common
+        gap[:, k] = 1 - common / union
+        links |= (under * common >= over * union).astype(np.int64) << k
+    near = gap <= gap.min(1)[:, None] + 2 * (1 - over / under) + 1e-9
+    for k in range(len(pivots)):
+        cells |= near[:, k].astype(np.int64) << k
+    return gap, links, cells
+
+
+def _candidates(source: DataFrame, words: int, classes: Classes) -> DataFrame:
+    """``(name, pivot)``: sets that share a key with a pivot, and every pivot with itself."""
+
+    def keys(common: np.ndarray):
+        def run(batches):
+            done: set[int] = set()
+            for batch in batches:
+                for _, part in runs(byte_texts(batch.column(0)), SLICE_BYTES):
+                    if len(done) > REMEMBERED:
+                        done.clear()
+                    flat, bounds = shingle_sets(part, words)
+                    name, _ = set_names(flat, bounds)
+                    rows = np.array([i for i, k in enumerate(name.tolist()) if not (k in done or done.add(k))], np.int64)
+                    key, owner = bucket_keys(flat, bounds, classes, rows)
+                    own = name[owner]
+                    salt = np.where(np.isin(key, common), 1 + (mix(own.view(np.uint64)) % np.uint64(SALTS)).astype(np.int16), 0).astype(np.int16)
+                    for a in range(0, len(key), 200_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (key, salt, own)], ["key", "salt", "name"])
+
+        return tidy(run)
+
+    kind = "key bigint, salt smallint, name bigint"
+    texts = source.where("text is not null")
+    # keys that many sets have, by a bounded sample: these are dealt by key and salt
+    seen = sample_rows(texts, SAMPLE_ROWS, "text").select("text").mapInArrow(keys(np.zeros(0, np.int64)), kind).distinct().groupBy("key").agg(F.count("*").alias("n"))
+    least = max(20, SAMPLE_ROWS // RARE)
+    common = np.array(sorted(r["key"] for r in seen.where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(COMMON).collect()), np.int64)
+    found = texts.select("text").mapInArrow(keys(common), kind).repartition("key", "salt").sortWithinPartitions("key", "salt", "name")
+    found = settle(found.mapInArrow(_regions, "name bigint, pivot bigint, key bigint, salted boolean").distinct(), "regions")
+    top = found.where("salted").groupBy("key").agg(F.min("pivot").alias("top"))  # a row for each salted key, of which there are at most COMMON
+    salted = found.where("salted").join(F.broadcast(top), "key").select("name", F.col("top").alias("pivot"))
+    pairs = found.where("not salted").select("name", "pivot").union(salted).where("name <> pivot").distinct()
+    return pairs.union(pairs.select(F.col("pivot").alias("name"), "pivot")).distinct()
+
+
+_CELL = "region bigint, node binary, items binary, core boolean"
+_EDGES = "src binary, dst binary"
+
+
+def _sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u8") for x in column]
+
+
+def _grouped(batches, width: int):
+    """Rows of sorted batches by their first ``width`` columns: the key and a list for each other column."""
+    last, held = None, None
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for i, key in enumerate(zip(*columns[:width], strict=True)):
+            if key != last:
+                if held:
+                    yield last, held
+                last, held = key, [[] for _ in columns[width:]]
+            for values, column in zip(held, columns[width:], strict=True):
+                values.append(column[i])
+    if held:
+        yield last, held
+
+
+def _edges(node: list[bytes], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([node[i] for i in a.tolist()], pa.binary()), pa.array([node[i] for i in b.tolist()], pa.binary())], ["src", "dst"])
+
+
+def _small(cells: DataFrame, over: int, under: int, every: bool) -> DataFrame:
+    """Edges of regions that a task holds."""
+
+    def compare(batches):
+        for _, (node, items, core) in _grouped(batches, 1):
+            if len(node) > 1 and (every or not all(core)):
+                region = Region(_sets(items), over, under, every, np.array(core))
+                region.join(np.arange(len(node)))
+                yield _edges(node, *region.links())
+
+    return cells.select("region", "node", "items", "core").repartition("region").sortWithinPartitions("region", "node").mapInArrow(tidy(compare), _EDGES)
+
+
+def _measured(cells: DataFrame, over: int, under: int, turn: int) -> DataFrame:
+    """Rows of large regions with what ``measure`` says; the pivots come from rows outside the core."""
+    rank = F.xxhash64(F.lit(turn), "node")
+    chosen = cells.where("not core").groupBy("region", F.pmod(rank, F.lit(PIVOTS)).alias("k")).agg(F.min_by(F.struct("node", "items"), rank).alias("p"))
+    part = F.pmod(F.xxhash64(F.lit(-1), "node"), F.col("parts")).cast("int")
+    rows = cells.select("region", part.alias("part"), F.lit(1).alias("side"), "node", "items", "core")
+    counts = cells.groupBy("region").agg(F.first("parts").alias("parts"))
+    guests = chosen.join(counts, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "p.node", "p.items", F.lit(False).alias("core"))
+
+    def run(batches):
+        for (region, _), (side, node, items, core) in _grouped(batches, 2):
+            k = side.count(0)
+            if k == len(side):
+                continue
+            sets = _sets(items)
+            _, links, cells = measure(sets[k:], sets[:k], over, under)
+            to = [[node[j] for j in range(k) if x >> j & 1 and node[j] != own] for own, x in zip(node[k:], links.tolist(), strict=True)]
+            n = len(side) - k
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([region] * n, pa.int64()), pa.array(node[k:], pa.binary()), pa.array(items[k:], pa.binary()), pa.array(core[k:]), pa.array(links), pa.array(cells), pa.array(to, pa.list_(pa.binary()))],
+                ["region", "node", "items", "core", "links", "cells", "to"],
+            )
+
+    # the parts' rows and, in each part, all pivots of the region
+    dealt = rows.union(guests).repartition("region", "part").sortWithinPartitions("region", "part", "side", "node")
+    return dealt.mapInArrow(tidy(run), "region bigint, node binary, items binary, core boolean, links bigint, cells bigint, to array<binary>")
+
+
+def _blocks(cells: DataFrame, over: int, under: int, every: bool) -> DataFrame:
+    """Edges of cells that windows don't divide: each block of rows outside the core meets every other, and every block of the core."""
+    part = lambda n: F.pmod(F.xxhash64(F.lit(-2), "node"), n).cast("int")
+    rows = cells.withColumns({"groups": F.ceil(F.col("open") / TASK_ROWS).cast("int"), "blocks": F.ceil((F.col("n") - F.col("open")) / TASK_ROWS).cast("int")})
+    loose = rows.where("not core").withColumn("own", part(F.col("groups"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") + F.col("blocks") - 1)))
+    inside = F.col("other") < F.col("groups")
+    loose = loose.select("region", F.when(inside, F.least("own", "other")).otherwise(F.col("own")).alias("a"), F.when(inside, F.greatest("own", "other")).otherwise(F.col("other")).alias("b"), "own", "node", "items")
+    bound = rows.where("core").withColumn("own", F.col("groups") + part(F.col("blocks"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    bound = bound.select("region", "a", F.col("own").alias("b"), "own", "node", "items")
+
+    def compare(batches):
+        for (_, a, b), (own, node, items) in _grouped(batches, 3):
+            own = np.array(own)
+            region = Region(_sets(items), over, under, every)
+            if a == b:
+                region.join(np.arange(len(node)))
+            else:
+                region.compare(np.flatnonzero(own == a), np.flatnonzero(own == b))
+            yield _edges(node, *region.links())
+
+    return loose.union(bound).repartition("region", "a", "b").sortWithinPartitions("region", "a", "b", "node").mapInArrow(tidy(compare), _EDGES)
+
+
+def _large(cells: DataFrame, over: int, under: int, every: bool, counts: dict) -> list[DataFrame]:
+    """Edges of large regions, by rounds of distributed Voronoi cells; ``parts`` of ``cells`` says among how many tasks a region's rows are dealt."""
+    out = []
+    for turn in range(ROUNDS + 1):
+        measured = settle(_measured(cells, over, under, turn), "measured")
+        out.append(measured.select(F.col("node").alias("src"), F.explode("to").alias("dst")))
+        # Pivots that rows link with are connected, and so is all that links with these: what holds most rows is the core.
+        # Where a cell holds nearly all of a region, its windows don't divide it, and it stays one cell.
+        inside = [F.col("cells").bitwiseAND(1 << k) != 0 for k in range(PIVOTS)]
+        alike = measured.groupBy("region", "links", "core").agg(F.count("*").alias("n"), *(F.count_if(x).alias(f"c{k}") for k, x in enumerate(inside)))
+        told = alike.groupBy("region").agg(
+            F.coalesce(F.expr("bit_or(CASE WHEN core THEN links END)"), F.lit(0)).alias("known"), F.max("core").alias("any"), F.max_by("links", F.when(F.col("links") != 0, F.col("n"))).alias("most"),
+            F.collect_set("links").alias("bits"), (F.greatest(*(F.sum(f"c{k}") for k in range(PIVOTS))) > SHRUNK * F.sum("n")).alias("whole"),
+        )
+        seed = F.when(F.col("any"), F.col("known")).otherwise(F.coalesce("most", F.lit(0)))
+        reach = F.aggregate(F.flatten(F.array_repeat("bits", PIVOTS)), seed, lambda acc, x: F.when(acc.bitwiseAND(x) != 0, acc.bitwiseOR(x)).otherwise(acc))
+        kept = measured.drop("to").join(told.select("region", (F.lit(0).cast("bigint") if every else reach).alias("reach"), "whole"), "region")
+        kept = kept.withColumn("core", F.col("core") | (F.col("links").bitwiseAND(F.col("reach")) != 0))
+        into = F.when(F.col("whole"), F.array(F.lit(0))).otherwise(F.array_compact(F.array(*(F.when(x, k) for k, x in enumerate(inside)))))
+        split = kept.withColumn("k", F.explode(into)).select(F.xxhash64("region", F.lit(turn), "k").alias("region"), "node", "items", "core", "whole")
+        split = settle(split, "cells")
+        sized = split.groupBy("region").agg(F.count("*").alias("n"), F.count_if(~F.col("core")).alias("open"), F.sum(F.length("items") / 8).alias("m"), F.max("whole").alias("whole"))
+        fits = (F.col("n") <= REGION_ROWS) & (F.col("m") <= REGION_ITEMS)
+        stuck = F.col("whole") & (F.lit(every) | (8 * F.col("open") <= F.col("n")))
+        sized = sized.where("open > 0").withColumn("how", F.when(fits, "task").when(stuck | F.lit(turn == ROUNDS), "blocks").otherwise("round"))
+        found = {r["how"]: r for r in sized.groupBy("how").agg(F.count("*").alias("regions"), F.sum("n").alias("rows"), F.sum("open").alias("open")).collect()}
+        counts[f"round {turn + 1}"] = {k: (r["regions"], r["rows"], r["open"]) for k, r in found.items()}
+        placed = split.join(sized.select("region", "n", "open", "how"), "region")
+        if "task" in found:
+            out.append(_small(placed.where("how = 'task'"), over, under, every))
+        if "blocks" in found:
+            out.append(_blocks(placed.where("how = 'blocks'"), over, under, every))
+        if "round" not in found:
+            return out
+        cells = placed.where("how = 'round'").select("region", "node", "items", "core", F.ceil(F.col("n") / TASK_ROWS).cast("int").alias("parts"))
+    return out
+
+
 def twin(text: Column) -> Column:
     """What tells rows of one id apart: a 64-bit hash of the text."""
     return F.xxhash64(text.cast("string"))
 
 
-def _compared(documents: DataFrame, words: int, over: int, under: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(doc_id, twin, node, n_shingles)`` and edges ``(src, dst)`` between nodes: all links if ``every``, else enough to connect them."""
+def _compared(documents: DataFrame, words: int, over: int, under: int, every: bool = False, counts: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(doc_id, twin, node, n_shingles)`` and edges ``(src, dst)`` between nodes: all links if ``every``, else enough to connect them.
+
+    ``counts`` takes regions, rows and rows outside the core of each way that regions go.
+    """
+    counts = counts if counts is not None else {}
     classes = Classes(over, under)
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     told = source.select("doc_id", twin(F.col("text")).alias("twin"), "text")
 
     def name(batches):
         for batch in batches:
-            for at, part in _slices(_bytes(batch.column(2))):
-                flat, bounds = shingle_sets(part, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(node_ids(flat, bounds)), pa.array(np.diff(bounds))], ["doc_id", "twin", "node", "n_shingles"])
-
-    def keys(batches):
-        for batch in batches:
-            done: set[int] = set()
-            for _, part in _slices(_bytes(batch.column(0))):
+            for at, part in runs(byte_texts(batch.column(2)), SLICE_BYTES):
                 flat, bounds = shingle_sets(part, words)
-                node = node_ids(flat, bounds)
-                rows = np.array([i for i, k in enumerate(node.tolist()) if not (k in done or done.add(k))], np.int64)
-                key, owner = bucket_keys(flat, bounds, classes, rows)
-                for a in range(0, len(key), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(node[owner[a : a + 200_000]])], ["key", "node"])
+                short, node = set_names(flat, bounds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(short), pa.array(node, pa.binary()), pa.array(np.diff(bounds))], ["doc_id", "twin", "name", "node", "n_shingles"])
 
-    rows = settle(told.mapInArrow(tidy(name), "doc_id bigint, twin bigint, node bigint, n_shingles bigint"), "sets")
-    pairs = source.where("text is not null").select("text").mapInArrow(tidy(keys), "key bigint, node bigint").repartition("key").sortWithinPartitions("key", "node").mapInArrow(_regions, "node bigint, pivot bigint")
-    pairs = settle(pairs.distinct(), "regions")
-    members = pairs.union(pairs.select(F.col("pivot").alias("node"), "pivot")).distinct()
+    rows = settle(told.mapInArrow(tidy(name), "doc_id bigint, twin bigint, name bigint, node binary, n_shingles bigint"), "sets")
+    members = settle(_candidates(source, words, classes), "members")
 
-    wanted = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members.select("node").distinct(), "node", "left_semi")
+    first = rows.groupBy("name", "node").agg(F.min(F.struct("doc_id", "twin")).alias("first")).join(members.select("name").distinct(), "name", "left_semi")
+    wanted = first.select("name", "node", F.col("first.doc_id").alias("_id"), F.col("first.twin").alias("_twin"))
 
     def fetch(batches):
         for batch in batches:
-            for at, part in _slices(_bytes(batch.column(1))):
+            for at, part in runs(byte_texts(batch.column(2)), SLICE_BYTES):
                 flat, bounds = shingle_sets(part, words)
-                node = batch.column(0).slice(at, len(part))
-                same = node_ids(flat, bounds) == node.to_numpy()  # rows of one id may have other texts
                 data = [flat[a:b].astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([node.filter(pa.array(same)), pa.array([d for d, s in zip(data, same, strict=True) if s], pa.binary())], ["node", "items"])
-
-    sets = source.join(wanted, source["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text").mapInArrow(tidy(fetch), "node bigint, items binary")
-    sets = settle(sets.groupBy("node").agg(F.first("items").alias("items")), "items")
-
-    sized = members.join(sets.select("node", (F.length("items") / 8).cast("bigint").alias("n")), "node")
-    weight = sized.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / REGION_ROWS), F.ceil(F.sum("n") / REGION_ITEMS)).cast("int").alias("cuts"))
-    # a region too large for a task: every pair of its parts meets in a task of its own
-    part = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
-    cells = members.join(weight, "pivot").withColumn("_part", part)
-    cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    cells = cells.select("node", "pivot", F.least("_part", "_other").alias("a"), F.greatest("_part", "_other").alias("b"), F.col("cuts"))
-    dealt = cells.join(sets, "node").select("pivot", "a", "b", "node", "items")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(data, pa.binary())], ["name", "node", "items"])
 
-    def compare(batches):
-        name, node, items = None, [], []
-
-        def edges():
-            region = Region([np.frombuffer(x, "<u8") for x in items], over, under, every)
-            region.join(np.arange(len(node)))
-            ids = np.array(node, np.int64)
-            a, b = region.links()
-            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["src", "dst"])
-
-        for batch in batches:
-            for p, a, b, n, x in zip(*(batch.column(c).to_pylist() for c in ("pivot", "a", "b", "node", "items")), strict=True):
-                if (p, a, b) != name:
-                    if len(node) > 1:
-                        yield edges()
-                    name, node, items = (p, a, b), [], []
-                node.append(n)
-                items.append(x)
-        if len(node) > 1:
-            yield edges()
+    texts = told.join(wanted, told["doc_id"].eqNullSafe(wanted["_id"]) & (told["twin"] == wanted["_twin"])).select("name", "node", "text")
+    sets = texts.mapInArrow(tidy(fetch), "name bigint, node binary, items binary")
+    sets = settle(sets.groupBy("name", "node").agg(F.first("items").alias("items")), "items")  # rows that are repeated have one set
 
-    links = dealt.repartition("pivot", "a", "b").sortWithinPartitions("pivot", "a", "b", "node").mapInArrow(tidy(compare), "src bigint, dst bigint")
-    return rows, links
+    sized = members.join(sets.select("name", (F.length("items") / 8).alias("m")), "name").groupBy("pivot").agg(F.count("*").alias("total"), F.sum("m").alias("m"))
+    sized = settle(sized.withColumn("large", (F.col("total") > REGION_ROWS) | (F.col("m") > REGION_ITEMS)), "sizes")
+    found = {r["large"]: r for r in sized.groupBy("large").agg(F.count("*").alias("regions"), F.sum("total").alias("rows")).collect()}
+    counts["regions"] = {"large" if k else "task": (r["regions"], r["rows"]) for k, r in found.items()}
+    placed = members.join(sized, "pivot").join(sets, "name").select(F.col("pivot").alias("region"), "node", "items", F.lit(False).alias("core"), "total", "large")
+    edges = _small(placed.where("not large"), over, under, every)
+    if True in found:
+        cells = settle(placed.where("large").withColumn("parts", F.ceil(F.col("total") / TASK_ROWS).cast("int")).drop("large", "total"), "cells")
+        for more in _large(cells, over, under, every, counts):
+            edges = edges.union(more)
+    return rows, edges
 
 
 def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -408,7 +563,7 @@ def similar_links(documents: DataFrame, words: int = WORDS, over: int = OVER, un
     each, so the pairs compared and kept are those of different texts.
     """
     rows, links = _compared(documents, words, over, under, every=True)
-    links = settle(links.distinct(), "links")
+    links = settle(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "links")
     copies = rows.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("copies"))
     both = links.union(links.select("dst", "src")).toDF("node", "other")
     others = both.join(copies.toDF("other", "weight"), "other").groupBy("node").agg(F.sum("weight").alias("others"))

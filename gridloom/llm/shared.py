@@ -112,15 +112,21 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+_NAME = np.dtype([("a", np.uint64), ("b", np.uint64)])
+
+
 def _forest_batches(batches):
     """Reduce each run of edges to a forest, a bounded number of edges at a time."""
     held: list[pd.DataFrame] = []
     size = 0
 
     def reduced():
-        a = np.concatenate([x["src"].to_numpy() for x in held])
-        b = np.concatenate([x["dst"].to_numpy() for x in held])
-        a, b = forest(a, b)
+        a, b = (np.concatenate([x[c].to_numpy() for x in held]) for c in ("src", "dst"))
+        if a.dtype == object:  # names of 16 bytes
+            a, b = forest(*(np.frombuffer(b"".join(x), _NAME) for x in (a, b)))
+            a, b = ([x.tobytes() for x in y] for y in (a, b))
+        else:
+            a, b = forest(a, b)
         return pd.DataFrame({"src": a, "dst": b})
 
     for batch in batches:
@@ -137,7 +143,7 @@ def _forest_batches(batches):
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``(id, component_id)`` of every node of ``edges (src, dst)``, both bigint.
+    """``(id, component_id)`` of every node of ``edges (src, dst)``: both bigint, or binary names of 16 bytes.
 
     Each task first shrinks its edges to a forest. Then large-star and
     small-star rounds alternate, each written to the shared folder, until
@@ -147,9 +153,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     an empty input gives an empty result.
     """
     spark = edges.sparkSession
-    kind = "src bigint, dst bigint"
+    of = "binary" if edges.schema["src"].dataType.simpleString() == "binary" else "bigint"
+    kind = f"src {of}, dst {of}"
     tree = settle(
-        edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
+        edges.select(F.col("src").cast(of), F.col("dst").cast(of))
         .where("src <> dst")
         .mapInPandas(_forest_batches, kind)
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
