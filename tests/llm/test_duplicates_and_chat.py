@@ -106,10 +106,49 @@ def test_large_regions_are_dealt_exactly(spark, monkeypatch):
     docs = near_copies(9, groups=4, base=60) * 1
     wide = [(i, t) for i, (_, t) in enumerate(docs + near_copies(10, groups=25, base=40))]
     monkeypatch.setattr(jaccard_join, "REGION_ROWS", 3)
+    monkeypatch.setattr(jaccard_join, "TASK_ROWS", 2)
     got = jaccard_join.similar_groups(spark.createDataFrame(wide, "doc_id bigint, text string"), 3, 70, 100)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_groups(wide, 3, 70, 100)
 
 
+@pytest.mark.parametrize(("rows", "over"), [(8, 50)])
+def test_rounds_join_near_copies_exactly(spark, monkeypatch, rows, over):
+    """Groups of near copies that no window divides, a chain of them, and one that falls apart in cells."""
+    rng = random.Random(rows)
+    base = [f"b{i}" for i in range(70)]
+    docs = []
+    for _ in range(40):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(70)] = f"x{rng.randint(0, 9999)}"
+        docs.append(" ".join(words))
+    docs += [" ".join(f"s{i}" for i in range(k, k + 60)) for k in range(0, 200, 6)]
+    docs = list(enumerate(docs))
+    monkeypatch.setattr(jaccard_join, "REGION_ROWS", rows)
+    monkeypatch.setattr(jaccard_join, "TASK_ROWS", 5)
+    counts = {}
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    jaccard_join._compared(frame, 2, over, 100, counts=counts)
+    assert counts["regions"]["large"][0] > 0 and "round 1" in counts
+    got = jaccard_join.similar_groups(frame, 2, over, 100)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_groups(docs, 2, over, 100)
+
+
+def test_long_words_are_told_apart(spark):
+    a, b = "a" * 4096, "b" * 4096
+    docs = [(1, a + b), (2, b + a), (3, a + b), (4, "w " * 3 + a + a + b), (5, "w " * 3 + a + b + a), (6, "c" * 200_000), (7, "c" * 200_001)]
+    got = jaccard_join.similar_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), 4, 85, 100)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_groups(docs, 4, 85, 100)
+
+
+def test_keys_of_many_sets_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "RARE", 10_000)
+    docs = [(i, " ".join([f"b{j}" for j in range(80)] + [f"y{i}"])) for i in range(150)] + [(500, "alone here")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = jaccard_join.similar_groups(frame.repartition(7), 3, 90, 100)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_groups(docs, 3, 90, 100)
+
+
 def plain_link_counts(docs, n, over, under):
     sets = [plain_sets(t, n) for _, t in docs]
     linked = lambda a, b: bool(a and b) and under * len(a & b) >= over * len(a | b)
@@ -119,6 +158,7 @@ def plain_link_counts(docs, n, over, under):
 @pytest.mark.parametrize("rows", [3, 2000])
 def test_links_match_all_pairs(spark, monkeypatch, rows):
     monkeypatch.setattr(jaccard_join, "REGION_ROWS", rows)
+    monkeypatch.setattr(jaccard_join, "TASK_ROWS", 20)
     docs = near_copies(12, groups=6) + [(900 + k, t) for k, (_, t) in enumerate(near_copies(12, groups=6)[:8])] + [(990, None), (991, ""), (992, "")]
     docs = docs + [(2000 + i, " ".join(f"k{j}" for j in range(150) if j != i)) for i in range(90)]  # one cell more than CELL
     got = sorted((tuple(r) for r in jaccard_join.similar_links(spark.createDataFrame(docs, "doc_id bigint, text string"), 3, 70, 100).collect()), key=repr)
@@ -184,6 +224,16 @@ def test_linked_sets_always_share_a_key():
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+def test_components_of_names(spark):
+    rng = random.Random(7)
+    name = lambda k: hashlib.md5(str(k).encode()).digest()[:15] + b"\0"
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)]
+    got = {bytes(r["id"]): bytes(r["component_id"]) for r in shared.connected_components(spark.createDataFrame([(name(a), name(b)) for a, b in edges], "src binary, dst binary").repartition(3)).collect()}
+    whole = {r["id"]: r["component_id"] for r in shared.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    assert {name(k) for k in whole} == set(got)
+    assert all((whole[a] == whole[b]) == (got[name(a)] == got[name(b)]) for a in whole for b in whole)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(0, k) for k in range(1000, 1200)] + [(k, k + 1) for k in range(2000, 2100)]
