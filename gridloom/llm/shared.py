@@ -27,6 +27,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly where it comes as fewer parts than the cluster runs tasks, such as one file with one row group.
+
+    Of larger inputs, which come as many parts, nothing is moved.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(tasks) if 2 * parts <= tasks else df
+
+
 def sample_rows(df: DataFrame, rows: int, *keys: str, seed: int = 17) -> DataFrame:
     """At most ``rows`` rows of ``df``: all of them, or of more the distinct ones whose hash of ``keys`` is least.
 
