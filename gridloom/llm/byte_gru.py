@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .shared import byte_texts, runs, tidy
+from .shared import byte_texts, runs, spread, tidy
 
 #: Size of the network; bytes of a segment and of the context on its sides; segments that advance together, and numbers kept for them, at most.
 HIDDEN, SEGMENT, WARM, LANES, NUMBERS = 16, 1024, 64, 2048, 16 << 20
@@ -312,6 +312,6 @@ def identify(documents: DataFrame, net: ByteGRU | None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: language of all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     net = train(docs)
     return identify(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

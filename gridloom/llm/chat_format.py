@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import spread
+
 #: Roles of the tables and how the template writes them.
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 END = "\n</turn>\n"
@@ -167,7 +169,7 @@ PROBE = "\\### Assistant: </turn> ok"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: all conversations and the probe, formatted and read back."""
-    rows = _ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    rows = _ordered(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     probe = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     return read_back(format_turns(rows.unionByName(probe)))
 

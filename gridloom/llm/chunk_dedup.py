@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import byte_texts, mix, place_weights, runs, sample_rows, settle, tidy
+from .shared import byte_texts, mix, place_weights, runs, sample_rows, settle, spread, tidy
 
 #: A chunk ends after one word in EVERY by hash, and after MOST words in any case.
 EVERY, MOST = 4, 64
@@ -258,5 +258,5 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: all documents without the passages that earlier ones have."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return dedup_substrings(docs).select("doc_id", "n_chunks", "n_removed", "removed_words", "first_ids", "text")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_texts, connected_components, forest, mix, place_weights, runs, sample_rows, settle, tidy
+from .shared import byte_texts, connected_components, forest, mix, place_weights, runs, sample_rows, settle, spread, tidy
 
 #: Defaults: words in a shingle; the similarity as a fraction of whole numbers.
 WORDS, OVER, UNDER = 5, 80, 100
@@ -574,7 +574,7 @@ def similar_links(documents: DataFrame, words: int = WORDS, over: int = OVER, un
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: four-word shingles, similarity of 0.85, all documents."""
-    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, over=85, under=100)
+    return similar_groups(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), words=4, over=85, under=100)
 
 
 SQL = r"""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import settle, tidy
+from .shared import settle, spread, tidy
 from .token_shards import END_ID, encoder, with_end
 
 LENGTH = 1024
@@ -321,4 +321,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: all documents packed."""
     import public_tokenizers
 
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.json"))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import tidy
+from .shared import spread, tidy
 from .words import TextEncoder
 
 #: Fixed value: the character that stands for a space in pieces.
@@ -253,4 +253,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: ids and decoded text of all documents, digested."""
     import public_tokenizers
 
-    return digest_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+    return digest_pieces(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), public_tokenizers.path("piece_bpe_32k.model"))
