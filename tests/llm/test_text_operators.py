@@ -55,6 +55,21 @@ def test_rules_on_awkward_rows(awkward, empty):
     assert plan.count("xxhash64(") == 1  # a filter must not copy the statistics' expressions
 
 
+def test_cascade_keeps_what_the_statistics_keep(spark, data, awkward, empty):
+    word = lambda letters, i: "".join(letters[i // len(letters) ** k % len(letters)] for k in range(4))
+    text = lambda letters, n: " ".join(word(letters, 7 * i) for i in range(n))
+    texts = [text("абвгдежзиклмн", 60), text(["क", "ख", "गा", "घि", "चु"], 60), "w " * 60, "a b c " * 9 + text("efghij", 40), "a b c d " * 9 + text("efghij", 20)]
+    more = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
+    names = list(quality_rules.rules())
+    for docs in (spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), awkward.select("doc_id", "text"), more):
+        want = Counter(rows_of(quality_rules.apply_rules(docs, names).where("kept").select("doc_id", "text")))
+        for order in (names, names[::-1]):
+            assert Counter(rows_of(quality_rules.passing(docs, order))) == want
+    kept = {r["doc_id"] for r in quality_rules.passing(more).collect()}
+    assert {1, 2, 4} <= kept and not {3, 5} & kept
+    assert quality_rules.passing(awkward).columns == awkward.columns and quality_rules.passing(empty).count() == 0
+
+
 # Classifier
 
 
