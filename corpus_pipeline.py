@@ -10,19 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import chunk_dedup, jaccard_join, line_crf, packing, quality_rules
-from gridloom.llm.shared import settle
+from gridloom.llm.shared import settle, spread
 
 #: The classifier's field can't be written in SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: documents that a rule rejects go."""
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    """Quality rules: documents that a rule rejects go, repeated rows each for itself; null and empty texts have too few words."""
+    return quality_rules.passing(docs)
 
 
 def keep_by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier, trained on a bounded sample of labelled raw documents: predicted bad ones go."""
+    """Quality classifier, trained on a bounded sample of labelled raw documents: predicted bad ones go.
+
+    Rows are judged by their text alone, so repeated ones share a verdict; an empty table stays empty.
+    """
     raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = line_crf.train(raw, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return line_crf.score_documents(docs, model).where("predicted = 1").select(*docs.columns)
@@ -33,7 +36,8 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Rows are told apart by id and text. Of equal rows one stays; of one id's
     texts in a group the one of the least hash; a text whose group has a
-    lower id goes, also where the id's other text heads a group.
+    lower id goes, also where the id's other text heads a group. Rows without
+    a word are in no group; an empty table stays empty.
     """
     first = jaccard_join.first_rows(docs).select(F.col("doc_id").alias("_kept"), F.col("twin").alias("_kept_twin"))
     told = docs.withColumn("_twin", jaccard_join.twin(F.col("text")))
@@ -42,13 +46,13 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup: passages that an earlier document has are cut out; every document stays."""
+    """Substring dedup: passages that an earlier document has are cut out; every row stays, repeated ones alike, a null text too, and an empty table stays empty."""
     out = chunk_dedup.dedup_substrings(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack_all(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing into sequences of at most 1024 tokens."""
+    """Packing into sequences of at most 1024 tokens: every row is packed, a null or empty text as its end id alone."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -65,7 +69,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each stage's rows are written before the next begins."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
