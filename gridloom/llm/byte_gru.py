@@ -260,7 +260,7 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> ByteGRU | None:
     if not distinct:
         return None
     keep = documents.sparkSession.createDataFrame([(r["lang"], int(grain * min(1.0, 1.5 * rows / max(r["n"], 1)))) for r in distinct], "lang string, keep bigint")
-    near = ranked.join(keep, "lang").where("rank <= keep")
+    near = ranked.join(F.broadcast(keep), "lang").where("rank <= keep")  # a row for each language
 
     def cut(batches):
         for batch in batches:
