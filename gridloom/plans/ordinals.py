@@ -2,38 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows that one window partition holds, about; ranges at most; sampled keys for each range.
-ROWS, RANGES, KEYS = 500_000, 2000, 30
+from ..shared import shared_dir
+
+#: Rows that one window partition or range holds, about; ranges at most.
+ROWS, RANGES = 500_000, 2000
+#: Bits of a generated id that count within a partition.
+_BITS = 33
 
 
 def with_ordinal(df: DataFrame, keys: Sequence[str], name: str = "row", descending: bool = False) -> DataFrame:
     """Add ``name``: 0, 1, ... in the total order of the columns ``keys``, which must tell rows apart.
 
     ``descending`` turns the first key alone, so ties keep their order. A
-    small table is one window. A larger one is cut into ranges of the first
-    key, at keys of a bounded sample; ordinals are counted within a range and
-    the ranges' bases, a running sum over at most RANGES rows, are added. The
-    ranges only spread the work: any cut gives the same ordinals.
+    small table is one window. A larger one is dealt by ranges of all keys,
+    so that one value of the first is no task's alone, sorted within them and
+    written to the shared folder with each row's place in its range; the
+    ranges' bases are a running sum over at most RANGES rows.
     """
-    first = F.col(keys[0])
-    order = [first.desc() if descending else first.asc(), *keys[1:]]
+    order = [F.col(keys[0]).desc() if descending else F.col(keys[0]).asc(), *(F.col(k).asc() for k in keys[1:])]
     total = df.count()
     if total <= ROWS:
         return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1).cast("bigint"))
     ranges = min(RANGES, -(-total // ROWS))
-    sample = df.select(first.alias("k")).sample(min(1.0, 2.0 * ranges * KEYS / total), seed=7).limit(4 * ranges * KEYS)
-    found = sorted(r["k"] for r in sample.collect() if r["k"] is not None)
-    cuts = sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
-    step = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= first)) if cuts else F.lit(0)
-    step = F.when(first.isNull(), -1).otherwise(step)
-    keyed = df.withColumn("_range", -step if descending else step)
-    base = keyed.groupBy("_range").agg(F.count("*").alias("_n"))
-    base = base.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_base"))
-    placed = keyed.withColumn("_nth", F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1)
-    return placed.join(F.broadcast(base), "_range").withColumn(name, (F.col("_nth") + F.col("_base")).cast("bigint")).select(*df.columns, name)
+    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    path = f"{shared_dir(df.sparkSession)}/ordinals-{uuid.uuid4().hex}"
+    placed.write.parquet(path)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(path).withColumn("_range", F.shiftright("_place", _BITS))
+    base = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    base = base.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_base"))  # a row for each range
+    ordinal = F.col("_base") + F.col("_place").bitwiseAND((1 << _BITS) - 1)
+    return placed.join(F.broadcast(base), "_range").withColumn(name, ordinal.cast("bigint")).select(*df.columns, name)
