@@ -1,7 +1,8 @@
-"""Handles of background operations: Spark's job tags carry cancellation, its status tracker the progress."""
+"""Handles of background operations: Spark's job groups carry cancellation, its status tracker the progress."""
 
 from __future__ import annotations
 
+import contextvars
 import threading
 import time
 import uuid
@@ -13,6 +14,30 @@ from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
 
+class Cancelled(Exception):
+    """The operation was asked to stop."""
+
+
+_current: contextvars.ContextVar[Job | None] = contextvars.ContextVar("job", default=None)
+
+
+def check() -> None:
+    """Raise in an operation that was asked to stop. Called between its steps."""
+    job = _current.get()
+    if job and job._asked.is_set():
+        raise Cancelled
+
+
+def commit() -> None:
+    """The last moment at which the operation can be stopped: after this its output gets its name."""
+    job = _current.get()
+    if job:
+        with job._lock:
+            if job._asked.is_set():
+                raise Cancelled
+            job._committed = True
+
+
 @dataclass(frozen=True)
 class Progress:
     tasks: int
@@ -30,42 +55,51 @@ class Job:
     """One operation on a thread of its own. A cancelled one gives None and leaves no output."""
 
     def __init__(self, spark: SparkSession, work: Callable[[], Any]):
-        self._spark, self._tag = spark, f"job-{uuid.uuid4().hex}"
+        self._spark, self._group = spark, f"job-{uuid.uuid4().hex}"
         self._result: Any = None
         self._error: BaseException | None = None
-        self._asked = threading.Event()
+        self._asked, self._lock, self._committed = threading.Event(), threading.Lock(), False
         self._began = time.monotonic()
         self._ended: float | None = None
         self.cancelled = False
 
         def run():
-            spark.sparkContext.addJobTag(self._tag)
+            spark.sparkContext.setJobGroup(self._group, "gridloom", interruptOnCancel=False)
+            _current.set(self)
             try:
-                self._result = work()
+                result = work()
+                with self._lock:  # what has published nothing can still be taken back
+                    if self._asked.is_set() and not self._committed:
+                        raise Cancelled
+                    self._committed, self._result = True, result
             except BaseException as e:  # handed on by wait()
-                if self._asked.is_set():
+                if self._asked.is_set() and not self._committed:
                     self.cancelled = True
                 else:
                     self._error = e
             finally:
                 self._ended = time.monotonic()
-                spark.sparkContext.removeJobTag(self._tag)
 
         self._thread = InheritableThread(target=run, daemon=True)
         self._thread.start()
 
-    def cancel(self) -> None:
-        """Ask the operation to stop; ``wait`` says whether it did."""
-        self._asked.set()
-        self._spark.sparkContext.cancelJobsWithTag(self._tag)
+    def cancel(self) -> bool:
+        """Ask the operation to stop, in the Spark jobs it runs or will run; whether it's not too late."""
+        with self._lock:
+            if self._committed:
+                return False
+            self._asked.set()
+        self._spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(self._group)
+        return True
 
     def progress(self) -> Progress:
         tracker = self._spark.sparkContext.statusTracker()
         tasks = finished = 0
-        for stage in tracker.getActiveStageIds():
-            info = tracker.getStageInfo(stage)
-            if info:
-                tasks, finished = tasks + info.numTasks, finished + info.numCompletedTasks
+        for job in tracker.getJobIdsForGroup(self._group):
+            for stage in getattr(tracker.getJobInfo(job), "stageIds", ()):
+                info = tracker.getStageInfo(stage)
+                if info:
+                    tasks, finished = tasks + info.numTasks, finished + info.numCompletedTasks
         return Progress(tasks, finished, (self._ended or time.monotonic()) - self._began, self._ended is not None, self.cancelled)
 
     def wait(self, timeout: float | None = None) -> Any:
