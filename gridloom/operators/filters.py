@@ -13,6 +13,10 @@ from ..functions import cells
 from ..plans.ordinals import with_ordinal
 
 
+#: Ranges of matches that end before this one are cut off the sorted beginning.
+NEAR = 100_000
+
+
 @dataclass(frozen=True)
 class Contains:
     column: int
@@ -58,8 +62,9 @@ def match_range(matches: DataFrame, start: int, count: int) -> DataFrame:
     """``count`` matches from the one with ordinal ``start``, in row order, with ordinal ``match``.
 
     Past the last match it's an error, fewer than asked are returned at the
-    end, and a count of 0 gives none. The engine keeps ``start + count`` rows
-    of each partition at most.
+    end, and a count of 0 gives none. Near the beginning the engine keeps
+    ``start + count`` rows of each partition at most; deeper, ordinals are
+    counted by ranges of rows, so no task holds what comes before.
     """
     if start < 0 or count < 0:
         raise InvalidOption("match ranges begin at 0")
@@ -68,5 +73,7 @@ def match_range(matches: DataFrame, start: int, count: int) -> DataFrame:
     found = matches.count()
     if start >= found:
         raise MatchNotIndexed(start, found)
+    if start + count > NEAR:
+        return match_ordinals(matches).where(F.col("match").between(start, start + count - 1))
     window = matches.orderBy("row").offset(start).limit(count)
     return with_ordinal(window, ["row"], "match").withColumn("match", F.col("match") + start)

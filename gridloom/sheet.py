@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property
+from itertools import accumulate
 from typing import Any
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import BootstrapLimitExceeded, InvalidData, InvalidOption, OperationRefused, ParseError, RowNotIndexed, SourceChanged
+from .errors import BootstrapLimitExceeded, InvalidData, InvalidOption, OperationRefused, MatchNotIndexed, ParseError, RecordTooLarge, RowNotIndexed, SourceChanged
 from .functions import cells
 from .operators import columns as cols
 from .operators import edits as overlay
@@ -20,6 +22,7 @@ from .operators.filters import Predicate
 from .plans import split_index
 from .plans.ordinals import with_ordinal
 from .sources import delimited, dialect, files, grammar
+from .streaming import jobs
 
 #: Ranges that are read by several tasks have this many bytes, about.
 RANGE = split_index.RANGE
@@ -29,6 +32,13 @@ def _text(value: bytes | str) -> str:
     return cells.lift_bytes(value)
 
 
+def _records(spark: SparkSession, path: str, delimiter: bytes, splits) -> DataFrame:
+    """``(row, offset, ending, raw, fields)`` of some parts of a file, as lifted text."""
+    raw = cells.lift(F.col("raw"))
+    ending = F.when(F.endswith(raw, F.lit("\r\n")), "\r\n").when(F.endswith(raw, F.lit("\n")), "\n").otherwise("")
+    return delimited.read(spark, path, delimiter, splits).select("row", "offset", ending.alias("ending"), raw.alias("raw"), F.transform("fields", cells.lift).alias("fields"))
+
+
 @dataclass(frozen=True)
 class SortSummary:
     rows: int
@@ -98,10 +108,7 @@ class Sheet:
         has_header = dialect.sniff_header(parsed) if header == "auto" else header == "first-row" and bool(parsed)
         index = split_index.build(spark, path, size, step or RANGE)
         bom = sample.startswith(grammar.BOM)
-        read = delimited.read(spark, path, delimiter, index.splits)
-        raw = cells.lift(F.col("raw"))
-        ending = F.when(F.endswith(raw, F.lit("\r\n")), "\r\n").when(F.endswith(raw, F.lit("\n")), "\n").otherwise("")
-        body = read.where(F.col("row") >= int(has_header)).select("row", "offset", ending.alias("ending"), raw.alias("raw"), F.transform("fields", cells.lift).alias("fields"))
+        body = _records(spark, path, delimiter, index.splits).where(F.col("row") >= int(has_header))
         top = first[0][1][3:] if bom and first else first[0][1] if first else b""
         made = cls(
             spark, body, tuple(_text(v) for v in parsed[0]) if has_header else None, dialect.Dialect(delimiter, has_header), max(map(len, parsed), default=0), path, known, bom,
@@ -163,10 +170,13 @@ class Sheet:
 
     def rows_frame(self, with_edits: bool = True) -> DataFrame:
         """Data rows with the pending edits in place."""
-        if not with_edits or not self.edits:
-            return self.body
+        return self._with_edits(self.body) if with_edits else self.body
+
+    def _with_edits(self, rows: DataFrame) -> DataFrame:
+        if not self.edits:
+            return rows
         edited = sorted({r for r, _ in self.edits})
-        out = overlay.apply_edits(self.body, self.edits)
+        out = overlay.apply_edits(rows, self.edits)
         return out.withColumn("raw", F.when(~F.col("row").isin(edited), F.col("raw"))) if len(edited) <= overlay.LITERAL_ROWS else out.withColumn("raw", F.lit(None).cast("string"))
 
     def header(self) -> list[str] | None:
@@ -214,15 +224,35 @@ class Sheet:
     # Searching and filtering ----------------------------------------------
 
     def find(self, needle: bytes | str, start: tuple[int, int] = (0, 0)) -> Match | None:
-        rows = self.rows_frame().select("row", "offset", "fields")
-        hit = search.find_next(rows, self._in(needle), max((self.data_start, 0), start)).first()
-        return Match(hit["row"], hit["column"], hit["offset"]) if hit else None
+        """The first cell at or after ``start`` that contains the needle.
+
+        A file is searched in waves of its parts, each twice as wide as the
+        one before, and no further than the wave that has a hit.
+        """
+        start, needle = max((self.data_start, 0), start), self._in(needle)
+        if self.path is None or self.index is None:
+            waves = [self.rows_frame()]
+        else:
+            splits = [s for s, after in zip(self.index.splits, [*(s[2] for s in self.index.splits[1:]), self.index.records], strict=True) if after > start[0]]
+            width, waves = self.spark.sparkContext.defaultParallelism, []
+            while splits:
+                waves.append(splits[:width])
+                splits, width = splits[width:], 2 * width
+        for wave in waves:
+            jobs.check()
+            rows = wave if isinstance(wave, DataFrame) else self._with_edits(_records(self.spark, self.path, self.dialect.delimiter, wave))
+            hit = search.find_next(rows.select("row", "offset", "fields"), needle, start).first()
+            if hit:
+                return Match(hit["row"], hit["column"], hit["offset"])
+        if not needle:
+            raise InvalidOption("search needs a query")
+        return None
 
     def filter(self, predicates: Sequence[Predicate]) -> FilteredSheet:
         if self.edits:
             raise OperationRefused("save or discard cell edits before filtering")
         wanted = [type(p)(p.column, self._in(p.value)) for p in predicates]
-        return FilteredSheet(self, filters.matching(self.body, wanted))
+        return FilteredSheet(self, filters.matching(self.body, wanted), tuple(wanted))
 
     # Editing --------------------------------------------------------------
 
@@ -378,10 +408,17 @@ class Sheet:
             for _, name, _ in sorted(parts):
                 with store.open_input_stream(f"{root}/{name}") as f:
                     while data := f.read(1 << 20):
+                        jobs.check()
                         out.write(data)
 
+        def before():
+            self.ensure_source_unchanged()
+            jobs.commit()
+
         try:
-            size = files.publish(destination, fill, self.ensure_source_unchanged, replace_it, mode)
+            if any(n < 0 for _, _, n in parts) or len(self.head_line()) > grammar.MAX_RECORD:
+                raise RecordTooLarge(grammar.MAX_RECORD)
+            size = files.publish(destination, fill, before, replace_it, mode)
         finally:
             store.delete_dir(root)
         return rows + int(self.names is not None), size
@@ -409,16 +446,39 @@ class Sheet:
 
 @dataclass(frozen=True)
 class FilteredSheet:
-    """The rows of a sheet for which a filter holds."""
+    """The rows of a sheet for which a filter holds.
+
+    Of a file, the matches in each of its parts are counted once and kept, so
+    that a count is there and a range of matches reads only the parts it lies in.
+    """
 
     sheet: Sheet
     matches: DataFrame
+    predicates: tuple[Predicate, ...] = ()
+
+    @cached_property
+    def _by_part(self) -> list[int] | None:
+        """Matches in each part of the file: a number for each 64 MB."""
+        if self.sheet.index is None or self.sheet.path is None:
+            return None
+        found = {r["part"]: r["n"] for r in self.matches.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()}
+        return [found.get(i, 0) for i in range(len(self.sheet.index.splits))]
 
     def count(self) -> int:
-        return self.matches.count()
+        return self.matches.count() if self._by_part is None else sum(self._by_part)
 
     def rows(self, start: int, count: int) -> DataFrame:
-        return filters.match_range(self.matches, start, count).orderBy("match")
+        if self._by_part is None or start < 0 or count < 1:
+            return filters.match_range(self.matches, start, count).orderBy("match")
+        ends = list(accumulate(self._by_part))
+        if not ends or start >= ends[-1]:
+            raise MatchNotIndexed(start, ends[-1] if ends else 0)
+        here = [i for i, n in enumerate(self._by_part) if n and ends[i] > start and ends[i] - n < start + count]
+        first = ends[here[0]] - self._by_part[here[0]]
+        sheet = self.sheet
+        rows = _records(sheet.spark, sheet.path, sheet.dialect.delimiter, [sheet.index.splits[i] for i in here]).where(F.col("row") >= sheet.data_start)
+        got = filters.match_range(filters.matching(rows, self.predicates), start - first, count)
+        return got.withColumn("match", F.col("match") + first).orderBy("match")
 
     def export(self, destination: str) -> tuple[int, int]:
         """Header and matching records, byte for byte. Refused while anything is pending."""
@@ -433,7 +493,7 @@ class FilteredSheet:
 def write_parts(lines: DataFrame, lifted: bool) -> tuple[str, list[tuple[int, str, int]]]:
     """Each task of the sorted lines writes a file to a shared folder: the folder, and place, name and rows of each file.
 
-    The list is written by Spark before it's read, so a task that ran twice
+    A task that meets a record over the limit stops and gives -1 rows. The list is written by Spark before it's read, so a task that ran twice
     counts once.
     """
     import uuid
@@ -444,6 +504,7 @@ def write_parts(lines: DataFrame, lifted: bool) -> tuple[str, list[tuple[int, st
     folder = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
     store, root = files.filesystem(folder)
     store.create_dir(root, recursive=True)
+    limit = grammar.MAX_RECORD
 
     def write(batches):
         store, root = files.filesystem(folder)
@@ -451,8 +512,11 @@ def write_parts(lines: DataFrame, lifted: bool) -> tuple[str, list[tuple[int, st
         out = None
         for batch in batches:
             out = out or store.open_output_stream(f"{root}/{name}")
-            values = batch.column(0).to_pylist()
-            out.write("".join(values).encode("latin-1") if lifted else "".join(values).encode())
+            values = [v.encode("latin-1" if lifted else "utf-8") for v in batch.column(0).to_pylist()]
+            if max(map(len, values), default=0) > limit:
+                n = -1
+                break
+            out.write(b"".join(values))
             n += len(values)
         if out:
             out.close()
