@@ -7,6 +7,8 @@ import random
 import sys
 import time
 
+from pyspark.sql import functions as F
+
 from . import verify
 from .errors import InvalidOption, SheetError
 from .operators import sorting
@@ -119,6 +121,12 @@ def cmd_transform(args) -> None:
     again = Sheet.open(sheet.spark, args.output, delimiter=sheet.dialect.delimiter, header="first-row" if sheet.names else "none")
     if again.count() != rows:
         raise SheetError("the written file has another number of records")
+    if again.header() != out.header():
+        raise SheetError("the written header differs")
+    for at in sorted({0, (rows - sheet.data_start) // 2, rows - sheet.data_start - 1}) if rows > sheet.data_start else []:
+        place = F.col("row") == at + sheet.data_start
+        if again.body.where(place).select("fields").first() != out.rows_frame().where(place).select("fields").first():
+            raise SheetError(f"data row {at + 1} differs")
     print(f"{rows} rows, {size} bytes")
 
 
@@ -126,17 +134,22 @@ def cmd_sort(args) -> None:
     sheet, began = _open(args), time.perf_counter()
     column, falling = dialect.one_based(args.column, "column"), args.order == "desc"
     print(f"temporary bytes, at most: {sorting.temporary_bytes(sheet.stamp[0], sheet.count())}")
+    source = dialect.digest_of(args.file)
     out, summary = sheet.sort(column, falling)
     rows, size = out.save_as(args.output, mode=0o600)
     _timed("sort", sheet.stamp[0], began)
+    if dialect.digest_of(args.file) != source:
+        raise SheetError("the source is not as it was before the sort")
     again = Sheet.open(sheet.spark, args.output, delimiter=sheet.dialect.delimiter, header="first-row" if sheet.names else "none")
+    if (again.head_raw, again.bom) != (sheet.head_raw, sheet.bom):
+        raise SheetError("the written header differs")
     verify.in_order(again, column, falling)
     print(f"{rows} rows, {size} bytes, {summary.rows} data rows in order")
 
 
 def cmd_generate(args) -> None:
     size, rows = generate(args.output, dialect.parse_size(args.size), args.columns, dialect.parse_delimiter(args.delimiter or ","), args.seed)
-    print(f"{size} bytes, {rows} data rows, FNV-1a of the name {dialect.fnv1a(args.output.encode()):016x}")
+    print(f"{size} bytes, {rows} data rows, FNV-1a {dialect.fnv1a_of(args.output):016x}")
 
 
 def parser() -> argparse.ArgumentParser:
