@@ -312,12 +312,6 @@ def sort_missing_as_empty(spark, d):
     return sorting.sort_ordinals(sheet(spark, d, "pages", row=True, cell=url_pieces()), 5).select("place", "row", "key")
 
 
-@query("SELECT row_number() OVER (ORDER BY key DESC, row) - 1 AS place, row, key FROM (SELECT left(text, 20) AS key, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents)")
-def sort_unicode_bytes(spark, d):
-    rows = sheet(spark, d, "documents", row=True, cell=F.array(F.left("text", F.lit(20))))
-    return sorting.sort_ordinals(rows, 0, True).select("place", "row", "key")
-
-
 @query("SELECT row_number() OVER (ORDER BY key DESC, row) - 1 AS place, row, md5(key) AS digest FROM (SELECT coalesce(text, '') AS key, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents)")
 def sort_whole_text(spark, d):
     rows = sheet(spark, d, "documents", row=True, cell=F.array("text"))
@@ -333,8 +327,8 @@ def sort_tie_check(spark, d):
 def multiset_preserved(spark, d):
     rows = sheet(spark, d, "part", row=True).withColumn("line", cells.record(F.col("fields"), ","))
     before = sorting.fingerprint(rows, "line")
-    after = sorting.fingerprint(sorting.sorted_rows(rows, 1), "line").select(F.col("n").alias("m"), F.col("mixed").alias("x"), F.col("total").alias("t"))
-    return before.join(after).select("n", ((F.col("n") == F.col("m")) & (F.col("mixed") == F.col("x")) & (F.col("total") == F.col("t"))).alias("preserved"))
+    after = sorting.fingerprint(sorting.sorted_rows(rows, 1), "line")
+    return before.union(after).agg(F.max("n").alias("n"), (F.count_distinct("n", "mixed", "total") == 1).alias("preserved"))
 
 
 @query("SELECT CAST(4 * sum(strlen(text)) + 48 * count(*) AS BIGINT) AS bytes FROM documents")
@@ -402,5 +396,127 @@ def modal_width(spark, d):
 
 @query("SELECT count(*) AS names, count(DISTINCT n_name) = count(*) AS distinct_names FROM nation")
 def distinct_names(spark, d):
-    names = spark.read.parquet(f"{d}/nation.parquet").agg(F.collect_list("n_name").alias("h"))
-    return names.select(F.size("h").cast("bigint").alias("names"), (F.size(F.array_distinct("h")) == F.size("h")).alias("distinct_names"))
+    return spark.read.parquet(f"{d}/nation.parquet").agg(F.count("*").alias("names"), (F.count_distinct("n_name") == F.count("*")).alias("distinct_names"))
+
+
+# Delimited files ----------------------------------------------------------
+
+_FILES: dict[tuple[str, str], str] = {}
+
+
+def _fresh(spark: SparkSession) -> str:
+    import os
+    import uuid
+
+    from .shared import shared_dir
+    from .sources import files
+
+    folder = files.local(shared_dir(spark)) + "/sheets"
+    os.makedirs(folder, exist_ok=True)
+    return f"{folder}/{uuid.uuid4().hex}.csv"
+
+
+def documents_file(spark: SparkSession, d: str):
+    """``documents`` as a delimited file with a header, multi-line cells and quotes, opened; written once by session."""
+    from .sheet import Sheet
+
+    key = spark.sparkContext.applicationId, d
+    if key not in _FILES:
+        path, names = _fresh(spark), SHEETS["documents"][1]
+        Sheet.from_dataframe(spark.read.parquet(f"{d}/documents.parquet").select(*names), ["doc_id"], names).save_as(path)
+        _FILES[key] = path
+    return Sheet.open(spark, _FILES[key], header="first-row", delimiter=b",")
+
+
+def _saved(spark: SparkSession, changed):
+    """What a changed sheet is when it has been written and opened again."""
+    from .sheet import Sheet
+
+    path = _fresh(spark)
+    changed.save_as(path)
+    return Sheet.open(spark, path, header="first-row", delimiter=b",")
+
+
+def _read(rows: DataFrame, *names: str) -> DataFrame:
+    """Cells of a file's rows as text; the second one, which is long, by its digest."""
+    cell = [cells.lower(cells.cell(F.col("fields"), i)) for i in range(len(names))]
+    more = [c for c in ("match",) if c in rows.columns]
+    return rows.select("row", *more, *(F.md5(c).alias(n) if n == "digest" else F.decode(c, "UTF-8").alias(n) for c, n in zip(cell, names, strict=True)))
+
+
+_DOCS = ("doc_id", "digest", "lang", "source")
+_FILE = "SELECT row_number() OVER (ORDER BY doc_id) AS row, doc_id::VARCHAR AS doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents"
+_SHOWN = "row, doc_id, md5(text) AS digest, lang, source"
+
+
+@query("SELECT count(*) + 1 AS records FROM documents")
+def file_index(spark, d):
+    return spark.range(1).select(F.lit(documents_file(spark, d).count()).cast("bigint").alias("records"))
+
+
+@query(f"SELECT {_SHOWN} FROM ({_FILE})")
+def file_records(spark, d):
+    return _read(documents_file(spark, d).rows_frame(), *_DOCS)
+
+
+@query(f"SELECT {_SHOWN} FROM ({_FILE}) WHERE row BETWEEN 100 AND 149")
+def file_range(spark, d):
+    return _read(documents_file(spark, d).rows(100, 50), *_DOCS)
+
+
+_FILE_MATCHES = f"SELECT *, row_number() OVER (ORDER BY row) - 1 AS match FROM ({_FILE}) WHERE contains(text, chr(10)) AND lang = 'de'"
+
+
+def _german_lines(spark, d):
+    return documents_file(spark, d).filter([Contains(1, "\n"), Equals(2, "de")])
+
+
+@query(f"SELECT match, {_SHOWN} FROM ({_FILE_MATCHES}) WHERE match BETWEEN 3 AND 12")
+def file_filtered_range(spark, d):
+    return _read(_german_lines(spark, d).rows(3, 10), *_DOCS)
+
+
+@query(f"SELECT match + 1 AS row, doc_id, md5(text) AS digest, lang, source FROM ({_FILE_MATCHES})")
+def file_export(spark, d):
+    from .sheet import Sheet
+
+    path = _fresh(spark)
+    _german_lines(spark, d).export(path)
+    return _read(Sheet.open(spark, path, header="first-row", delimiter=b",").rows_frame(), *_DOCS)
+
+
+@query(f"SELECT row, 1 AS \"column\" FROM ({_FILE}) WHERE contains(text, 'worthless') AND row >= 20 ORDER BY row LIMIT 1")
+def file_search(spark, d):
+    hit = documents_file(spark, d).find("worthless", (20, 0))
+    return spark.createDataFrame([(hit.row, hit.column)] if hit else [], "row bigint, column int")
+
+
+@query(f"""SELECT row, doc_id, md5(CASE row WHEN 3 THEN 'a "new", one' WHEN 50 THEN '' ELSE text END) AS digest, CASE row WHEN 7 THEN 'x' || chr(10) || 'é' ELSE lang END AS lang, source FROM ({_FILE})""")
+def file_edit(spark, d):
+    return _read(_saved(spark, documents_file(spark, d).edit({(3, 1): 'a "new", one', (7, 2): "x\né", (50, 1): ""})).rows_frame(), *_DOCS)
+
+
+@query(f"SELECT row, doc_id, md5(replace(text, 'the', 'THE')) AS digest, lang, source FROM ({_FILE})")
+def file_replace(spark, d):
+    return _read(_saved(spark, documents_file(spark, d).replace_all("the", "THE")[0]).rows_frame(), *_DOCS)
+
+
+@query(f"SELECT row, doc_id, md5(split_part(text, ' ', 1)) AS digest, CASE WHEN contains(text, ' ') THEN substr(text, instr(text, ' ') + 1) ELSE '' END AS rest, lang, source FROM ({_FILE})")
+def file_split(spark, d):
+    return _read(_saved(spark, documents_file(spark, d).split(1, " ", 2)).rows_frame(), "doc_id", "digest", "rest", "lang", "source")
+
+
+@query(f"SELECT row, doc_id, md5(text) AS digest, source || '|' || lang AS joined FROM ({_FILE})")
+def file_join(spark, d):
+    return _read(_saved(spark, documents_file(spark, d).join([3, 2], "|")).rows_frame(), "doc_id", "digest", "joined")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY text DESC, row) AS row, doc_id, md5(text) AS digest, lang, source FROM ({_FILE})")
+def file_sort(spark, d):
+    return _read(_saved(spark, documents_file(spark, d).sort(1, True)[0]).rows_frame(), *_DOCS)
+
+
+@query("SELECT doc_id::VARCHAR AS id, coalesce(lang, '') AS tongue FROM documents")
+def file_rename_arrange(spark, d):
+    out = _saved(spark, documents_file(spark, d).rename({0: "id", 2: "tongue"}).arrange([2, 0])).wide()
+    return out.select(*(F.decode(cells.lower(F.col(c)), "UTF-8").alias(c) for c in ("id", "tongue")))

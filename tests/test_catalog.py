@@ -64,6 +64,26 @@ def test_ordinals_by_ranges(spark, monkeypatch, descending):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want)) and "_range" in plan(got)
 
 
+def test_ordinals_of_one_key_use_many_ranges(spark, monkeypatch):
+    df = spark.range(4000).select(F.lit("same").alias("k"), F.col("id"))
+    monkeypatch.setattr(ordinals, "ROWS", 500)
+    got = ordinals.with_ordinal(df, ["k", "id"], "n", True)
+    assert all(r["n"] == r["id"] for r in got.collect())
+    sizes = [r["count"] for r in got.groupBy(F.expr("n div 500")).count().collect()]
+    assert len(sizes) == 8
+    placed = ordinals.with_ordinal(df, ["k", "id"], "n")
+    assert placed.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
+def test_deep_ranges_of_matches(spark, monkeypatch):
+    from gridloom.operators import filters
+
+    rows = spark.range(3000).select(F.col("id").alias("row"))
+    monkeypatch.setattr(filters, "NEAR", 100)
+    got = filters.match_range(rows.where("row % 3 = 0"), 500, 20).orderBy("match").collect()
+    assert [(r["match"], r["row"]) for r in got] == [(k, 3 * k) for k in range(500, 520)]
+
+
 def test_literal_patterns(spark):
     for separator in ("|", ".", "\\E", "a\\Eb", "$^", "\\"):
         df = spark.createDataFrame([(f"x{separator}y{separator}z",)], "s string")
