@@ -233,6 +233,87 @@ def test_jobs(spark, opened):
         Job(spark, lambda: 1 / 0).wait(10)
 
 
+def test_cancelled_between_steps(spark, opened, tmp_path):
+    import threading
+
+    going, asked, ran = threading.Event(), threading.Event(), []
+
+    def work():
+        spark.range(10).count()
+        going.set()
+        asked.wait(20)
+        spark.range(10).count()
+        ran.append(1)
+        return 7
+
+    job = Job(spark, work)
+    going.wait(20)
+    assert job.cancel()
+    asked.set()
+    assert job.wait(30) is None and job.cancelled and not ran
+
+    sheet, out = opened(b"a,b\n" + b"x,y\n" * 50), tmp_path / "late.csv"
+    taken = {}
+    monkey = sheet.ensure_source_unchanged
+
+    def slow():  # the last check before the file gets its name
+        monkey()
+        if out.parent and any(p.name.startswith(".late") for p in tmp_path.iterdir()):
+            taken["job"].cancel()
+
+    object.__setattr__(sheet, "ensure_source_unchanged", slow)
+    began = threading.Event()
+    taken["job"] = Job(spark, lambda: began.wait(20) and sheet.save_as(str(out)))
+    began.set()
+    assert taken["job"].wait(60) is None and taken["job"].cancelled
+    assert not out.exists() and not [p for p in tmp_path.iterdir() if p.name.startswith(".late")]
+    done = Job(spark, lambda: opened(b"a,b\n1,2\n").save_as(str(out)))
+    assert done.wait(60) and not done.cancel() and out.exists()
+
+
+def test_progress_counts_its_own_stages(spark):
+    import threading
+
+    other = threading.Thread(target=lambda: spark.range(0, 4_000_000, 1, 40).selectExpr("sum(hash(id))").collect())
+    other.start()
+    job = Job(spark, lambda: spark.range(0, 100, 1, 3).count())
+    job.wait(60)
+    assert 3 <= job.progress().tasks <= 10 and job.progress().percent == 100.0
+    other.join()
+
+
+def test_output_records_have_a_limit(opened, tmp_path, monkeypatch):
+    from gridloom.sources import grammar
+
+    sheet = opened(b"a,b\nx,yy\n" + b"z" * 30 + b"," + b"w" * 30 + b"\n")
+    monkeypatch.setattr(grammar, "MAX_RECORD", 61)
+    with pytest.raises(errors.RecordTooLarge):
+        sheet.save_as(str(tmp_path / "too.csv"))
+    assert not (tmp_path / "too.csv").exists()
+    monkeypatch.setattr(grammar, "MAX_RECORD", 62)
+    assert sheet.save_as(str(tmp_path / "fits.csv"))[0] == 3
+
+
+def test_search_and_matches_of_a_file_in_parts(spark, file):
+    lines = [b"id,text\n"] + [b'%d,"%s\n%s"\n' % (i, b"hit" if i % 7 == 3 else b"miss", b"x" * 40) for i in range(300)]
+    sheet = Sheet.open(spark, file(b"".join(lines)), step=512)
+    assert len(sheet.index.splits) > 20
+    found = sheet.filter([Contains(1, "hit")])
+    want = [i + 1 for i in range(300) if i % 7 == 3]
+    assert found.count() == len(want) and sum(found._by_part) == len(want)
+    for start, count in ((0, 5), (20, 9), (40, 100), (len(want) - 1, 1)):
+        assert [(r["match"], r["row"]) for r in found.rows(start, count).collect()] == list(enumerate(want))[start : start + count]
+    with pytest.raises(errors.MatchNotIndexed):
+        found.rows(len(want), 1)
+    assert found.rows(0, 0).count() == 0
+    for at in (1, 5, 150, 290):
+        hit = sheet.find("hit", (at, 0))
+        assert (hit.row, hit.column) == (next(r for r in want if r >= at), 1)
+    assert sheet.find("hit", (299, 0)) is None and sheet.find("absent") is None
+    edited = sheet.edit({(2, 1): "hit now"})
+    assert edited.find("hit").row == 2
+
+
 def test_commands(spark, file, tmp_path, capsys):
     path = file(b"name,city,state\nAda::Lovelace,London,UK\nGrace,Arlington,US\n")
     out = lambda n: str(tmp_path / n)
