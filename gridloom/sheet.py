@@ -34,9 +34,8 @@ def _text(value: bytes | str) -> str:
 
 def _records(spark: SparkSession, path: str, delimiter: bytes, splits) -> DataFrame:
     """``(row, offset, ending, raw, fields)`` of some parts of a file, as lifted text."""
-    raw = cells.lift(F.col("raw"))
-    ending = F.when(F.endswith(raw, F.lit("\r\n")), "\r\n").when(F.endswith(raw, F.lit("\n")), "\n").otherwise("")
-    return delimited.read(spark, path, delimiter, splits).select("row", "offset", ending.alias("ending"), raw.alias("raw"), F.transform("fields", cells.lift).alias("fields"))
+    ending = F.when(F.endswith("raw", F.lit("\r\n")), "\r\n").when(F.endswith("raw", F.lit("\n")), "\n").otherwise("")
+    return delimited.read(spark, path, delimiter, splits).select("row", "offset", ending.alias("ending"), "raw", "fields")
 
 
 @dataclass(frozen=True)
@@ -198,7 +197,7 @@ class Sheet:
         last = min(start + count, total) - 1
         if self.index is not None and self.path is not None:
             read = delimited.read(self.spark, self.path, self.dialect.delimiter, self.index.covering(start, count), (start, last))
-            return read.select("row", "offset", "raw", F.transform("fields", cells.lift).alias("fields")).orderBy("row")
+            return read.orderBy("row")
         return self.body.where(F.col("row").between(start, last)).orderBy("row")
 
     def wide(self) -> DataFrame:
