@@ -165,3 +165,39 @@ def test_small_helpers():
     assert dialect.fnv1a(b"a") == 0xAF63DC4C8601EC8C
     assert dialect.shown(b"a\nb\xff") == "a\\nb�" and len(dialect.shown(b"x" * 100)) == 80
     assert files.sibling("/a/b.csv", "filtered") == "/a/b-filtered.csv"
+
+
+def test_runs_of_records_parse_as_each_record_alone(tmp_path, monkeypatch):
+    import json
+    import random
+
+    from gridloom.sources import delimited
+
+    class Wanted:
+        def fieldNames(self):
+            return ["row", "offset", "raw", "fields"]
+
+    def one_by_one(path, size):
+        out = []
+        for row, (at, record) in enumerate(delimited.records(path, 0, size, b",")):
+            raw = record[3:] if at == 0 and record.startswith(grammar.BOM) else record
+            out.append((row, at, raw.decode("latin-1"), [v.decode("latin-1") for v in grammar.parse(record, b",", at)]))
+        return out
+
+    def result(run):
+        try:
+            return run()
+        except errors.ParseError as e:
+            return type(e), str(e)
+
+    rng, path = random.Random(1), str(tmp_path / "in.csv")
+    parts = [b"a", b"b,", b",", b"\n", b"\r\n", b"\r", b'"x"', b'"q""q"', b'"m\nn"', b"\xc3\xa9", b"\xff", b'"', b"long" * 4]
+    for chunk in (7, 37, 1 << 20):
+        monkeypatch.setattr(delimited, "CHUNK", chunk)
+        for _ in range(400):
+            data = (b"\xef\xbb\xbf" if rng.random() < 0.2 else b"") + b"".join(rng.choices(parts, k=rng.randint(0, 25)))
+            with open(path, "wb") as f:
+                f.write(data)
+            reader = delimited.DelimitedReader({"path": path, "delimiter": ",", "splits": json.dumps([[0, len(data), 0]])}, Wanted())
+            got = result(lambda: [tuple(r.values()) for b in reader.read(delimited.Part(0, len(data), 0)) for r in b.to_pylist()])
+            assert got == result(lambda: one_by_one(path, len(data))), data
