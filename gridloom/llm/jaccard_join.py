@@ -368,7 +368,7 @@ def _edges(node: list[bytes], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([node[i] for i in a.tolist()], pa.binary()), pa.array([node[i] for i in b.tolist()], pa.binary())], ["src", "dst"])
 
 
-def _small(cells: DataFrame, over: int, under: int, every: bool) -> DataFrame:
+def _small(cells: DataFrame, over: int, under: int, every: bool, few: bool = False) -> DataFrame:
     """Edges of regions that a task holds."""
 
     def compare(batches):
@@ -378,7 +378,9 @@ def _small(cells: DataFrame, over: int, under: int, every: bool) -> DataFrame:
                 region.join(np.arange(len(node)))
                 yield _edges(node, *region.links())
 
-    return cells.select("region", "node", "items", "core").repartition("region").sortWithinPartitions("region", "node").mapInArrow(tidy(compare), _EDGES)
+    rows = cells.select("region", "node", "items", "core")
+    dealt = rows.repartitionByRange("region") if few else rows.repartition("region")  # a hash deals a few hundred regions unevenly
+    return dealt.sortWithinPartitions("region", "node").mapInArrow(tidy(compare), _EDGES)
 
 
 def _measured(cells: DataFrame, over: int, under: int, turn: int) -> DataFrame:
@@ -429,7 +431,7 @@ def _blocks(cells: DataFrame, over: int, under: int, every: bool) -> DataFrame:
                 region.compare(np.flatnonzero(own == a), np.flatnonzero(own == b))
             yield _edges(node, *region.links())
 
-    return loose.union(bound).repartition("region", "a", "b").sortWithinPartitions("region", "a", "b", "node").mapInArrow(tidy(compare), _EDGES)
+    return loose.union(bound).repartitionByRange("region", "a", "b").sortWithinPartitions("region", "a", "b", "node").mapInArrow(tidy(compare), _EDGES)
 
 
 def _large(cells: DataFrame, over: int, under: int, every: bool, counts: dict) -> list[DataFrame]:
@@ -461,7 +463,7 @@ def _large(cells: DataFrame, over: int, under: int, every: bool, counts: dict) -
         counts[f"round {turn + 1}"] = {k: (r["regions"], r["rows"], r["open"]) for k, r in found.items()}
         placed = split.join(sized.select("region", "n", "open", "how"), "region")
         if "task" in found:
-            out.append(_small(placed.where("how = 'task'"), over, under, every))
+            out.append(_small(placed.where("how = 'task'"), over, under, every, few=True))
         if "blocks" in found:
             out.append(_blocks(placed.where("how = 'blocks'"), over, under, every))
         if "round" not in found:
