@@ -154,21 +154,38 @@ def bucket_keys(flat: np.ndarray, bounds: np.ndarray, classes: Classes, rows: np
     return np.concatenate(keys).view(np.int64), np.concatenate(owners)
 
 
-def _regions(batches):
-    """(name, pivot) of the sets that share a key, from rows sorted by key, salt and name; the pivot is the first. Of salted keys also the pivot itself."""
-    last = pivot = None
-    for batch in batches:
-        key, salt, name = (batch.column(c).to_numpy() for c in range(3))
-        if not len(key):
-            continue
-        new = np.concatenate([[last is None or (key[0], salt[0]) != last], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        first = np.where(at >= 0, name[at], pivot if pivot is not None else 0)
-        last, pivot = (key[-1], salt[-1]), first[-1]
-        rows = np.flatnonzero((name != first) | (salt > 0))
-        if len(rows):
-            found = np.unique(np.stack([name[rows], first[rows], np.where(salt[rows] > 0, key[rows], 0), salt[rows] > 0], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2]), pa.array(found[:, 3] > 0)], ["name", "pivot", "key", "salted"])
+def _salted(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Another key for each salt of a key."""
+    return mix(mix(key.view(np.uint64)) + salt.astype(np.uint64)).view(np.int64)
+
+
+def _regions(common: np.ndarray):
+    """(name, pivot) of the sets that share a key, from rows sorted by key and name; the pivot is the first. Of salted keys also the pivot itself, and the key."""
+    salted = _salted(np.repeat(common, SALTS), np.tile(np.arange(SALTS), len(common)))
+    order = np.argsort(salted)
+    salted, of = salted[order], np.repeat(common, SALTS)[order]
+
+    def run(batches):
+        last = pivot = None
+        for batch in batches:
+            key, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            first = np.where(at >= 0, name[at], pivot if pivot is not None else 0)
+            last, pivot = key[-1], first[-1]
+            if len(salted):
+                place = np.minimum(np.searchsorted(salted, key), len(salted) - 1)
+                spread, origin = salted[place] == key, of[place]
+            else:
+                spread, origin = np.zeros(len(key), bool), key
+            rows = np.flatnonzero((name != first) | spread)
+            if len(rows):
+                found = np.unique(np.stack([name[rows], first[rows], np.where(spread[rows], origin[rows], 0), spread[rows]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2]), pa.array(found[:, 3] > 0)], ["name", "pivot", "key", "salted"])
+
+    return run
 
 
 class Region:
@@ -320,27 +337,27 @@ def _candidates(source: DataFrame, words: int, classes: Classes) -> DataFrame:
                     rows = np.array([i for i, k in enumerate(name.tolist()) if not (k in done or done.add(k))], np.int64)
                     key, owner = bucket_keys(flat, bounds, classes, rows)
                     own = name[owner]
-                    salt = np.where(np.isin(key, common), 1 + (mix(own.view(np.uint64)) % np.uint64(SALTS)).astype(np.int16), 0).astype(np.int16)
+                    hot = np.isin(key, common)
+                    key[hot] = _salted(key[hot], mix(own[hot].view(np.uint64)) % np.uint64(SALTS))
                     for a in range(0, len(key), 200_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (key, salt, own)], ["key", "salt", "name"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (key, own)], ["key", "name"])
 
         return tidy(run)
 
-    kind = "key bigint, salt smallint, name bigint"
+    kind = "key bigint, name bigint"
     texts = source.where("text is not null")
     # keys that many sets have, by a bounded sample: these are dealt by key and salt
     seen = sample_rows(texts, SAMPLE_ROWS, "text").select("text").mapInArrow(keys(np.zeros(0, np.int64)), kind).distinct().groupBy("key").agg(F.count("*").alias("n"))
     least = max(20, SAMPLE_ROWS // RARE)
     common = np.array(sorted(r["key"] for r in seen.where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(COMMON).collect()), np.int64)
-    found = texts.select("text").mapInArrow(keys(common), kind).repartition("key", "salt").sortWithinPartitions("key", "salt", "name")
-    found = settle(found.mapInArrow(_regions, "name bigint, pivot bigint, key bigint, salted boolean").distinct(), "regions")
+    found = texts.select("text").mapInArrow(keys(common), kind).repartition("key").sortWithinPartitions("key", "name")
+    found = settle(found.mapInArrow(_regions(common), "name bigint, pivot bigint, key bigint, salted boolean").distinct(), "regions")
     top = found.where("salted").groupBy("key").agg(F.min("pivot").alias("top"))  # a row for each salted key, of which there are at most COMMON
     salted = found.where("salted").join(F.broadcast(top), "key").select("name", F.col("top").alias("pivot"))
     pairs = found.where("not salted").select("name", "pivot").union(salted).where("name <> pivot").distinct()
     return pairs.union(pairs.select(F.col("pivot").alias("name"), "pivot")).distinct()
 
 
-_CELL = "region bigint, node binary, items binary, core boolean"
 _EDGES = "src binary, dst binary"
 
 
@@ -368,6 +385,10 @@ def _edges(node: list[bytes], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([node[i] for i in a.tolist()], pa.binary()), pa.array([node[i] for i in b.tolist()], pa.binary())], ["src", "dst"])
 
 
+def _with_items(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    return rows.join(sets.select("node", "items"), "node")
+
+
 def _small(cells: DataFrame, over: int, under: int, every: bool, few: bool = False) -> DataFrame:
     """Edges of regions that a task holds."""
 
@@ -383,17 +404,17 @@ def _small(cells: DataFrame, over: int, under: int, every: bool, few: bool = Fal
     return dealt.sortWithinPartitions("region", "node").mapInArrow(tidy(compare), _EDGES)
 
 
-def _measured(cells: DataFrame, over: int, under: int, turn: int) -> DataFrame:
+def _measured(cells: DataFrame, sets: DataFrame, over: int, under: int, turn: int) -> DataFrame:
     """Rows of large regions with what ``measure`` says; the pivots come from rows outside the core."""
     rank = F.xxhash64(F.lit(turn), "node")
-    chosen = cells.where("not core").groupBy("region", F.pmod(rank, F.lit(PIVOTS)).alias("k")).agg(F.min_by(F.struct("node", "items"), rank).alias("p"))
+    chosen = cells.where("not core").groupBy("region", F.pmod(rank, F.lit(PIVOTS)).alias("k")).agg(F.min_by("node", rank).alias("node"))
     part = F.pmod(F.xxhash64(F.lit(-1), "node"), F.col("parts")).cast("int")
-    rows = cells.select("region", part.alias("part"), F.lit(1).alias("side"), "node", "items", "core")
+    rows = cells.select("region", part.alias("part"), F.lit(1).alias("side"), "node", "core")
     counts = cells.groupBy("region").agg(F.first("parts").alias("parts"))
-    guests = chosen.join(counts, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "p.node", "p.items", F.lit(False).alias("core"))
+    guests = chosen.join(counts, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), "node", F.lit(False).alias("core"))
 
     def run(batches):
-        for (region, _), (side, node, items, core) in _grouped(batches, 2):
+        for (region, _), (side, node, core, items) in _grouped(batches, 2):
             k = side.count(0)
             if k == len(side):
                 continue
@@ -402,24 +423,24 @@ def _measured(cells: DataFrame, over: int, under: int, turn: int) -> DataFrame:
             to = [[node[j] for j in range(k) if x >> j & 1 and node[j] != own] for own, x in zip(node[k:], links.tolist(), strict=True)]
             n = len(side) - k
             yield pa.RecordBatch.from_arrays(
-                [pa.array([region] * n, pa.int64()), pa.array(node[k:], pa.binary()), pa.array(items[k:], pa.binary()), pa.array(core[k:]), pa.array(links), pa.array(cells), pa.array(to, pa.list_(pa.binary()))],
-                ["region", "node", "items", "core", "links", "cells", "to"],
+                [pa.array([region] * n, pa.int64()), pa.array(node[k:], pa.binary()), pa.array(core[k:]), pa.array(links), pa.array(cells), pa.array(to, pa.list_(pa.binary()))],
+                ["region", "node", "core", "links", "cells", "to"],
             )
 
     # the parts' rows and, in each part, all pivots of the region
-    dealt = rows.union(guests).repartition("region", "part").sortWithinPartitions("region", "part", "side", "node")
-    return dealt.mapInArrow(tidy(run), "region bigint, node binary, items binary, core boolean, links bigint, cells bigint, to array<binary>")
+    dealt = _with_items(rows.union(guests), sets).select("region", "part", "side", "node", "core", "items").repartition("region", "part").sortWithinPartitions("region", "part", "side", "node")
+    return dealt.mapInArrow(tidy(run), "region bigint, node binary, core boolean, links bigint, cells bigint, to array<binary>")
 
 
-def _blocks(cells: DataFrame, over: int, under: int, every: bool) -> DataFrame:
+def _blocks(cells: DataFrame, sets: DataFrame, over: int, under: int, every: bool) -> DataFrame:
     """Edges of cells that windows don't divide: each block of rows outside the core meets every other, and every block of the core."""
     part = lambda n: F.pmod(F.xxhash64(F.lit(-2), "node"), n).cast("int")
     rows = cells.withColumns({"groups": F.ceil(F.col("open") / TASK_ROWS).cast("int"), "blocks": F.ceil((F.col("n") - F.col("open")) / TASK_ROWS).cast("int")})
     loose = rows.where("not core").withColumn("own", part(F.col("groups"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") + F.col("blocks") - 1)))
     inside = F.col("other") < F.col("groups")
-    loose = loose.select("region", F.when(inside, F.least("own", "other")).otherwise(F.col("own")).alias("a"), F.when(inside, F.greatest("own", "other")).otherwise(F.col("other")).alias("b"), "own", "node", "items")
+    loose = loose.select("region", F.when(inside, F.least("own", "other")).otherwise(F.col("own")).alias("a"), F.when(inside, F.greatest("own", "other")).otherwise(F.col("other")).alias("b"), "own", "node")
     bound = rows.where("core").withColumn("own", F.col("groups") + part(F.col("blocks"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    bound = bound.select("region", "a", F.col("own").alias("b"), "own", "node", "items")
+    bound = bound.select("region", "a", F.col("own").alias("b"), "own", "node")
 
     def compare(batches):
         for (_, a, b), (own, node, items) in _grouped(batches, 3):
@@ -431,14 +452,15 @@ def _blocks(cells: DataFrame, over: int, under: int, every: bool) -> DataFrame:
                 region.compare(np.flatnonzero(own == a), np.flatnonzero(own == b))
             yield _edges(node, *region.links())
 
-    return loose.union(bound).repartitionByRange("region", "a", "b").sortWithinPartitions("region", "a", "b", "node").mapInArrow(tidy(compare), _EDGES)
+    dealt = _with_items(loose.union(bound), sets).select("region", "a", "b", "own", "node", "items")
+    return dealt.repartitionByRange("region", "a", "b").sortWithinPartitions("region", "a", "b", "node").mapInArrow(tidy(compare), _EDGES)
 
 
-def _large(cells: DataFrame, over: int, under: int, every: bool, counts: dict) -> list[DataFrame]:
+def _large(cells: DataFrame, sets: DataFrame, over: int, under: int, every: bool, counts: dict) -> list[DataFrame]:
     """Edges of large regions, by rounds of distributed Voronoi cells; ``parts`` of ``cells`` says among how many tasks a region's rows are dealt."""
-    out = []
+    out, sizes = [], sets.select("node", (F.length("items") / 8).alias("m"))
     for turn in range(ROUNDS + 1):
-        measured = settle(_measured(cells, over, under, turn), "measured")
+        measured = settle(_measured(cells, sets, over, under, turn), "measured")
         out.append(measured.select(F.col("node").alias("src"), F.explode("to").alias("dst")))
         # Pivots that rows link with are connected, and so is all that links with these: what holds most rows is the core.
         # Where a cell holds nearly all of a region, its windows don't divide it, and it stays one cell.
@@ -453,9 +475,9 @@ def _large(cells: DataFrame, over: int, under: int, every: bool, counts: dict) -
         kept = measured.drop("to").join(told.select("region", (F.lit(0).cast("bigint") if every else reach).alias("reach"), "whole"), "region")
         kept = kept.withColumn("core", F.col("core") | (F.col("links").bitwiseAND(F.col("reach")) != 0))
         into = F.when(F.col("whole"), F.array(F.lit(0))).otherwise(F.array_compact(F.array(*(F.when(x, k) for k, x in enumerate(inside)))))
-        split = kept.withColumn("k", F.explode(into)).select(F.xxhash64("region", F.lit(turn), "k").alias("region"), "node", "items", "core", "whole")
+        split = kept.withColumn("k", F.explode(into)).select(F.xxhash64("region", F.lit(turn), "k").alias("region"), "node", "core", "whole")
         split = settle(split, "cells")
-        sized = split.groupBy("region").agg(F.count("*").alias("n"), F.count_if(~F.col("core")).alias("open"), F.sum(F.length("items") / 8).alias("m"), F.max("whole").alias("whole"))
+        sized = split.join(sizes, "node").groupBy("region").agg(F.count("*").alias("n"), F.count_if(~F.col("core")).alias("open"), F.sum("m").alias("m"), F.max("whole").alias("whole"))
         fits = (F.col("n") <= REGION_ROWS) & (F.col("m") <= REGION_ITEMS)
         stuck = F.col("whole") & (F.lit(every) | (8 * F.col("open") <= F.col("n")))
         sized = sized.where("open > 0").withColumn("how", F.when(fits, "task").when(stuck | F.lit(turn == ROUNDS), "blocks").otherwise("round"))
@@ -463,12 +485,12 @@ def _large(cells: DataFrame, over: int, under: int, every: bool, counts: dict) -
         counts[f"round {turn + 1}"] = {k: (r["regions"], r["rows"], r["open"]) for k, r in found.items()}
         placed = split.join(sized.select("region", "n", "open", "how"), "region")
         if "task" in found:
-            out.append(_small(placed.where("how = 'task'"), over, under, every, few=True))
+            out.append(_small(_with_items(placed.where("how = 'task'"), sets), over, under, every, few=True))
         if "blocks" in found:
-            out.append(_blocks(placed.where("how = 'blocks'"), over, under, every))
+            out.append(_blocks(placed.where("how = 'blocks'"), sets, over, under, every))
         if "round" not in found:
             return out
-        cells = placed.where("how = 'round'").select("region", "node", "items", "core", F.ceil(F.col("n") / TASK_ROWS).cast("int").alias("parts"))
+        cells = placed.where("how = 'round'").select("region", "node", "core", F.ceil(F.col("n") / TASK_ROWS).cast("int").alias("parts"))
     return out
 
 
@@ -515,11 +537,14 @@ def _compared(documents: DataFrame, words: int, over: int, under: int, every: bo
     sized = settle(sized.withColumn("large", (F.col("total") > REGION_ROWS) | (F.col("m") > REGION_ITEMS)), "sizes")
     found = {r["large"]: r for r in sized.groupBy("large").agg(F.count("*").alias("regions"), F.sum("total").alias("rows")).collect()}
     counts["regions"] = {"large" if k else "task": (r["regions"], r["rows"]) for k, r in found.items()}
-    placed = members.join(sized, "pivot").join(sets, "name").select(F.col("pivot").alias("region"), "node", "items", F.lit(False).alias("core"), "total", "large")
-    edges = _small(placed.where("not large"), over, under, every)
+    placed = members.join(sized, "pivot")
+    little = placed.where("not large").join(sets, "name").select(F.col("pivot").alias("region"), "node", "items", F.lit(False).alias("core"))
+    edges = _small(little, over, under, every)
     if True in found:
-        cells = settle(placed.where("large").withColumn("parts", F.ceil(F.col("total") / TASK_ROWS).cast("int")).drop("large", "total"), "cells")
-        for more in _large(cells, over, under, every, counts):
+        big = settle(placed.where("large").select("name", F.col("pivot").alias("region"), F.ceil(F.col("total") / TASK_ROWS).cast("int").alias("parts")), "large")
+        some = settle(sets.join(big.select("name").distinct(), "name", "left_semi"), "large-sets")
+        cells = settle(big.join(some.select("name", "node"), "name").select("region", "node", F.lit(False).alias("core"), "parts"), "cells")
+        for more in _large(cells, some, over, under, every, counts):
             edges = edges.union(more)
     return rows, edges
 
