@@ -499,6 +499,15 @@ def twin(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
+#: Columns without nulls that tell rows apart; a join by them needs no other shuffle after ``dropDuplicates`` of them.
+ROW_KEY = ["_id", "_nameless", "_twin"]
+
+
+def row_key(doc_id: Column, twin: Column) -> list[Column]:
+    """ROW_KEY of a row with this id, or null, and this ``twin``."""
+    return [F.coalesce(doc_id.cast("bigint"), F.lit(0)).alias("_id"), doc_id.isNull().alias("_nameless"), twin.alias("_twin")]
+
+
 def _compared(documents: DataFrame, words: int, over: int, under: int, every: bool = False, counts: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows ``(doc_id, twin, node, n_shingles)`` and edges ``(src, dst)`` between nodes: all links if ``every``, else enough to connect them.
 
@@ -519,30 +528,35 @@ def _compared(documents: DataFrame, words: int, over: int, under: int, every: bo
     rows = settle(told.mapInArrow(tidy(name), "doc_id bigint, twin bigint, name bigint, node binary, n_shingles bigint"), "sets")
     members = settle(_candidates(source, words, classes), "members")
 
-    first = rows.groupBy("name", "node").agg(F.min(F.struct("doc_id", "twin")).alias("first")).join(members.select("name").distinct(), "name", "left_semi")
-    wanted = first.select("name", "node", F.col("first.doc_id").alias("_id"), F.col("first.twin").alias("_twin"))
+    first = rows.groupBy("name", "node").agg(F.min(F.struct("doc_id", "twin")).alias("first"), F.first("n_shingles").alias("m"))
+    first = settle(first.join(members.select("name").distinct(), "name", "left_semi"), "first")
+
+    sized = members.join(first.select("name", "m"), "name").groupBy("pivot").agg(F.count("*").alias("total"), F.sum("m").alias("m"))
+    sized = settle(sized.withColumn("large", (F.col("total") > REGION_ROWS) | (F.col("m") > REGION_ITEMS)), "sizes")
+    found = {r["large"]: r for r in sized.groupBy("large").agg(F.count("*").alias("regions"), F.sum("total").alias("rows")).collect()}
+    counts["regions"] = {"large" if k else "task": (r["regions"], r["rows"]) for k, r in found.items()}
+    placed = members.join(sized, "pivot")
+
+    # Each set is made once and carries its regions, of which it has two for each of its keys at most, so sets are shuffled by region alone.
+    regions = placed.groupBy("name").agg(F.collect_list(F.when(~F.col("large"), F.col("pivot"))).alias("regions"), F.max("large").alias("large"))
+    wanted = first.join(regions, "name").select("name", "node", "regions", "large", *row_key(F.col("first.doc_id"), F.col("first.twin")))
 
     def fetch(batches):
         for batch in batches:
-            for at, part in runs(byte_texts(batch.column(2)), SLICE_BYTES):
+            for at, part in runs(byte_texts(batch.column(4)), SLICE_BYTES):
                 flat, bounds = shingle_sets(part, words)
                 data = [flat[a:b].astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(data, pa.binary())], ["name", "node", "items"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(part)) for k in range(4)), pa.array(data, pa.binary())], ["name", "node", "regions", "large", "items"])
 
-    texts = told.join(wanted, told["doc_id"].eqNullSafe(wanted["_id"]) & (told["twin"] == wanted["_twin"])).select("name", "node", "text")
-    sets = texts.mapInArrow(tidy(fetch), "name bigint, node binary, items binary")
-    sets = settle(sets.groupBy("name", "node").agg(F.first("items").alias("items")), "items")  # rows that are repeated have one set
+    texts = told.where("text is not null").select(*row_key(F.col("doc_id"), F.col("twin")), "text").dropDuplicates(ROW_KEY)  # rows that are repeated have one set
+    texts = texts.join(wanted, ROW_KEY).select("name", "node", "regions", "large", "text")
+    sets = settle(texts.mapInArrow(tidy(fetch), "name bigint, node binary, regions array<bigint>, large boolean, items binary"), "items")
 
-    sized = members.join(sets.select("name", (F.length("items") / 8).alias("m")), "name").groupBy("pivot").agg(F.count("*").alias("total"), F.sum("m").alias("m"))
-    sized = settle(sized.withColumn("large", (F.col("total") > REGION_ROWS) | (F.col("m") > REGION_ITEMS)), "sizes")
-    found = {r["large"]: r for r in sized.groupBy("large").agg(F.count("*").alias("regions"), F.sum("total").alias("rows")).collect()}
-    counts["regions"] = {"large" if k else "task": (r["regions"], r["rows"]) for k, r in found.items()}
-    placed = members.join(sized, "pivot")
-    little = placed.where("not large").join(sets, "name").select(F.col("pivot").alias("region"), "node", "items", F.lit(False).alias("core"))
+    little = sets.select(F.explode("regions").alias("region"), "node", "items", F.lit(False).alias("core"))
     edges = _small(little, over, under, every)
     if True in found:
         big = settle(placed.where("large").select("name", F.col("pivot").alias("region"), F.ceil(F.col("total") / TASK_ROWS).cast("int").alias("parts")), "large")
-        some = settle(sets.join(big.select("name").distinct(), "name", "left_semi"), "large-sets")
+        some = settle(sets.where("large").select("name", "node", "items"), "large-sets")
         cells = settle(big.join(some.select("name", "node"), "name").select("region", "node", F.lit(False).alias("core"), "parts"), "cells")
         for more in _large(cells, some, over, under, every, counts):
             edges = edges.union(more)
