@@ -39,10 +39,11 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     lower id goes, also where the id's other text heads a group. Rows without
     a word are in no group; an empty table stays empty.
     """
-    first = jaccard_join.first_rows(docs).select(F.col("doc_id").alias("_kept"), F.col("twin").alias("_kept_twin"))
-    told = docs.withColumn("_twin", jaccard_join.twin(F.col("text")))
-    kept = told.join(first, told["doc_id"].eqNullSafe(first["_kept"]) & (told["_twin"] == first["_kept_twin"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_twin"]).select(*docs.columns)
+    key = jaccard_join.ROW_KEY
+    first = jaccard_join.first_rows(docs).select(*jaccard_join.row_key(F.col("doc_id"), F.col("twin")))
+    rows = docs.select(*jaccard_join.row_key(F.col("doc_id"), jaccard_join.twin(F.col("text"))), F.struct("*").alias("row"))
+    return rows.dropDuplicates(key).join(first, key, "left_semi").select("row.*")
+
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
