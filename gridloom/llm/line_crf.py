@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_texts, place_weights, runs, sample_rows, spread, tidy
+from .shared import byte_texts, place_weights, runs, sample_rows, tidy
+from .shared import spread as deal
 
 #: Bound of the training sample: rows of labelled documents, and lines of one of them.
 TRAIN_ROWS, TRAIN_LINES = 2500, 400
@@ -303,6 +304,6 @@ def score_documents(documents: DataFrame, model: dict) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: quality of all documents."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = deal(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

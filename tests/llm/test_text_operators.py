@@ -395,3 +395,12 @@ def test_training_lines_come_from_the_whole_document(spark, monkeypatch):
     for n in (0, 1, 400, 401, 999, 12345):
         at = line_crf.spread(n, b"t")
         assert len(at) == min(n, 400) and len(set(at.tolist())) == len(at) and (not n or 0 <= at.min() and at.max() < n)
+
+
+def test_classifier_query_scores_every_document(spark, data):
+    got = line_crf.query(spark, data)
+    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    rows = got.collect()
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()]
+    assert sorted(r["doc_id"] for r in rows) == sorted(ids)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
