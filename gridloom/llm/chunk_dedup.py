@@ -8,9 +8,10 @@ document id, and is cut out elsewhere; chunks that repeat without such a group
 are common phrases and stay.
 
 Groups meet by digest. A passage that a large share of all documents has would
-send a row of each to one task; a bounded sample tells such digests, and their
-rows are dealt by digest and a salt, so that the first of each salt is found
-apart and the first of all from these few.
+send a row of each to one task; a bounded sample tells such digests. Of these
+each task sends its first document alone, dealt by digest and a salt, and the
+first of all, a row for each of them, goes to all tasks: they mark these groups
+as they cut the texts, so no row of them is joined or gathered by document.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import byte_texts, mix, place_weights, runs, sample_rows, settle, spread, tidy
+from .shared import mix, place_weights, sample_rows, settle, spread, text_runs, tidy
 
 #: A chunk ends after one word in EVERY by hash, and after MOST words in any case.
 EVERY, MOST = 4, 64
@@ -123,32 +124,55 @@ def _fold(digest: np.ndarray, first: np.ndarray, stop: np.ndarray, base: int) ->
 _ROWS = "digest bigint, check int, salt smallint, doc_id bigint, twin bigint, nth int"
 
 
+def _checks(chunk: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Another digest of each group, to tell groups of one digest apart."""
+    return (_fold(mix(chunk.view(np.uint64)), first, stop, _BASES[1]) >> 32).astype(np.int32)
+
+
 def _digests(common: np.ndarray):
-    """A row for each distinct group of each text; those of ``common`` digests with a salt from 1 on."""
+    """A row for each distinct group of each text; of each of ``common`` digests only a task's first document, with a salt from 1 on and no place."""
+
+    def batch_of(digest, check, salt, doc, twin, nth):
+        kinds = pa.int64(), pa.int32(), pa.int16(), pa.int64(), pa.int64(), pa.int32()
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((digest, check, salt, doc, twin, nth), kinds, strict=True)], ["digest", "check", "salt", "doc_id", "twin", "nth"])
 
     def run(batches):
+        least: dict[tuple[int, int], tuple[int, int]] = {}
         for batch in batches:
-            ids, twins, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), byte_texts(batch.column(2))
-            for at, part in runs(texts, SLICE_BYTES):
+            ids, twins = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            for at, part in text_runs(batch.column(2), SLICE_BYTES):
                 doc, _, chunk, words = chunks(part)
                 first, stop, digest = groups(doc, chunk, words)
                 if not len(digest):
                     continue
-                check = (_fold(mix(chunk.view(np.uint64)), first, stop, _BASES[1]) >> 32).astype(np.int32)
+                check = _checks(chunk, first, stop)
                 doc = doc[first]
                 nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 order = np.lexsort((nth, check, digest, doc))
                 d, c, o = digest[order], check[order], doc[order]
                 keep = order[np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (o[1:] != o[:-1])])]
                 own = at + doc[keep]
-                salt = np.where(np.isin(digest[keep], common), 1 + (mix(ids[own].astype(np.uint64) ^ mix(twins[own].view(np.uint64))) % np.uint64(SALTS)).astype(np.int16), 0).astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array(digest[keep]), pa.array(check[keep]), pa.array(salt), pa.array(ids[own], pa.int64()), pa.array(twins[own]), pa.array(nth[keep], pa.int32())], ["digest", "check", "salt", "doc_id", "twin", "nth"])
+                d, c, i, w = digest[keep], check[keep], ids[own], twins[own]
+                hot = np.isin(d, common)
+                rest = ~hot
+                yield batch_of(d[rest], c[rest], np.zeros(int(rest.sum()), np.int16), i[rest], w[rest], nth[keep][rest])
+                if hot.any():
+                    d, c, i, w = d[hot], c[hot], i[hot], w[hot]
+                    order = np.lexsort((w, i, c, d))
+                    d, c, i, w = d[order], c[order], i[order], w[order]
+                    lead = np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])])
+                    for key, found in zip(zip(d[lead].tolist(), c[lead].tolist(), strict=True), zip(i[lead].tolist(), w[lead].tolist(), strict=True), strict=True):
+                        least[key] = min(least.get(key, found), found)
+        if least:
+            (d, c), (i, w) = np.array(list(least)).T, np.array(list(least.values())).T
+            salt = 1 + (mix(i.astype(np.uint64) ^ mix(w.view(np.uint64))) % np.uint64(SALTS)).astype(np.int16)
+            yield batch_of(d, c.astype(np.int32), salt, i, w, np.zeros(len(d), np.int32))
 
     return tidy(run)
 
 
 def _later(batches):
-    """Of rows sorted by digest, check, salt and document: all but those of the first document, with its id; of salted ones also these, as ``lead``."""
+    """Of rows sorted by digest, check, salt and document: all but those of the first document, with its id; of salted ones only the first, as ``lead``."""
     last = owner = None
     for batch in batches:
         digest, check, salt, doc, twin, nth = (batch.column(c).to_numpy() for c in range(6))
@@ -159,12 +183,35 @@ def _later(batches):
         first, first_twin = (np.where(at >= 0, x[at], owner[i] if owner else 0) for i, x in enumerate((doc, twin)))
         last, owner = (digest[-1], check[-1], salt[-1]), (first[-1], first_twin[-1])
         lead = (doc == first) & (twin == first_twin)  # a repeated row is its own first
-        rows = np.flatnonzero(~lead | (salt > 0))
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[rows]) for x in (doc, twin, nth, first, digest, check)), pa.array(salt[rows] > 0), pa.array(lead[rows])], _MARKS_NAMES)
+        rows = np.flatnonzero(np.where(salt > 0, new, ~lead))
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[rows]) for x in (doc, twin, nth, first, digest, check)), pa.array(salt[rows] > 0)], _MARKS_NAMES)
+
+
+_MARKS_NAMES = ["doc_id", "twin", "nth", "first_id", "digest", "check", "lead"]
+_MARKS = "doc_id bigint, twin bigint, nth int, first_id bigint, digest bigint, check int, lead boolean"
+
+
+class Firsts:
+    """The first document of each salted group."""
 
+    def __init__(self, rows: list[tuple[int, int, int, int]]):
+        """``rows``: digest, check, id and twin."""
+        table = np.array(sorted(rows), np.int64).reshape(-1, 4)
+        self.digest, self.check, self.doc, self.twin = table.T.copy()
+        self.deep = int(np.unique(self.digest, return_counts=True)[1].max(initial=0))
 
-_MARKS_NAMES = ["doc_id", "twin", "nth", "first_id", "digest", "check", "salted", "lead"]
-_MARKS = "doc_id bigint, twin bigint, nth int, first_id bigint, digest bigint, check int, salted boolean, lead boolean"
+    def of(self, digest: np.ndarray, chunk: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Row of each group here, or -1."""
+        out = np.full(len(digest), -1)
+        hot = np.flatnonzero(np.isin(digest, self.digest))
+        if len(hot):
+            check = _checks(chunk, first, stop)[hot]
+            begin = np.searchsorted(self.digest, digest[hot])
+            for k in range(self.deep):
+                at = np.minimum(begin + k, len(self.digest) - 1)
+                same = (self.digest[at] == digest[hot]) & (self.check[at] == check)
+                out[hot[same]] = at[same]
+        return out
 
 
 def _common(source: DataFrame) -> np.ndarray:
@@ -207,50 +254,60 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     rows = source.mapInArrow(_digests(_common(source)), _ROWS)
     found = settle(rows.repartition("digest", "salt").sortWithinPartitions("digest", "check", "salt", "doc_id", "twin", "nth").mapInArrow(_later, _MARKS), "later")
     # the first of all salts: a row for each salted digest, of which there are at most COMMON
-    top = found.where("lead").groupBy("digest", "check").agg(F.min(F.struct("doc_id", "twin")).alias("top"))
-    salted = found.where("salted").join(F.broadcast(top), ["digest", "check"]).where((F.col("doc_id") != F.col("top.doc_id")) | (F.col("twin") != F.col("top.twin")))
-    later = found.where("not salted").select("doc_id", "twin", "nth", "first_id").union(salted.select("doc_id", "twin", "nth", F.col("top.doc_id")))
+    top = found.where("lead").groupBy("digest", "check").agg(F.min(F.struct("doc_id", "twin")).alias("top")).select("digest", "check", "top.doc_id", "top.twin")
+    firsts = Firsts([tuple(r) for r in top.collect()])
+    later = found.where("not lead").select("doc_id", "twin", "nth", "first_id")
     marks = settle(later.groupBy("doc_id", "twin").agg(F.collect_set(F.struct("nth", "first_id")).alias("__gridloom_marks")), "marks")
     marks = marks.select(F.col("doc_id").alias("__gridloom_id"), F.col("twin").alias("__gridloom_twin"), F.transform("__gridloom_marks", lambda m: m["nth"]).alias("__gridloom_nth"), F.transform("__gridloom_marks", lambda m: m["first_id"]).alias("__gridloom_first"))
-    joined = kept.withColumns({"__gridloom_key": F.col("doc_id").cast("bigint"), "__gridloom_of": twin}).join(marks, (F.col("__gridloom_key") == F.col("__gridloom_id")) & (F.col("__gridloom_of") == F.col("__gridloom_twin")), "left").select(*names, "__gridloom_nth", "__gridloom_first")
+    joined = kept.withColumns({"__gridloom_key": F.col("doc_id").cast("bigint"), "__gridloom_of": twin}).join(marks, (F.col("__gridloom_key") == F.col("__gridloom_id")) & (F.col("__gridloom_of") == F.col("__gridloom_twin")), "left").select(*names, "__gridloom_nth", "__gridloom_first", "__gridloom_key", "__gridloom_of")
 
     where = names.index("text")
 
     def rebuild(batches):
         for batch in batches:
-            texts, nulls = byte_texts(batch.column(where)), batch.column(where).is_null().to_numpy(zero_copy_only=False)
-            marked, first = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-            known = batch.column(names.index("doc_id")).is_valid().to_numpy(zero_copy_only=False)
-            out, n, removed, lost, lists = list(texts), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int64), [[] for _ in texts]
-            for at, part in runs(texts, SLICE_BYTES):
-                doc, start, digest, words = chunks(part)
-                head, stop, digest = groups(doc, digest, words)
-                bound = np.searchsorted(doc, np.arange(len(part) + 1))
-                reach = np.searchsorted(head, bound)
-                for i in range(len(part)):
-                    a, b, row = int(bound[i]), int(bound[i + 1]), at + i
-                    n[row] = b - a
-                    if a == b or not known[row]:
-                        continue
-                    p, q = int(reach[i]), int(reach[i + 1])
-                    again = np.ones(q - p, bool)
-                    _, once = np.unique(digest[p:q], return_index=True)
-                    again[once] = False
-                    if marked[row]:
-                        again[marked[row]] = True
-                    edge = np.zeros(b - a + 1, np.int64)
-                    np.add.at(edge, head[p:q][again] - a, 1)
-                    np.add.at(edge, stop[p:q][again] - a, -1)
-                    duplicate = np.cumsum(edge)[:-1] > 0
-                    if not duplicate.any():
-                        continue
-                    out[row], gone = cut_text(part[i], start[a:b], words[a:b], duplicate)
-                    removed[row], lost[row] = gone.sum(), words[a:b][gone].sum()
-                    if marked[row]:
-                        lists[row] = sorted(set(first[row])) if gone.any() else []
-            text = pa.array([None if x else t for t, x in zip(out, nulls, strict=True)], pa.binary()).cast(pa.string())
-            columns = [text if j == where else batch.column(j) for j in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(removed), pa.array(lost), pa.array(lists, pa.list_(pa.int64()))], [*names, *added])
+            for at, part in text_runs(batch.column(where), SLICE_BYTES):
+                yield rebuilt(batch.slice(at, len(part)), part)
+
+    def rebuilt(batch, part):
+        marked, first, key, of = (batch.column(len(names) + k).to_pylist() for k in range(4))
+        out, n, removed, lost, lists = list(part), np.zeros(len(part), np.int32), np.zeros(len(part), np.int32), np.zeros(len(part), np.int64), [[] for _ in part]
+        doc, start, chunk, words = chunks(part)
+        head, stop, digest = groups(doc, chunk, words)
+        salted = firsts.of(digest, chunk, head, stop)
+        bound = np.searchsorted(doc, np.arange(len(part) + 1))
+        reach = np.searchsorted(head, bound)
+        for row in range(len(part)):
+            a, b = int(bound[row]), int(bound[row + 1])
+            n[row] = b - a
+            if a == b or key[row] is None:
+                continue
+            p, q = int(reach[row]), int(reach[row + 1])
+            again = np.ones(q - p, bool)
+            _, once = np.unique(digest[p:q], return_index=True)
+            again[once] = False
+            owners = set()
+            if marked[row]:
+                again[marked[row]] = True
+                owners.update(first[row])
+            hot = np.flatnonzero(salted[p:q] >= 0)
+            if len(hot):
+                at = salted[p:q][hot]
+                other = (firsts.doc[at] != key[row]) | (firsts.twin[at] != of[row])
+                again[hot[other]] = True
+                owners.update(firsts.doc[at[other]].tolist())
+            edge = np.zeros(b - a + 1, np.int64)
+            np.add.at(edge, head[p:q][again] - a, 1)
+            np.add.at(edge, stop[p:q][again] - a, -1)
+            duplicate = np.cumsum(edge)[:-1] > 0
+            if not duplicate.any():
+                continue
+            out[row], gone = cut_text(part[row], start[a:b], words[a:b], duplicate)
+            removed[row], lost[row] = gone.sum(), words[a:b][gone].sum()
+            lists[row] = sorted(owners) if gone.any() else []
+        nulls = batch.column(where).is_null().to_numpy(zero_copy_only=False)
+        text = pa.array([None if x else t for t, x in zip(out, nulls, strict=True)], pa.binary()).cast(pa.string())
+        columns = [text if j == where else batch.column(j) for j in range(len(names))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(removed), pa.array(lost), pa.array(lists, pa.list_(pa.int64()))], [*names, *added])
 
     schema = T.StructType([*(T.StructField("text", T.StringType()) if f.name == "text" else f for f in kept.schema.fields), *T._parse_datatype_string("n_chunks int, n_removed int, removed_words bigint, first_ids array<bigint>").fields])
     return joined.mapInArrow(tidy(rebuild), schema)

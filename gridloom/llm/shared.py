@@ -58,6 +58,16 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()
 
 
+def text_runs(column: pa.Array, size: int):
+    """Place and UTF-8 of runs of a column's texts, of about ``size`` bytes at most or of one text; only one run at a time is copied out of the column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield at, byte_texts(column.slice(at, stop - at))
+        at = stop
+
+
 def runs(texts: list[bytes], size: int):
     """Place and texts of runs of about ``size`` bytes at most, or of one text."""
     at = held = 0

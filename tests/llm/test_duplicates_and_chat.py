@@ -7,6 +7,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from gridloom.llm import chat_format, chunk_dedup, cover_tree, jaccard_join, shared
 
@@ -532,3 +533,30 @@ def test_pipeline_keeps_what_its_stages_keep(spark, data):
     assert all(d == c for d, _, c in groups)
     packed = corpus_pipeline.run(spark, data)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(kept)
+
+
+def test_a_common_passage_sends_a_row_for_each_task(spark, monkeypatch):
+    rng = random.Random(14)
+    line = " ".join(f"c{i}" for i in range(40))
+    docs = [(k, " ".join(f"v{rng.randint(0, 9999)}" for _ in range(30)) + " " + line) for k in range(7, 607)] + [(3, line), (3, line), (3, line + " x"), (700, line + " " + line)]
+    told = spark.createDataFrame([(i, k, t) for k, (i, t) in enumerate(docs)], "doc_id bigint, twin bigint, text string")
+    common = chunk_dedup._common(told)
+    rows = told.repartition(4).mapInArrow(chunk_dedup._digests(common), chunk_dedup._ROWS).where("salt > 0").groupBy("digest").count().collect()
+    assert len(rows) == len(common) and all(r["count"] <= 4 for r in rows)
+    made, settle = {}, chunk_dedup.settle
+    monkeypatch.setattr(chunk_dedup, "settle", lambda df, label: made.setdefault(label, settle(df, label)))
+    got = deduplicated(spark, docs, 5)
+    assert made["marks"].count() < 100  # what all documents have isn't gathered by document; a few share a word before it too
+    monkeypatch.setattr(chunk_dedup, "COMMON", 0)
+    made.clear()
+    assert deduplicated(spark, docs, 3) == got
+    assert all(n and 3 in f for i, _, f, n in got if i > 3)
+
+
+def test_texts_come_out_of_a_column_in_runs():
+    texts = [None, "", "é" * 10, "x" * 5, None, "y" * 200, "", "z" * 30, "w" * 8]
+    column = pa.array([*texts, "no"]).slice(0, len(texts))
+    got = list(shared.text_runs(column, 40))
+    assert [t for _, part in got for t in part] == [(t or "").encode() for t in texts]
+    assert [at for at, _ in got] == np.cumsum([0, *(len(part) for _, part in got[:-1])]).tolist()
+    assert all(sum(map(len, part)) <= 40 or len(part) == 1 for _, part in got) and list(shared.text_runs(column.slice(0, 0), 40)) == []
