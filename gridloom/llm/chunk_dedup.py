@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mix, place_weights, sample_rows, settle, spread, text_runs, tidy
+from .shared import bound_batches, mix, place_weights, sample_rows, settle, spread, text_runs, tidy
 
 #: A chunk ends after one word in EVERY by hash, and after MOST words in any case.
 EVERY, MOST = 4, 64
@@ -30,7 +30,7 @@ EVERY, MOST = 4, 64
 RUN_WORDS = 20
 #: Words longer than this also end where the hash says so, one byte in EVERY_BYTE.
 LONG, EVERY_BYTE = 64, 32
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Sample that tells digests which more than one document in RARE has; so many of them at most; salts of each.
 SAMPLE_ROWS, RARE, COMMON, SALTS = 4000, 200, 4096, 64
 
@@ -246,6 +246,7 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
     id and text are one document and keep the same. Columns of ``documents``
     that have the names of added ones are replaced. An empty table stays empty.
     """
+    bound_batches(documents.sparkSession)
     added = ["n_chunks", "n_removed", "removed_words", "first_ids"]
     kept = documents.drop(*added)
     names = kept.columns

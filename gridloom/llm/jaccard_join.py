@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_texts, connected_components, forest, mix, place_weights, runs, sample_rows, settle, spread, tidy
+from .shared import bound_batches, connected_components, forest, mix, place_weights, sample_rows, settle, spread, text_runs, tidy
 
 #: Defaults: words in a shingle; the similarity as a fraction of whole numbers.
 WORDS, OVER, UNDER = 5, 80, 100
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of a batch that are turned into Python objects at a time.
+SLICE_ROWS = 512
 #: A region of more documents or shingles than these is joined over the cluster; rows of a task that measures or compares.
 REGION_ROWS, REGION_ITEMS, TASK_ROWS = 512, 1_000_000, 256
 #: Rounds over the cluster, at most; a cell with more than this share of its region's rows hasn't shrunk.
@@ -329,7 +331,7 @@ def _candidates(source: DataFrame, words: int, classes: Classes) -> DataFrame:
         def run(batches):
             done: set[int] = set()
             for batch in batches:
-                for _, part in runs(byte_texts(batch.column(0)), SLICE_BYTES):
+                for _, part in text_runs(batch.column(0), SLICE_BYTES):
                     if len(done) > REMEMBERED:
                         done.clear()
                     flat, bounds = shingle_sets(part, words)
@@ -368,7 +370,7 @@ def _sets(column) -> list[np.ndarray]:
 def _grouped(batches, width: int):
     """Rows of sorted batches by their first ``width`` columns: the key and a list for each other column."""
     last, held = None, None
-    for batch in batches:
+    for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
         columns = [c.to_pylist() for c in batch.columns]
         for i, key in enumerate(zip(*columns[:width], strict=True)):
             if key != last:
@@ -513,6 +515,7 @@ def _compared(documents: DataFrame, words: int, over: int, under: int, every: bo
 
     ``counts`` takes regions, rows and rows outside the core of each way that regions go.
     """
+    bound_batches(documents.sparkSession)
     counts = counts if counts is not None else {}
     classes = Classes(over, under)
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -520,7 +523,7 @@ def _compared(documents: DataFrame, words: int, over: int, under: int, every: bo
 
     def name(batches):
         for batch in batches:
-            for at, part in runs(byte_texts(batch.column(2)), SLICE_BYTES):
+            for at, part in text_runs(batch.column(2), SLICE_BYTES):
                 flat, bounds = shingle_sets(part, words)
                 short, node = set_names(flat, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(short), pa.array(node, pa.binary()), pa.array(np.diff(bounds))], ["doc_id", "twin", "name", "node", "n_shingles"])
@@ -543,7 +546,7 @@ def _compared(documents: DataFrame, words: int, over: int, under: int, every: bo
 
     def fetch(batches):
         for batch in batches:
-            for at, part in runs(byte_texts(batch.column(4)), SLICE_BYTES):
+            for at, part in text_runs(batch.column(4), SLICE_BYTES):
                 flat, bounds = shingle_sets(part, words)
                 data = [flat[a:b].astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(part)) for k in range(4)), pa.array(data, pa.binary())], ["name", "node", "regions", "large", "items"])
@@ -587,12 +590,14 @@ def similar_groups(documents: DataFrame, words: int = WORDS, over: int = OVER, u
     columns aren't read; an empty table gives an empty result.
     """
     rows, links = _compared(documents, words, over, under)
+    links = settle(links, "links")  # else a task holds two Python workers, one that compares and one that shrinks the edges
     return rows.join(_named(rows, links), "node", "left").select("doc_id", "n_shingles", _group())
 
 
 def first_rows(documents: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
     """``(doc_id, twin)``, each once, of the first row of every group; rows without a shingle are their own."""
     rows, links = _compared(documents, words, over, under)
+    links = settle(links, "links")  # as in similar_groups
     alone = rows.where("n_shingles = 0").select("doc_id", "twin")
     return _named(rows, links).select(F.col("lowest").alias("doc_id"), F.col("lowest_twin").alias("twin")).union(alone).distinct()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_texts, place_weights, runs, sample_rows, tidy
+from .shared import bound_batches, place_weights, sample_rows, text_runs, tidy
 from .shared import spread as deal
 
 #: Bound of the training sample: rows of labelled documents, and lines of one of them.
@@ -28,7 +28,7 @@ PIECE = 512
 STRETCHES = 10
 ROUNDS, RATE, L2 = 150, 0.15, 1e-3
 KEEP = 0.7
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Classes of bytes: 0 other, 1 blank, 2 lower, 3 upper, 4 digit, 5 stop or comma, 6 shout, 7 pipe, 8 symbol, 9 beyond ASCII.
 _CLASS = np.zeros(256, np.uint8)
@@ -254,13 +254,14 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> di
     model is flat: it gives every document the share of good labels, or 1
     where there are no labels at all.
     """
+    bound_batches(documents.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("y")).where(~held_out())
     picked = sample_rows(known, rows, "doc_id")  # at most `rows` rows: small enough to send to all
     chosen = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
 
     def features(batches):
         for batch in batches:
-            for at, part in runs(byte_texts(batch.column(1)), SLICE_BYTES):
+            for at, part in text_runs(batch.column(1), SLICE_BYTES):
                 active, per, _ = line_features(part)
                 begin = np.cumsum(per) - per
                 x = [active[b + spread(int(k), t)].astype("<i4").tobytes() for b, k, t in zip(begin, per, part, strict=True)]
@@ -283,17 +284,17 @@ def score_documents(documents: DataFrame, model: dict) -> DataFrame:
     text alone, so repeated rows score alike. Every row stays; columns of
     those names are replaced; an empty table stays empty.
     """
+    bound_batches(documents.sparkSession)
     kept = documents.drop("score", "predicted")
     code = json.dumps({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in model.items()})
 
     def run(batches):
         m = {k: np.array(v) if isinstance(v, list) else v for k, v in json.loads(code).items()}
         for batch in batches:
-            texts = byte_texts(batch.column(batch.schema.names.index("text")))
             if "flat" in m:
-                s = np.full(len(texts), m["flat"])
+                s = np.full(len(batch), m["flat"])
             else:
-                s = np.concatenate([score_texts(p, m) for _, p in runs(texts, SLICE_BYTES)]) if texts else np.zeros(0)
+                s = np.concatenate([np.zeros(0), *(score_texts(p, m) for _, p in text_runs(batch.column(batch.schema.names.index("text")), SLICE_BYTES))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= KEEP).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     from pyspark.sql import types as T

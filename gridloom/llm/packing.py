@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import settle, spread, tidy
+from .shared import bound_batches, settle, spread, tidy
 from .token_shards import END_ID, encoder, with_end
 
 LENGTH = 1024
@@ -260,6 +260,7 @@ def cut_documents(documents: DataFrame, vocabulary: str, size: int = LENGTH, end
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
                 at += len(n)
 
+    bound_batches(documents.sparkSession)
     kind = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * keep_ids
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), kind)
 

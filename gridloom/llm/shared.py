@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,23 @@ from pyspark.sql import functions as F
 from ..shared import shared_dir
 
 
+#: Bytes of whole texts that a task hands to its Python worker at a time, at most or one text.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold BATCH_BYTES at most, unless they are smaller already.
+
+    Spark's 10,000 rows or 64 MB of texts are held several times over, in the
+    executor and in its worker. No result depends on the size of a batch.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", (spark.conf.get(key, None) or "").lower())
+    now = int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else 0
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
 
@@ -137,24 +154,25 @@ _NAME = np.dtype([("a", np.uint64), ("b", np.uint64)])
 
 def _forest_batches(batches):
     """Reduce each run of edges to a forest, a bounded number of edges at a time."""
-    held: list[pd.DataFrame] = []
+    held: list[pa.RecordBatch] = []
     size = 0
 
     def reduced():
-        a, b = (np.concatenate([x[c].to_numpy() for x in held]) for c in ("src", "dst"))
-        if a.dtype == object:  # names of 16 bytes
-            a, b = forest(*(np.frombuffer(b"".join(x), _NAME) for x in (a, b)))
+        edges = pa.Table.from_batches(held).combine_chunks()
+        a, b = edges["src"], edges["dst"]
+        if pa.types.is_binary(a.type):  # names of 16 bytes
+            a, b = forest(*(np.frombuffer(b"".join(x.to_pylist()), _NAME) for x in (a, b)))
             a, b = ([x.tobytes() for x in y] for y in (a, b))
         else:
-            a, b = forest(a, b)
-        return pd.DataFrame({"src": a, "dst": b})
+            a, b = forest(a.to_numpy(), b.to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(a, edges.schema.field(0).type), pa.array(b, edges.schema.field(1).type)], ["src", "dst"])
 
     for batch in batches:
         held.append(batch)
-        size += len(batch)
+        size += batch.num_rows
         if size >= 1_000_000:
             tree = reduced()
-            held, size = [tree], len(tree)
+            held, size = [tree], tree.num_rows
             if size >= 500_000:
                 yield tree
                 held, size = [], 0
@@ -178,7 +196,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     tree = settle(
         edges.select(F.col("src").cast(of), F.col("dst").cast(of))
         .where("src <> dst")
-        .mapInPandas(_forest_batches, kind)
+        .mapInArrow(tidy(_forest_batches), kind)
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         .distinct(),
         "edges",

@@ -560,3 +560,24 @@ def test_texts_come_out_of_a_column_in_runs():
     assert [t for _, part in got for t in part] == [(t or "").encode() for t in texts]
     assert [at for at, _ in got] == np.cumsum([0, *(len(part) for _, part in got[:-1])]).tolist()
     assert all(sum(map(len, part)) <= 40 or len(part) == 1 for _, part in got) and list(shared.text_runs(column.slice(0, 0), 40)) == []
+
+
+def test_edges_and_regions_are_held_a_part_at_a_time(spark, monkeypatch):
+    rng = random.Random(15)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)]
+    names = [(b"%016d" % a, b"%016d" % b) for a, b in edges]
+    for rows, kind in ((edges, pa.int64()), (names, pa.binary())):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, kind) for x in zip(*rows[i : i + 40], strict=True)], ["src", "dst"]) for i in range(0, 250, 40)]
+        tree = [r for b in shared._forest_batches(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        whole = {k: v for k, v in tree}
+        for a, b in rows:
+            assert whole.get(a, a) == whole.get(b, b) and (kind == pa.binary() or whole.get(a, a) <= min(a, b))
+    monkeypatch.setattr(jaccard_join, "SLICE_ROWS", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 7 + [2] * 2 + [3]), pa.array(range(10))], ["key", "x"])
+    assert list(jaccard_join._grouped([batch, batch.slice(9)], 1)) == [((1,), [list(range(7))]), ((2,), [[7, 8]]), ((3,), [[9, 9]])]
+    links = jaccard_join._compared(spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(60 + i % 3))) for i in range(12)], "doc_id bigint, text string"), 4, 85, 100)[1]
+    made, settle = [], jaccard_join.settle
+    monkeypatch.setattr(jaccard_join, "settle", lambda df, label: (made.append(label), settle(df, label))[1])
+    monkeypatch.setattr(jaccard_join, "_compared", lambda *a: (spark.createDataFrame([(1, 2, b"%016d" % 1, 1)], "doc_id bigint, twin bigint, node binary, n_shingles bigint"), links))
+    jaccard_join.first_rows(None).collect()
+    assert made == ["links"]  # one Python worker for a task

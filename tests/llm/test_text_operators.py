@@ -404,3 +404,20 @@ def test_classifier_query_scores_every_document(spark, data):
     ids = [r["doc_id"] for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id").collect()]
     assert sorted(r["doc_id"] for r in rows) == sorted(ids)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key, None)
+    try:
+        for was, want in (("64m", "8388608"), ("1g", "8388608"), ("512k", "512k"), ("1000000b", "1000000b")):
+            spark.conf.set(key, was)
+            shared.bound_batches(spark)
+            assert spark.conf.get(key) == want
+        spark.conf.set(key, "64m")
+        texts = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a word "), 1000).alias("text"))
+        line_crf.score_documents(texts, {"flat": 1.0})
+        sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").collect()
+        assert len(sizes) >= 3 and all(r["n"] < 9 << 20 for r in sizes)
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
