@@ -304,3 +304,52 @@ def manifest(documents: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op12: leaf, roots and proof of every document, and whether its tampered form still folds to the root."""
     return manifest(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*LEAF)))
+
+
+def _encoded_sql(*columns: str) -> str:
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TREE = """
+  SELECT 0 AS level, grp, coord, digest, total FROM {of}
+  UNION ALL
+  SELECT level + 1, grp, coord // 8, sha256(string_agg(digest, '' ORDER BY coord)), (total + 7) // 8 FROM {name} WHERE total > 1 GROUP BY level, grp, coord // 8, total
+"""
+_SIDES = """
+  SELECT a.level, a.grp, a.coord, coalesce(string_agg(b.digest, '' ORDER BY b.coord) FILTER (b.coord < a.coord), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.coord) FILTER (b.coord > a.coord), '') AS r
+  FROM {name} a JOIN {name} b ON a.level = b.level AND a.grp = b.grp AND a.coord // 8 = b.coord // 8 WHERE a.total > 1 GROUP BY ALL
+"""
+#: CRC-32 a byte and eight bits at a time; its reversed polynomial is 3988292384.
+SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, *, sha256({_encoded_sql(*LEAF)}) AS leaf, sha256({_encoded_sql(*LEAF[:-1], _LOWERED)}) AS lowered,
+    coalesce(xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 3 = 0, false) AS tampered FROM documents
+), l AS (
+  SELECT rid, doc_id, leaf, CASE WHEN tampered THEN lowered ELSE leaf END AS x, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS coord, count(*) OVER (PARTITION BY lang) AS total FROM d
+), leaves AS (
+  SELECT grp, coord, leaf AS digest, total FROM l
+), tree AS ({_TREE.format(of="leaves", name="tree")}
+), sides AS ({_SIDES.format(name="tree")}
+), subroots AS (
+  SELECT 0 AS grp, grp AS coord, digest, count(*) OVER () AS total FROM tree WHERE total = 1
+), top AS ({_TREE.format(of="subroots", name="top")}
+), topsides AS ({_SIDES.format(name="top")}
+), up AS (
+  SELECT rid, grp, 0 AS level, coord, x, '' AS proof FROM l
+  UNION ALL
+  SELECT rid, up.grp, up.level + 1, up.coord // 8, sha256(s.l || x || s.r), proof || s.l || s.r FROM up JOIN sides s ON s.level = up.level AND s.grp = up.grp AND s.coord = up.coord
+), reached AS (
+  SELECT rid, grp, max_by(x, level) AS x, max_by(proof, level) AS proof FROM up GROUP BY rid, grp
+), over AS (
+  SELECT rid, 0 AS level, grp AS coord, x, proof FROM reached
+  UNION ALL
+  SELECT rid, over.level + 1, over.coord // 8, sha256(s.l || x || s.r), proof || s.l || s.r FROM over JOIN topsides s ON s.level = over.level AND s.coord = over.coord
+), folded AS (
+  SELECT rid, max_by(x, level) AS x, max_by(proof, level) AS proof FROM over GROUP BY rid
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, t.digest AS root, sha256(f.proof) AS proof_sha256, f.x AS folded_root, f.x = t.digest AS verified
+FROM l JOIN folded f USING (rid) JOIN subroots s ON s.coord = l.grp CROSS JOIN (SELECT digest FROM top WHERE total = 1) t
+"""
