@@ -130,14 +130,14 @@ def radix_top(rows: DataFrame, group: list[str], value: str, name: str, k: int,
         histogram = digits.groupBy(*group, "digit").agg(F.count("*").alias("n"), F.first("need").alias("need"))
         before = W.partitionBy(*group).orderBy(F.col("digit").desc() if better_first else F.col("digit").asc())
         run = histogram.withColumn("upto", F.sum("n").over(before))
-        cut = run.where("upto >= need AND upto - n < need").select(*(c.alias(f"_{n}") for n, c in zip(group, own, strict=True)), F.col("digit").alias("at"), (F.col("need") - F.col("upto") + F.col("n")).alias("left"))
+        cut = run.where("upto >= need AND upto - n < need").select(*(c.alias(f"_{n}") for n, c in zip(group, own, strict=True)), F.col("digit").alias("at"), (F.col("need") - F.col("upto") + F.col("n")).alias("left"), (F.col("upto") == F.col("need")).alias("whole"))
         same = F.lit(True)
         for c in group:
             same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
         met = digits.join(cut, same, "left")
         better = (F.col("digit") > F.col("at")) if better_first else (F.col("digit") < F.col("at"))
         kept = met.where(F.col("at").isNull() | better | (F.col("digit") == F.col("at")))
-        taken = F.col("at").isNull() | better
+        taken = F.col("at").isNull() | better | F.col("whole")
         out = kept.select(*group, value, name, taken.alias("taken"), F.when(taken, F.col("need")).otherwise(F.col("left")).alias("need"))
         return settle(state.where("taken").unionByName(out), "radix")
 
