@@ -1,8 +1,8 @@
 """The ``delimited`` data source: a file's parts, parsed in parallel into Arrow batches of lifted text.
 
-Records without a quote, nearly all of most files, are cut into fields by
-array operations on a whole run of bytes; the others go through the grammar
-one by one, which also finds what breaks it.
+Records are cut into fields by array operations on a whole run of bytes, with
+the parity of the quotes before a byte as the state. They also find the first
+record that isn't well-formed; the grammar then says what is wrong with it.
 """
 
 from __future__ import annotations
@@ -81,32 +81,90 @@ def lifted(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def fields_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, delimiter: int) -> pa.Array:
-    """Fields of records without a quote; ``ends`` are after the line's end, if there is one."""
+def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, delimiter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of neighbouring records: which bytes are text of their fields, how many of these come before each field's end, how many fields each record has, and the first record that isn't well-formed, or -1.
+
+    ``ends`` are after the line's end, if there is one. A quote with an even
+    number of quotes before it opens a field or is the second of two in one;
+    one with an odd number closes a field or is the first of two.
+    """
     line = data[ends - 1] == 10
     stops = ends - line
-    stops = stops - (line & (stops > starts) & (data[np.maximum(stops - 1, 0)] == 13))
-    turn = np.zeros(len(data) + 1, np.int8)
-    turn[starts] = 1
-    turn[stops] -= 1
-    inside = np.cumsum(turn[:-1], dtype=np.int8).view(bool)
-    cut = np.flatnonzero(data == delimiter)
-    cut = cut[inside[cut]]
-    inside[cut] = False
-    # a field ends at each delimiter and at each record's end; before a record and a delimiter so many bytes are dropped
-    size = stops - starts
-    before = starts - np.cumsum(size) + size
-    edges = np.concatenate([cut, stops])
-    order = np.argsort(edges, kind="stable")
-    edges, is_cut = edges[order], order < len(cut)
-    record = np.searchsorted(starts, edges, "right") - 1
-    offsets = np.concatenate([[0], edges - before[record] - (np.cumsum(is_cut) - is_cut)])
-    per = 1 + np.searchsorted(cut, stops) - np.searchsorted(cut, starts)
-    bounds = np.concatenate([[0], np.cumsum(per)])
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), lifted(data[inside], offsets))
+    returns = line & (stops > starts) & (data[np.maximum(stops - 1, 0)] == 13)
+    stops = stops - returns
+    text = np.ones(len(data), bool)
+    text[: starts[0]] = False
+    text[ends[line] - 1] = False
+    text[stops[returns]] = False
+    cuts = np.flatnonzero(data == delimiter)
+    quotes = np.flatnonzero(data == 34)
+    dropped, bad = quotes[:0], -1
+    if len(quotes):
+        cuts = cuts[np.searchsorted(quotes, cuts) % 2 == 0]
+        begins = np.zeros(len(data) + 1, bool)  # of fields
+        begins[starts] = True
+        begins[cuts + 1] = True
+        opens, closes = quotes[::2], quotes[1::2]
+        first = begins[opens]
+        after = np.zeros(len(data) + 1, bool)  # what may follow a field
+        after[cuts] = True
+        after[stops] = True
+        after[opens] = True
+        wrong = np.concatenate([opens[~first & (data[np.maximum(opens - 1, 0)] != 34)], closes[~after[closes + 1]], quotes[-1:] if len(quotes) % 2 else quotes[:0]])
+        if len(wrong):
+            bad = int(np.searchsorted(ends, wrong.min(), "right"))
+        keep = np.zeros(len(quotes), bool)
+        keep[::2] = ~first
+        dropped = quotes[~keep]
+        text[dropped] = False
+    text[cuts] = False
+    per = 1 + np.diff(np.searchsorted(cuts, stops), prepend=0)
+    last = np.cumsum(per) - 1
+    is_stop = np.zeros(len(cuts) + len(stops), bool)
+    is_stop[last] = True
+    edges = np.empty(len(is_stop), np.int64)
+    edges[is_stop], edges[~is_stop] = stops, cuts
+    # before a field's end all is text but what lies between records, a byte for each delimiter, and some quotes
+    gaps = starts - np.concatenate([[0], np.cumsum(stops - starts)[:-1]])
+    record = np.repeat(np.arange(len(stops)), per)
+    before = edges - gaps[record] - (np.arange(len(edges)) - record)
+    if len(dropped):
+        before -= np.searchsorted(dropped, edges)
+    return text, before, per, bad
+
+
+def fields_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, delimiter: int) -> tuple[pa.Array, int]:
+    """Fields of records, and the first record that isn't well-formed, or -1."""
+    text, before, per, bad = cut(data, starts, ends, delimiter)
+    if bad >= 0:
+        return pa.array([], pa.list_(pa.string())), bad
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), lifted(data[text], np.concatenate([[0], before]))), bad
+
+
+def refuse(data: bytes, delimiter: bytes, at: int) -> None:
+    """Raise what is wrong with a record that array operations found to be so."""
+    framer = grammar.Framer(delimiter, at)
+    for place, whole in [*framer.feed(data), *framer.finish()]:
+        grammar.parse(whole, delimiter, place)
+
+
+def check(held: bytes, ends: np.ndarray, delimiter: bytes, at: int) -> None:
+    """Raise unless these whole records, at offset ``at`` of their file, are well-formed."""
+    data = np.frombuffer(held, np.uint8)
+    starts = np.concatenate([[0], ends[:-1]])
+    long = np.flatnonzero(ends - starts > grammar.MAX_RECORD)
+    if at == 0 and held.startswith(grammar.BOM):
+        starts[0] = 3
+    bad = cut(data, starts, ends, delimiter[0])[3] if b'"' in held else -1
+    for i in sorted({*long[:1].tolist(), *([bad] if bad >= 0 else [])}):
+        begin = int(ends[i - 1]) if i else 0
+        refuse(held[begin : max(int(ends[i]), begin)], delimiter, at + begin)
+        refuse(held[begin:], delimiter, at + begin)
 
 
 class DelimitedReader(DataSourceReader):
+    """Reads the parts it plans. What goes to tasks is the options and each task's own part, not the list of parts."""
+
     def __init__(self, options: dict, wanted: StructType):
         self.path, self.delimiter = options["path"], options["delimiter"].encode("latin-1")
         self.splits = json.loads(options["splits"])
@@ -114,6 +172,9 @@ class DelimitedReader(DataSourceReader):
         self.rows = first, last
         self.names = wanted.fieldNames()
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "splits"}
+
     def partitions(self):
         return [Part(*s) for s in self.splits] or [Part(0, 0, 0)]
 
@@ -133,22 +194,15 @@ class DelimitedReader(DataSourceReader):
         base, stop = int(starts[0]), int(ends[-1])
         data = np.frombuffer(held, np.uint8)[base:stop]
         starts, ends, offset = starts - base, ends - base, offset + base
-        quotes = np.flatnonzero(data == 34)
-        odd = np.searchsorted(quotes, ends) > np.searchsorted(quotes, starts)
-        odd |= ends - starts > grammar.MAX_RECORD
         mark = 3 if offset == 0 and held.startswith(grammar.BOM) else 0
-        odd[0] |= bool(mark)
-        strange = np.flatnonzero(odd)
-        parsed = []
-        for a, b in zip(starts[strange].tolist(), ends[strange].tolist(), strict=True):
-            record = data[a:b].tobytes()
-            framer = grammar.Framer(self.delimiter, offset + a)
-            for at, whole in [*framer.feed(record), *framer.finish()]:
-                parsed.append([v.decode("latin-1") for v in grammar.parse(whole, self.delimiter, at)])
-        plain = np.flatnonzero(~odd)
-        fields = pa.array(parsed, pa.list_(pa.string()))
-        if len(plain):
-            fields = fields_of(data, starts[plain], ends[plain], self.delimiter[0]) if not len(strange) else pa.concat_arrays([fields_of(data, starts[plain], ends[plain], self.delimiter[0]), fields]).take(pa.array(np.argsort(np.concatenate([plain, strange]), kind="stable")))
+        begins = starts
+        if mark:
+            begins = starts.copy()
+            begins[0] = mark
+        fields, bad = fields_of(data, begins, ends, self.delimiter[0])
+        for i in np.flatnonzero(ends - starts > grammar.MAX_RECORD)[:1].tolist() + ([bad] if bad >= 0 else []):
+            refuse(data[starts[i] : ends[i]].tobytes(), self.delimiter, offset + int(starts[i]))
+            refuse(data[starts[i] :].tobytes(), self.delimiter, offset + int(starts[i]))
         columns = {
             "row": pa.array(np.arange(row, row + len(ends)), pa.int64()),
             "offset": pa.array(starts + offset, pa.int64()),
