@@ -70,6 +70,9 @@ class RecordTooLarge(SheetError):
         super().__init__(f"record exceeds the configured {limit}-byte limit")
         self.limit = limit
 
+    def __reduce__(self):
+        return type(self), (self.limit,)
+
 
 class RowNotIndexed(SheetError):
     def __init__(self, requested: int, available: int):

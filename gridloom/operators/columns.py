@@ -115,3 +115,15 @@ def split_width(rows: DataFrame, column: int, separator: str) -> DataFrame:
         raise InvalidOption("split needs a separator")
     size = cells.piece_count(cells.cell_or_empty(F.col("fields"), column), separator)
     return rows.agg(F.count("*").alias("rows_scanned"), F.coalesce(F.max(size), F.lit(0)).cast("bigint").alias("max_pieces"))
+
+
+#: Fixed value: columns that are shown at a time.
+WINDOW = 64
+
+
+def window(width: int, focused: int) -> range:
+    """The columns that are shown with one of them in the middle, as far as there are columns on both sides."""
+    if width <= WINDOW:
+        return range(width)
+    start = min(max(0, focused - WINDOW // 2), width - WINDOW)
+    return range(start, start + WINDOW)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -24,9 +24,14 @@ def sort_ordinals(rows: DataFrame, column: int, descending: bool = False, name:
     return with_ordinal(keyed(rows, column), ["key", "row"], name, descending)
 
 
-def fingerprint(rows: DataFrame, content: str) -> DataFrame:
-    """``(n, mixed, total)`` of a multiset of rows: equal for equal multisets, in any order."""
+def fingerprint(rows: DataFrame, content: str, *more: Column) -> DataFrame:
+    """``(n, mixed, total)`` of a multiset of rows: equal for equal multisets, in any order; and what else is aggregated.
+
+    A sort changes none of it, so the optimizer leaves sorts of ``rows`` out:
+    to check one, take the fingerprint of what it wrote.
+    """
     return rows.agg(
+        *more,
         F.count("*").alias("n"),
         F.coalesce(F.bit_xor(F.xxhash64(F.lit(0), content)), F.lit(0)).alias("mixed"),
         F.coalesce(F.sum(F.xxhash64(F.lit(1), content).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("total"),

@@ -15,8 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-#: Bytes of a range, and of what is read at a time.
-RANGE, CHUNK = 64 << 20, 4 << 20
+#: Bytes of a range at most as long as there are no more than LIMIT of them, and at least; and what is read at a time.
+RANGE, LEAST, CHUNK = 64 << 20, 1 << 20, 4 << 20
+#: Bytes that an index may take, 24 for a split, and the splits that fit: the power of two below.
+BUDGET = 4 << 20
+LIMIT = 1 << (BUDGET // 24).bit_length() - 1
 
 
 @dataclass(frozen=True)
@@ -26,6 +29,18 @@ class SplitIndex:
     splits: tuple[tuple[int, int, int], ...]
     records: int
 
+    def within(self, limit: int) -> SplitIndex:
+        """An index of at most ``limit`` splits, a power of two, over the same records: while there are more, neighbours become one."""
+        kept = self.splits
+        while len(kept) > limit:
+            kept = tuple((pair[0][0], pair[-1][1], pair[0][2]) for pair in (kept[i : i + 2] for i in range(0, len(kept), 2)))
+        return SplitIndex(kept, self.records)
+
+    def holding(self, rows) -> list[int]:
+        """Numbers of the splits that hold some rows."""
+        firsts = [s[2] for s in self.splits]
+        return sorted({bisect_right(firsts, r) - 1 for r in rows if 0 <= r < self.records})
+
     def covering(self, start: int, count: int) -> list[tuple[int, int, int]]:
         """The parts that hold rows ``start`` to ``start + count - 1``."""
         firsts = [s[2] for s in self.splits]
@@ -42,14 +57,14 @@ def scan_range(store, path: str, begin: int, end: int) -> tuple[int, int, int, i
             data = np.frombuffer(f.read_at(min(CHUNK, end - at), at), np.uint8)
             if not len(data):
                 break
-            odd = ((np.cumsum(data == 34) + quotes) & 1).astype(bool)
-            line = data == 10
+            line, marks = np.flatnonzero(data == 10), np.flatnonzero(data == 34)
+            odd = (np.searchsorted(marks, line) + quotes) & 1
             for parity in (0, 1):
-                hit = np.flatnonzero(line & (odd == bool(parity)))
+                hit = line[odd == parity] if len(marks) or quotes & 1 == parity else line[:0]
                 if len(hit) and first[parity] < 0:
                     first[parity] = at + int(hit[0]) + 1
                 ends[parity] += len(hit)
-            quotes += int((data == 34).sum())
+            quotes += len(marks)
             at += len(data)
     return quotes, ends[0], first[0], ends[1], first[1]
 
@@ -68,10 +83,19 @@ def chain(found: list[tuple[int, int, int, int, int]], size: int) -> SplitIndex:
     return SplitIndex(splits, rows)
 
 
-def build(spark: SparkSession, path: str, size: int, step: int = RANGE) -> SplitIndex:
-    """The index of a file; one row of numbers for each range comes to the driver. Small files are scanned here."""
+def step_for(size: int, tasks: int, limit: int = LIMIT) -> int:
+    """Bytes of a range: three for each task that the cluster runs at a time, within LEAST and RANGE; of what would be more than ``limit`` ranges twice as much, and again."""
+    step = max(LEAST, min(RANGE, -(-size // (3 * tasks))))
+    while -(-size // step) > limit:
+        step *= 2
+    return step
+
+
+def build(spark: SparkSession, path: str, size: int, step: int | None = None) -> SplitIndex:
+    """The index of a file; one row of numbers for each of at most LIMIT ranges comes to the driver. Small files are scanned here."""
     from ..sources.files import filesystem
 
+    step = step or step_for(size, spark.sparkContext.defaultParallelism)
     ranges = [(b, min(b + step, size)) for b in range(0, size, step)]
     if len(ranges) <= 1:
         store, name = filesystem(path)
@@ -87,7 +111,7 @@ def build(spark: SparkSession, path: str, size: int, step: int = RANGE) -> Split
         todo = spark.range(0, len(ranges), 1, len(ranges)).selectExpr("id AS i", f"id * {step} AS b", f"least((id + 1) * {step}, {size}) AS e")
         got = todo.mapInArrow(scan, "i bigint, q bigint, a bigint, b bigint, c bigint, d bigint").collect()
         found = [tuple(r)[1:] for r in sorted(got)]
-    index = chain(found, size)
+    index = chain(found, size).within(LIMIT)
     if size:
         store, name = filesystem(path)
         with store.open_input_file(name) as f:

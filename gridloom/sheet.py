@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 from itertools import accumulate
 from typing import Any
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +20,23 @@ from .operators import filters, replacing, search, sorting
 from .operators.filters import Predicate
 from .plans import split_index
 from .plans.ordinals import with_ordinal
-from .sources import delimited, dialect, files, grammar
+from .shared import shared_dir
+from .sources import delimited, dialect, files, grammar, publication
+from .sources.publication import Span
 from .streaming import jobs
 
-#: Ranges that are read by several tasks have this many bytes, about.
-RANGE = split_index.RANGE
+#: Fixed value: bytes that a copy to the clipboard may have.
+CLIPBOARD = 64 << 20
 
 
 def _text(value: bytes | str) -> str:
     return cells.lift_bytes(value)
 
 
-def _records(spark: SparkSession, path: str, delimiter: bytes, splits) -> DataFrame:
+def _records(spark: SparkSession, path: str, delimiter: bytes, splits, rows: tuple[int, int] | None = None) -> DataFrame:
     """``(row, offset, ending, raw, fields)`` of some parts of a file, as lifted text."""
     ending = F.when(F.endswith("raw", F.lit("\r\n")), "\r\n").when(F.endswith("raw", F.lit("\n")), "\n").otherwise("")
-    return delimited.read(spark, path, delimiter, splits).select("row", "offset", ending.alias("ending"), "raw", "fields")
+    return delimited.read(spark, path, delimiter, splits, rows).select("row", "offset", ending.alias("ending"), "raw", "fields")
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,33 @@ class SortSummary:
     total: Any
 
 
+def _content() -> Any:
+    """Fields as one text that tells them apart."""
+    return F.array_join(F.transform("fields", lambda v: F.concat(F.length(v).cast("string"), F.lit(":"), v)), "")
+
+
+class Later:
+    """A table that is made when it's first asked for."""
+
+    def __init__(self, make: Callable[[], DataFrame]):
+        self._make, self._made = make, None
+
+    def get(self) -> DataFrame:
+        if self._made is None:
+            self._made = self._make()
+        return self._made
+
+
+@dataclass(frozen=True)
+class Sorted:
+    """What a sorted sheet's file must be: the lines in their order, and the fingerprint of the records before the sort."""
+
+    lines: DataFrame
+    rows: int
+    mixed: int
+    total: Any
+
+
 @dataclass(frozen=True)
 class Match:
     row: int
@@ -60,11 +88,13 @@ class Sheet:
     ``raw`` is the record as it was read, or null where the fields have
     changed since. ``edits`` and ``renames`` wait for the next operation that
     takes them; every operation gives a new sheet. ``before`` and ``after``
-    are one step of undo and redo.
+    are one step of undo and redo. ``in_order`` says that partitions and the
+    rows in them already come in the order of ``row``. ``original`` is the file
+    that a working copy was made of, with its stamp.
     """
 
     spark: SparkSession
-    body: DataFrame
+    held: DataFrame | Later
     names: tuple[str, ...] | None
     dialect: dialect.Dialect
     width: int
@@ -73,7 +103,11 @@ class Sheet:
     bom: bool = False
     head_raw: str | None = None
     head_ending: str = "\n"
+    head_bytes: int = 0
     lifted: bool = True
+    in_order: bool = True
+    sorted: Sorted | None = None
+    original: tuple[str, tuple] | None = None
     index: split_index.SplitIndex | None = None
     edits: Mapping[tuple[int, int], str] = field(default_factory=dict)
     renames: Mapping[int, str] = field(default_factory=dict)
@@ -105,13 +139,13 @@ class Sheet:
                     data, first = f.read_at(min(limit, size, 4 * len(data)), 0), None
         parsed = [grammar.parse(r, delimiter, at) for at, r in first]
         has_header = dialect.sniff_header(parsed) if header == "auto" else header == "first-row" and bool(parsed)
-        index = split_index.build(spark, path, size, step or RANGE)
+        index = split_index.build(spark, path, size, step)
         bom = sample.startswith(grammar.BOM)
         body = _records(spark, path, delimiter, index.splits).where(F.col("row") >= int(has_header))
         top = first[0][1][3:] if bom and first else first[0][1] if first else b""
         made = cls(
             spark, body, tuple(_text(v) for v in parsed[0]) if has_header else None, dialect.Dialect(delimiter, has_header), max(map(len, parsed), default=0), path, known, bom,
-            _text(top) if has_header else None, _text(grammar.ending(top)) if has_header else "\n", True, index,
+            _text(top) if has_header else None, _text(grammar.ending(top)) if has_header else "\n", len(first[0][1]) if has_header else 3 * bom, True, index=index,
         )
         return made._settled()
 
@@ -122,11 +156,16 @@ class Sheet:
         placed = with_ordinal(df, list(order_by))
         fields = F.array(*(F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names))
         body = placed.select("row", F.lit(None).cast("bigint").alias("offset"), F.lit("\n").alias("ending"), F.lit(None).cast("string").alias("raw"), fields.alias("fields"))
-        return cls(df.sparkSession, body, tuple(names), dialect.Dialect(b",", False), len(names), lifted=False)._settled()
+        return cls(df.sparkSession, body, tuple(names), dialect.Dialect(b",", False), len(names), lifted=False, in_order=False)._settled()
 
     def _settled(self) -> Sheet:
         return replace(self, opened=None)
 
+    @property
+    def body(self) -> DataFrame:
+        """Data rows without the pending edits."""
+        return self.held.get() if isinstance(self.held, Later) else self.held
+
     @property
     def data_start(self) -> int:
         """Number of the first data row: rows are physical records, a header included."""
@@ -149,21 +188,20 @@ class Sheet:
             return
         path, code = self.path, self.dialect.delimiter
 
-        def run(batches):
-            for batch in batches:
-                for begin, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    try:
-                        for at, data in delimited.records(path, begin, end, code):
-                            grammar.parse(data, code, at)
-                    except ParseError as e:
-                        yield pa.RecordBatch.from_pydict({"offset": [e.offset], "part": [begin], "end": [end]})
-
-        splits = [(b, e) for b, e, _ in self.index.splits]
-        if splits:
-            bad = self.spark.createDataFrame(splits, "begin bigint, end bigint").repartition(len(splits)).mapInArrow(run, "offset bigint, part bigint, end bigint").orderBy("offset").first()
-            if bad:
-                for at, data in delimited.records(path, bad["part"], bad["end"], code):
-                    grammar.parse(data, code, at)
+        def first_error(split):
+            begin, end, _ = split
+            try:
+                for at, held, ends in delimited.runs(path, begin, end, code):
+                    delimited.check(held, ends, code, at)
+            except ParseError as e:
+                return [(e.offset, begin, end)]
+            return []
+
+        if self.index.splits:
+            bad = self.spark.sparkContext.parallelize(self.index.splits, len(self.index.splits)).flatMap(first_error).takeOrdered(1)
+            for _, begin, end in bad:
+                for at, held, ends in delimited.runs(path, begin, end, code):
+                    delimited.check(held, ends, code, at)
 
     # Reading --------------------------------------------------------------
 
@@ -172,11 +210,24 @@ class Sheet:
         return self._with_edits(self.body) if with_edits else self.body
 
     def _with_edits(self, rows: DataFrame) -> DataFrame:
-        if not self.edits:
-            return rows
-        edited = sorted({r for r, _ in self.edits})
-        out = overlay.apply_edits(rows, self.edits)
-        return out.withColumn("raw", F.when(~F.col("row").isin(edited), F.col("raw"))) if len(edited) <= overlay.LITERAL_ROWS else out.withColumn("raw", F.lit(None).cast("string"))
+        return overlay.apply_edits(rows, self.edits) if self.edits else rows
+
+    def _only(self, rows: Iterable[int]) -> DataFrame:
+        """Data rows among which the given ones are: of a file, only the parts that hold them are read, and of these only from the first to the last."""
+        wanted = sorted(set(rows))
+        if self.index is None or self.path is None or not wanted:
+            return self.body.where(F.col("row").isin(wanted)) if len(wanted) <= overlay.LITERAL_ROWS else self.body
+        splits = [self.index.splits[i] for i in self.index.holding(wanted)]
+        return _records(self.spark, self.path, self.dialect.delimiter, splits, (max(wanted[0], self.data_start), wanted[-1]))
+
+    def _row(self, row: int) -> list[str]:
+        """The fields of one data row, with its edits."""
+        if row < self.data_start:
+            raise InvalidOption("cell edit row or column is out of range")
+        found = self._with_edits(self._only([row])).where(F.col("row") == row).select("fields").first()
+        if not found:
+            raise RowNotIndexed(row, self.count())
+        return found["fields"]
 
     def header(self) -> list[str] | None:
         return None if self.names is None else [self.renames.get(i, n) for i, n in enumerate(self.names)]
@@ -211,14 +262,31 @@ class Sheet:
         cols.check_columns(columns, max(self.width, 1))
         return self.rows_frame().select("row", F.array(*(cells.cell(F.col("fields"), c) for c in columns)).alias("fields"))
 
+    def window(self, focused: int) -> range:
+        """The columns that are shown around one of them: all, or WINDOW of more."""
+        return cols.window(max(self.width, len(self.names or ())), focused)
+
+    def _copied(self, values: Sequence[str], quoted: bool) -> str:
+        out = []
+        for value in values:
+            try:
+                text = value.encode("latin-1").decode() if self.lifted else value
+            except UnicodeDecodeError:
+                raise InvalidData("The selected data is not valid UTF-8 and cannot be copied yet.") from None
+            out.append('"' + text.replace('"', '""') + '"' if quoted and any(c in text for c in '\t\r\n"') else text)
+        joined = "\t".join(out)
+        if len(joined.encode()) > CLIPBOARD:
+            raise OperationRefused(f"Copy exceeds the {dialect.human_bytes(CLIPBOARD)} clipboard limit.")
+        return joined
+
     def clipboard_row(self, row: int) -> str:
-        found = self.rows_frame().where(F.col("row") == row).select(cells.tsv(F.col("fields")).alias("t")).first()
-        if not found:
-            raise RowNotIndexed(row, self.count())
-        try:
-            return found["t"].encode("latin-1").decode() if self.lifted else found["t"]
-        except UnicodeDecodeError:
-            raise InvalidData("the row is not UTF-8") from None
+        """A data row as tab-separated text."""
+        return self._copied(self._row(row), True)
+
+    def clipboard_cell(self, row: int, column: int) -> str:
+        """A cell as it is; a missing one is empty."""
+        fields = self._row(row)
+        return self._copied(fields[column : column + 1], False)
 
     # Searching and filtering ----------------------------------------------
 
@@ -260,10 +328,13 @@ class Sheet:
         new = {at: self._in(v) for at, v in changes.items()}
         if any(r < self.data_start for r, _ in new):
             raise InvalidOption("cell edits must target data rows")
-        if new and overlay.invalid_edits(self.body, new).limit(1).count():
+        rows = self._only(r for r, _ in new)
+        table = overlay.edit_table(self.spark, new).withColumn("_edit", F.lit(1))
+        found = rows.select("row", "fields").join(table, "row").where(F.col("column").between(0, F.size("fields") - 1))
+        found = found.select("row", "column", (F.get("fields", F.col("column")) == F.col("value")).alias("same")).collect() if new else []  # a row for each edit given
+        if len(found) < len(new):
             raise InvalidOption("cell edit row or column is out of range")
-        table = overlay.edit_table(self.spark, new)
-        same = self.body.join(table, "row").where(F.get("fields", F.col("column")) == F.col("value")).select("row", "column").collect() if new else []
+        same = [r for r in found if r["same"]]
         merged = {**self.edits, **new}
         for r in same:
             merged.pop((r["row"], r["column"]), None)
@@ -284,7 +355,8 @@ class Sheet:
     def _changed(self, body: DataFrame, names, width: int, **more) -> Sheet:
         start = self.opened or (replace(self, edits={}, renames={}) if not self.before else None)
         same = names is not None and self.names is not None and tuple(names) == self.names and not self.renames
-        return replace(self, body=body, names=None if names is None else tuple(names), width=width, edits={}, renames={}, before=replace(self, before=None, after=None), after=None, opened=start, index=None, head_raw=self.head_raw if same else None, **more)
+        more = {"in_order": self.in_order and overlay.keeps_order(self.edits), "sorted": None, **more}
+        return replace(self, held=body, names=None if names is None else tuple(names), width=width, edits={}, renames={}, before=replace(self, before=None, after=None), after=None, opened=start, index=None, head_raw=self.head_raw if same else None, **more)
 
     def apply(self, change: cols.Change) -> Sheet:
         """Split, join or arrange: edits first, then the change; a rename of a column that goes has no effect."""
@@ -336,31 +408,36 @@ class Sheet:
         return self._changed(rows, self.header(), self.width), total
 
     def replace_in_cell(self, row: int, column: int, needle: bytes | str, replacement: bytes | str) -> Sheet:
-        found = self.rows_frame().where(F.col("row") == row).select(F.replace(cells.cell(F.col("fields"), column), F.lit(self._in(needle)), F.lit(self._in(replacement)))).first()
-        if not found or found[0] is None:
+        fields = self._row(row) if 0 <= row < self.count() else []
+        if not 0 <= column < len(fields):
             raise InvalidOption("cell edit row or column is out of range")
-        value = found[0].encode("latin-1") if self.lifted else found[0]
-        return self.edit({(row, column): value})
+        value = fields[column].replace(self._in(needle), self._in(replacement)) if needle else fields[column]
+        return self.edit({(row, column): value.encode("latin-1") if self.lifted else value})
 
     def sort(self, column: int, descending: bool = False) -> tuple[Sheet, SortSummary]:
-        """Stable sort by one column; the output is checked to hold the same records as before."""
+        """Stable sort by one column. A file saved of it is read back, before it gets its name, and must hold the same records."""
         if not 0 <= column < max(self.width, 1):
             raise InvalidOption("sort column is out of range")
         rows = self.rows_frame()
-        content = F.array_join(F.transform("fields", lambda v: F.concat(F.length(v).cast("string"), F.lit(":"), v)), "")
-        placed = sorting.sort_ordinals(rows, column, descending).withColumn("_content", content)
-        before = sorting.fingerprint(rows.withColumn("_content", content), "_content").first()
-        after = sorting.fingerprint(placed, "_content").first()
-        if before != after:
-            raise InvalidData("the sorted rows differ from the source")
-        first = rows.where("ending <> ''").orderBy("row").select("ending").first()
-        common = (self.head_ending if self.names is not None and self.head_ending else None) or (first["ending"] if first else "\n")
-        last = before["n"] - 1
-        # a record without a line's end that is no longer the last one gets the file's
-        ending = F.when((F.col("ending") == "") & (F.col("place") < last), F.lit(common)).otherwise(F.col("ending"))
+        keyed = sorting.keyed(rows, column)
+        # one scan: the fingerprint, what ends the file's lines, and whether the one record without a line's end stays the last one
+        open_key = F.max(F.when(F.col("ending") == "", F.col("key")))
+        seen = sorting.fingerprint(keyed.withColumn("_content", _content()), "_content", F.min_by("ending", F.when(F.col("ending") != "", F.col("row"))).alias("ending"), open_key.alias("open"), (F.min("key") if descending else F.max("key")).alias("end")).first()
+        common = (self.head_ending if self.names is not None and self.head_ending else None) or seen["ending"] or "\n"
+        stays = seen["open"] is not None and seen["open"] == seen["end"]
+        ending = F.col("ending") if stays else F.when(F.col("ending") == "", common).otherwise(F.col("ending"))
         mark = F.lit(not self.bom) & F.startswith(F.get("fields", F.lit(0)), F.lit(cells.LIFTED_BOM))
-        moved = placed.withColumns({"raw": F.when((ending == F.col("ending")) & ~mark, F.col("raw")), "row": F.col("place") + self.data_start, "ending": ending})
-        return self._changed(moved.select(*rows.columns), self.header(), self.width), SortSummary(before["n"], before["mixed"], before["total"])
+        keyed = keyed.withColumns({"raw": F.when((ending == F.col("ending")) & ~mark, F.col("raw")), "ending": ending})
+        placed = Later(lambda: sorting.sort_ordinals(keyed.drop("key"), column, descending).withColumn("row", F.col("place") + self.data_start).select(*rows.columns))
+        lines = self._lines(sorting.sorted_rows(keyed, column, descending))
+        proof = Sorted(lines, seen["n"], seen["mixed"], seen["total"])
+        return self._changed(placed, self.header(), self.width, in_order=False, sorted=proof), SortSummary(seen["n"], seen["mixed"], seen["total"])
+
+    def sort_estimate(self) -> int:
+        """Bytes of temporary files that a sort may need: the source, two bytes a row, and every pending value with all its bytes quoted."""
+        rows = self.count() - self.data_start
+        pending = sum(2 * len(v if self.lifted else v.encode()) + 2 for v in (*self.edits.values(), *self.renames.values()))
+        return sorting.temporary_bytes((self.stamp[0] if self.stamp else 0) + 2 * rows + pending, rows)
 
     # History --------------------------------------------------------------
 
@@ -382,12 +459,14 @@ class Sheet:
 
     # Writing --------------------------------------------------------------
 
-    def lines(self) -> DataFrame:
-        """``(row, line)``: every data record as it is written; records that didn't change keep their bytes."""
-        rows = self.rows_frame()
+    def _lines(self, rows: DataFrame) -> DataFrame:
         written = cells.record(F.col("fields"), self.delimiter, self.bom, F.col("ending"))
         return rows.select("row", F.coalesce("raw", written).alias("line"))
 
+    def lines(self) -> DataFrame:
+        """``(row, line)``: every data record as it is written; records that didn't change keep their bytes."""
+        return self._lines(self.rows_frame())
+
     def head_line(self) -> bytes:
         code = "latin-1" if self.lifted else "utf-8"
         mark = grammar.BOM if self.bom else b""
@@ -397,50 +476,94 @@ class Sheet:
             return mark + self.head_raw.encode(code)
         return mark + grammar.write([n.encode(code) for n in self.header()], self.dialect.delimiter, self.head_ending.encode(), self.bom)
 
-    def _write(self, lines: DataFrame, destination: str, replace_it: bool = False, mode: int | None = None) -> tuple[int, int]:
-        folder, parts = write_parts(lines, self.lifted)
-        store, root = files.filesystem(folder)
-        rows = sum(n for _, _, n in parts)
-
-        def fill(out):
-            out.write(self.head_line())
-            for _, name, _ in sorted(parts):
-                with store.open_input_stream(f"{root}/{name}") as f:
-                    while data := f.read(1 << 20):
-                        jobs.check()
-                        out.write(data)
+    def _spans(self, folder: str) -> tuple[list[Span], int]:
+        """The data's bytes, in order, and records. Of a file with edits alone, parts without one are ranges of the source as they are; others are written anew, into ``folder``."""
+        untouched = self.index is not None and self.path is not None and files.is_local(folder) and overlay.keeps_order(self.edits)
+        if self.sorted is not None and not self.edits:
+            written = publication.write_lines(self.sorted.lines, folder, self.lifted)
+            return list(written.spans), written.rows
+        if not untouched:
+            keeps = self.in_order and overlay.keeps_order(self.edits)
+            written = publication.write_lines(self.lines() if keeps else self.lines().orderBy("row"), folder, self.lifted)
+            return list(written.spans), written.rows
+        edited = self.index.holding(r for r, _ in self.edits)
+        parts: dict[int, Span] = {}
+        if edited:
+            rows = _records(self.spark, self.path, self.dialect.delimiter, [self.index.splits[i] for i in edited]).where(F.col("row") >= self.data_start)
+            written = publication.write_lines(self._lines(self._with_edits(rows)), folder, self.lifted)
+            parts = dict(zip(edited, written.spans, strict=True))
+        # a new header alone is put before bytes that are copied unread; otherwise all records are checked
+        check = None if self.renames and not edited else self.dialect.delimiter
+        spans = [parts.get(i) or Span(self.path, max(b, self.head_bytes), e, check, grammar.MAX_RECORD) for i, (b, e, _) in enumerate(self.index.splits)]
+        return [s for s in spans if s.size > 0], self.index.records - self.data_start
+
+    def _write(self, made: Callable[[str], tuple[Sequence[Span], int]], destination: str, replace_it: bool = False, mode: int | None = None, unchanged: Callable[[], None] | None = None, verify: Callable[[str], None] = lambda path: None) -> tuple[int, int]:
+        folder = publication.folder_for(destination, shared_dir(self.spark))
+        if len(self.head_line()) > grammar.MAX_RECORD:
+            raise RecordTooLarge(grammar.MAX_RECORD)
 
         def before():
-            self.ensure_source_unchanged()
+            (unchanged or self.ensure_source_unchanged)()
             jobs.commit()
 
         try:
-            if any(n < 0 for _, _, n in parts) or len(self.head_line()) > grammar.MAX_RECORD:
-                raise RecordTooLarge(grammar.MAX_RECORD)
-            size = files.publish(destination, fill, before, replace_it, mode)
+            spans, rows = made(folder)
+            size = publication.publish(self.spark, self.head_line(), spans, destination, before, replace_it, mode, verify)
         finally:
-            store.delete_dir(root)
+            publication.remove(self.spark, folder)
         return rows + int(self.names is not None), size
 
+    def _verify(self, path: str) -> None:
+        """The written file of a sorted sheet holds the records that were sorted."""
+        if self.sorted is None or self.edits:
+            return
+        again = Sheet.open(self.spark, path, delimiter=self.dialect.delimiter, header="first-row" if self.names is not None else "none")
+        got = sorting.fingerprint(again.body.withColumn("_content", _content() if self.lifted else F.encode(_content(), "UTF-8")), "_content").first()
+        if (got["n"], got["mixed"], got["total"]) != (self.sorted.rows, self.sorted.mixed, self.sorted.total):
+            raise InvalidData("the sorted rows differ from the source")
+
     def save_as(self, destination: str, mode: int | None = None) -> tuple[int, int]:
         """A new file with all that is pending; rows and bytes written. The source must not have changed."""
         files.check_destination(self.path, destination)
         self.ensure_source_unchanged()
-        return self._write(self.lines(), destination, mode=mode)
+        return self._write(self._spans, destination, mode=mode, verify=self._verify)
 
     def save(self) -> Sheet:
         """Write over the source, in one step, and open it again."""
-        import os
-
         if self.path is None:
             raise InvalidOption("the sheet has no file")
         if not self.dirty:
             raise OperationRefused("there is nothing to save")
-        if os.path.islink(files.local(self.path)):
-            raise InvalidOption("the file is a link")
+        files.check_overwritten(self.path)
         self.ensure_source_unchanged()
-        self._write(self.lines(), self.path, replace_it=True, mode=os.stat(files.local(self.path)).st_mode & 0o7777)
-        return Sheet.open(self.spark, self.path, delimiter=self.dialect.delimiter, header="first-row" if self.dialect.has_header else "none")
+        self._write(self._spans, self.path, replace_it=True, mode=files.permissions(self.path), verify=self._verify)
+        return self._again(self.path)
+
+    def _again(self, path: str) -> Sheet:
+        return Sheet.open(self.spark, path, delimiter=self.dialect.delimiter, header="first-row" if self.dialect.has_header else "none")
+
+    def working_copy(self, destination: str) -> Sheet:
+        """A private file with all that is pending, opened; it remembers its original. Further edits are saved to the copy, or by ``save_to_original`` to the original."""
+        if self.path is None:
+            raise InvalidOption("the sheet has no file")
+        original = self.original or (self.path, self.stamp)
+        self.save_as(destination, mode=0o600)
+        return replace(self._again(destination), original=original)
+
+    def save_to_original(self) -> Sheet:
+        """Write a working copy, with all that is pending, over its original, in one step. Refused if either has changed meanwhile."""
+        if self.original is None:
+            raise InvalidOption("the sheet is no working copy")
+        path, known = self.original
+        files.check_overwritten(path)
+
+        def unchanged():
+            self.ensure_source_unchanged()
+            files.check_stamp(path, known)
+
+        unchanged()
+        self._write(self._spans, path, replace_it=True, mode=files.permissions(path), unchanged=unchanged, verify=self._verify)
+        return self._again(path)
 
 
 @dataclass(frozen=True)
@@ -486,43 +609,13 @@ class FilteredSheet:
         files.check_destination(self.sheet.path, destination)
         written = cells.record(F.col("fields"), self.sheet.delimiter, self.sheet.bom, F.col("ending"))
         lines = self.matches.select("row", F.coalesce("raw", written).alias("line"))
-        return replace(self.sheet, stamp=None)._write(lines, destination)
+        in_order = self.sheet.in_order
 
+        def made(folder: str):
+            out = publication.write_lines(lines if in_order else lines.orderBy("row"), folder, self.sheet.lifted)
+            return out.spans, out.rows
 
-def write_parts(lines: DataFrame, lifted: bool) -> tuple[str, list[tuple[int, str, int]]]:
-    """Each task of the sorted lines writes a file to a shared folder: the folder, and place, name and rows of each file.
+        return replace(self.sheet, stamp=None)._write(made, destination)
 
-    A task that meets a record over the limit stops and gives -1 rows. The list is written by Spark before it's read, so a task that ran twice
-    counts once.
-    """
-    import uuid
-
-    from .shared import shared_dir
-
-    spark = lines.sparkSession
-    folder = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
-    store, root = files.filesystem(folder)
-    store.create_dir(root, recursive=True)
-    limit = grammar.MAX_RECORD
-
-    def write(batches):
-        store, root = files.filesystem(folder)
-        task, name, n = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
-        out = None
-        for batch in batches:
-            out = out or store.open_output_stream(f"{root}/{name}")
-            values = [v.encode("latin-1" if lifted else "utf-8") for v in batch.column(0).to_pylist()]
-            if max(map(len, values), default=0) > limit:
-                n = -1
-                break
-            out.write(b"".join(values))
-            n += len(values)
-        if out:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "name": [name], "n": pa.array([n], pa.int64())})
-
-    lines.orderBy("row").select("line").mapInArrow(write, "task int, name string, n bigint").write.parquet(f"{folder}/list")
-    return folder, [tuple(r) for r in spark.read.parquet(f"{folder}/list").collect()]
-
-
-__all__ = ["FilteredSheet", "Match", "Sheet", "SortSummary", "SourceChanged", "write_parts"]
+
+__all__ = ["FilteredSheet", "Match", "Sheet", "SortSummary", "SourceChanged"]

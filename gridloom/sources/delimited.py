@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..errors import RecordTooLarge
 from . import grammar
 from .files import filesystem
 
@@ -148,17 +149,19 @@ def refuse(data: bytes, delimiter: bytes, at: int) -> None:
         grammar.parse(whole, delimiter, place)
 
 
-def check(held: bytes, ends: np.ndarray, delimiter: bytes, at: int) -> None:
-    """Raise unless these whole records, at offset ``at`` of their file, are well-formed."""
+def check(held: bytes, ends: np.ndarray, delimiter: bytes, at: int, limit: int = grammar.MAX_RECORD) -> None:
+    """Raise unless these whole records, at offset ``at`` of their file, are well-formed and within the limit."""
     data = np.frombuffer(held, np.uint8)
     starts = np.concatenate([[0], ends[:-1]])
-    long = np.flatnonzero(ends - starts > grammar.MAX_RECORD)
+    long = np.flatnonzero(ends - starts > limit)
     if at == 0 and held.startswith(grammar.BOM):
         starts[0] = 3
     bad = cut(data, starts, ends, delimiter[0])[3] if b'"' in held else -1
     for i in sorted({*long[:1].tolist(), *([bad] if bad >= 0 else [])}):
         begin = int(ends[i - 1]) if i else 0
-        refuse(held[begin : max(int(ends[i]), begin)], delimiter, at + begin)
+        if i != bad:
+            raise RecordTooLarge(limit)
+        refuse(held[begin : int(ends[i])], delimiter, at + begin)
         refuse(held[begin:], delimiter, at + begin)
 
 
