@@ -111,7 +111,14 @@ def build(spark: SparkSession, path: str, size: int, step: int | None = None) ->
         todo = spark.range(0, len(ranges), 1, len(ranges)).selectExpr("id AS i", f"id * {step} AS b", f"least((id + 1) * {step}, {size}) AS e")
         got = todo.mapInArrow(scan, "i bigint, q bigint, a bigint, b bigint, c bigint, d bigint").collect()
         found = [tuple(r)[1:] for r in sorted(got)]
-    index = chain(found, size).within(LIMIT)
+    return completed(chain(found, size), path, size)
+
+
+def completed(index: SplitIndex, path: str, size: int) -> SplitIndex:
+    """The index of a whole file: within the budget, and with the last record, also if it has no line's end."""
+    from ..sources.files import filesystem
+
+    index = index.within(LIMIT)
     if size:
         store, name = filesystem(path)
         with store.open_input_file(name) as f:

@@ -118,8 +118,8 @@ class Sheet:
     # Opening --------------------------------------------------------------
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, rows: int = dialect.HEAD_ROWS, delimiter: bytes | None = None, header: str = "auto", sample_bytes: int = dialect.SAMPLE, limit: int = dialect.HEAD_BYTES, step: int | None = None) -> Sheet:
-        """Detect the dialect on a bounded head and index the file's records."""
+    def open(cls, spark: SparkSession, path: str, rows: int = dialect.HEAD_ROWS, delimiter: bytes | None = None, header: str = "auto", sample_bytes: int = dialect.SAMPLE, limit: int = dialect.HEAD_BYTES, step: int | None = None, index: split_index.SplitIndex | None = None) -> Sheet:
+        """Detect the dialect on a bounded head and index the file's records, unless an index is given."""
         if rows <= 0 or sample_bytes <= 0 or limit <= 0 or sample_bytes > limit:
             raise InvalidOption("open needs rows, a sample and a limit no smaller than it")
         if header not in ("auto", "first-row", "none"):
@@ -139,7 +139,7 @@ class Sheet:
                     data, first = f.read_at(min(limit, size, 4 * len(data)), 0), None
         parsed = [grammar.parse(r, delimiter, at) for at, r in first]
         has_header = dialect.sniff_header(parsed) if header == "auto" else header == "first-row" and bool(parsed)
-        index = split_index.build(spark, path, size, step)
+        index = index or split_index.build(spark, path, size, step)
         bom = sample.startswith(grammar.BOM)
         body = _records(spark, path, delimiter, index.splits).where(F.col("row") >= int(has_header))
         top = first[0][1][3:] if bom and first else first[0][1] if first else b""
@@ -158,6 +158,11 @@ class Sheet:
         body = placed.select("row", F.lit(None).cast("bigint").alias("offset"), F.lit("\n").alias("ending"), F.lit(None).cast("string").alias("raw"), fields.alias("fields"))
         return cls(df.sparkSession, body, tuple(names), dialect.Dialect(b",", False), len(names), lifted=False, in_order=False)._settled()
 
+    def indexed(self, index: split_index.SplitIndex) -> Sheet:
+        """The same file by another index, such as one that reaches further."""
+        body = _records(self.spark, self.path, self.dialect.delimiter, index.splits).where(F.col("row") >= self.data_start)
+        return replace(self, held=body, index=index)
+
     def _settled(self) -> Sheet:
         return replace(self, opened=None)
 

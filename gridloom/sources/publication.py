@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DestinationExists, InvalidData, InvalidOption, RecordTooLarge, SheetError, SourceChanged
 from ..streaming import jobs
+from ..streaming.parts import PartLog
 from . import delimited, files, grammar
 
 #: Bytes that a task holds at a time.
@@ -107,12 +108,14 @@ def copy_span(span: Span, hidden: str, at: int) -> int:
     return wrote
 
 
-def _copied(span: Span, hidden: str, at: int) -> tuple[int, SheetError | None]:
+def _copied(part: int, span: Span, hidden: str, at: int, done: PartLog) -> tuple[int, SheetError | None]:
     """Bytes written, or what is wrong with the records: running the task again wouldn't mend that."""
     try:
-        return copy_span(span, hidden, at), None
+        size = copy_span(span, hidden, at)
     except SheetError as e:
         return 0, e
+    done.commit(part, bytes=size)
+    return size, None
 
 
 def _put(out: int, data: bytes, at: int) -> int:
@@ -131,8 +134,14 @@ def compose(spark: SparkSession, head: bytes, spans: Sequence[Span], hidden: str
         out.write(head)
     if spans:
         jobs.check()
-        todo = [(s, at) for s, at in zip(spans, places, strict=False) if s.size]
-        done = spark.sparkContext.parallelize(todo, max(1, len(todo))).map(lambda x: _copied(x[0], hidden, x[1])).collect() if todo else []  # a number for each span
+        todo = [(i, s, at) for i, (s, at) in enumerate(zip(spans, places, strict=False)) if s.size]
+        to = PartLog(spark, len(spans))
+        jobs.log(to)
+        try:
+            done = spark.sparkContext.parallelize(todo, max(1, len(todo))).map(lambda x: _copied(x[0], x[1], hidden, x[2], to)).collect() if todo else []  # a number for each span
+            to.read()
+        finally:
+            to.remove()
         for _, error in done:
             if error:
                 raise error
@@ -193,7 +202,7 @@ def publish_by_concat(spark: SparkSession, head: bytes, spans: Sequence[Span], d
         parts = [path(s.path) for s in spans]
         if parts:
             short = store.getFileStatus(parts[-1]).getLen() - spans[-1].size
-            array = spark._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts))
+            array = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(parts))
             for i, p in enumerate(parts):
                 array[i] = p
             try:

@@ -13,6 +13,8 @@ from typing import Any
 from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
+from .parts import PartLog, totals
+
 
 class Cancelled(Exception):
     """The operation was asked to stop."""
@@ -38,13 +40,25 @@ def commit() -> None:
             job._committed = True
 
 
+def log(parts: PartLog) -> None:
+    """Let the running operation's progress count what the tasks of a step commit there. The step before is over."""
+    job = _current.get()
+    if job:
+        job._logs.append(parts)
+
+
 @dataclass(frozen=True)
 class Progress:
+    """Tasks of all steps so far; bytes, rows and matches that the present step's tasks have done, each counted once however often it ran."""
+
     tasks: int
     finished: int
     seconds: float
     done: bool
     cancelled: bool
+    bytes: int = 0
+    rows: int = 0
+    matches: int = 0
 
     @property
     def percent(self) -> float:
@@ -59,6 +73,7 @@ class Job:
         self._result: Any = None
         self._error: BaseException | None = None
         self._asked, self._lock, self._committed = threading.Event(), threading.Lock(), False
+        self._logs: list[PartLog] = []
         self._began = time.monotonic()
         self._ended: float | None = None
         self.cancelled = False
@@ -100,7 +115,9 @@ class Job:
                 info = tracker.getStageInfo(stage)
                 if info:
                     tasks, finished = tasks + info.numTasks, finished + info.numCompletedTasks
-        return Progress(tasks, finished, (self._ended or time.monotonic()) - self._began, self._ended is not None, self.cancelled)
+        step = totals(self._logs[-1:])
+        work = {name: step.get(name, 0) for name in ("bytes", "rows", "matches")}
+        return Progress(tasks, finished, (self._ended or time.monotonic()) - self._began, self._ended is not None, self.cancelled, **work)
 
     def wait(self, timeout: float | None = None) -> Any:
         self._thread.join(timeout)
