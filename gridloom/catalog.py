@@ -323,12 +323,21 @@ def sort_tie_check(spark, d):
     return sorting.order_violations(sorting.sort_ordinals(sheet(spark, d, "orders", row=True), 3)).select("adjacencies", F.col("violations").cast("int").alias("violations"))
 
 
-@query("SELECT count(*) AS n, true AS preserved FROM part")
+@query("SELECT count(*) AS n, true AS preserved, true AS placed FROM part")
 def multiset_preserved(spark, d):
+    """The fingerprint of a table's rows against that of the sorted ones as they were written, whose places must be 0, 1, ..."""
+    import uuid
+
+    from .shared import shared_dir
+
     rows = sheet(spark, d, "part", row=True).withColumn("line", cells.record(F.col("fields"), ","))
-    before = sorting.fingerprint(rows, "line")
-    after = sorting.fingerprint(sorting.sorted_rows(rows, 1), "line")
-    return before.union(after).agg(F.max("n").alias("n"), (F.count_distinct("n", "mixed", "total") == 1).alias("preserved"))
+    path = f"{shared_dir(spark)}/sorted-{uuid.uuid4().hex}"
+    sorting.sort_ordinals(rows, 1).select("place", "line").write.parquet(path)
+    written = spark.read.schema("place bigint, line string").parquet(path)
+    placed = (F.min("place") == 0) & (F.max("place") == F.count("*") - 1) & (F.count_distinct("place") == F.count("*"))
+    before = sorting.fingerprint(rows, "line", F.lit(True).alias("placed"))
+    after = sorting.fingerprint(written, "line", placed.alias("placed"))
+    return before.union(after).agg(F.max("n").alias("n"), (F.count_distinct("n", "mixed", "total") == 1).alias("preserved"), F.bool_and("placed").alias("placed"))
 
 
 @query("SELECT CAST(4 * sum(strlen(text)) + 48 * count(*) AS BIGINT) AS bytes FROM documents")
@@ -405,14 +414,15 @@ _FILES: dict[tuple[str, str], str] = {}
 
 
 def _fresh(spark: SparkSession) -> str:
-    import os
+    """A new name in the shared folder, whatever its file system is."""
     import uuid
 
     from .shared import shared_dir
     from .sources import files
 
-    folder = files.local(shared_dir(spark)) + "/sheets"
-    os.makedirs(folder, exist_ok=True)
+    folder = f"{shared_dir(spark)}/sheets"
+    store, root = files.filesystem(folder)
+    store.create_dir(root, recursive=True)
     return f"{folder}/{uuid.uuid4().hex}.csv"
 
 
@@ -520,3 +530,37 @@ def file_sort(spark, d):
 def file_rename_arrange(spark, d):
     out = _saved(spark, documents_file(spark, d).rename({0: "id", 2: "tongue"}).arrange([2, 0])).wide()
     return out.select(*(F.decode(cells.lower(F.col(c)), "UTF-8").alias(c) for c in ("id", "tongue")))
+
+
+@query(f"""SELECT row, CASE WHEN row % 7 = 0 THEN doc_id || ',' || md5(coalesce(text, '')) || ',row ' || row || ',' || source ELSE NULL END AS edited, CASE WHEN row % 7 = 0 THEN NULL ELSE md5(doc_id || ',' || {_quote('text', ',')} || ',' || lang || ',' || source || chr(10)) END AS kept FROM ({_FILE})""")
+def file_edit_many(spark, d):
+    """Every seventh record edited, past what a plan holds as literals: the others keep their bytes."""
+    source = documents_file(spark, d)
+    changes = {(row, 2): f"row {row}" for row in range(7, source.count(), 7)}
+    rows = _saved(spark, source.edit(changes)).rows_frame()
+    f, seventh = F.col("fields"), F.col("row") % 7 == 0
+    cell = lambda i: F.decode(cells.lower(cells.cell(f, i)), "UTF-8")
+    edited = F.concat_ws(",", cell(0), F.md5(cells.lower(cells.cell(f, 1))), cell(2), cell(3))
+    return rows.select("row", F.when(seventh, edited).alias("edited"), F.when(~seventh, F.md5(cells.lower(F.col("raw")))).alias("kept"))
+
+
+@query(f"""SELECT count(*) + 1 AS records, CAST(sum(strlen(doc_id || ',' || {_quote('text', ',')} || ',' || lang || ',' || source) + 1) AS BIGINT) AS data_bytes, 'id,text,"the language, if known",source' AS header FROM ({_FILE})""")
+def file_rename(spark, d):
+    """A new header before bytes that stay as they are."""
+    renamed = documents_file(spark, d).rename({0: "id", 2: "the language, if known"})
+    path = _fresh(spark)
+    rows, size = renamed.save_as(path)
+    head = renamed.head_line()
+    return spark.range(1).select(F.lit(rows).cast("bigint").alias("records"), F.lit(size - len(head)).cast("bigint").alias("data_bytes"), F.lit(head.decode().rstrip("\n")).alias("header"))
+
+
+@query(f"SELECT count(*) + 1 AS records, count(*) FILTER (contains(text, 'the')) AS matches, CAST(sum(strlen(doc_id || ',' || {_quote('text', ',')} || ',' || lang || ',' || source) + 1) + strlen('doc_id,text,lang,source') + 1 AS BIGINT) AS bytes FROM ({_FILE})")
+def file_live(spark, d):
+    """A file opened while it's indexed, filtered while its parts are read: what is there at the end, and the bytes that progress counts."""
+    from .streaming import live
+
+    documents_file(spark, d)
+    opened = live.LiveSheet(spark, _FILES[spark.sparkContext.applicationId, d], header="first-row", delimiter=b",").wait()
+    found = live.filter_live(opened, [Contains(1, "the")])
+    found.job.wait()
+    return spark.range(1).select(F.lit(opened.count()).cast("bigint").alias("records"), F.lit(found.count()).cast("bigint").alias("matches"), F.lit(found.job.progress().bytes).cast("bigint").alias("bytes"))
