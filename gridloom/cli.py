@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from . import verify
 from .errors import InvalidOption, SheetError
-from .operators import sorting
+from .functions import viewport
 from .operators.filters import Contains, Equals
 from .sheet import Sheet
 from .sources import dialect
 from .sources.generate import generate
+from .streaming.live import LiveSheet
 
+#: Fixed value: matches that ``filter`` prints of the beginning, the middle and the end.
+SAMPLE = 100
 _KINDS = {"contains": Contains, "equals": Equals}
 
 
@@ -58,16 +61,38 @@ def cmd_open(args) -> None:
         _print_rows(sheet.rows(args.jump, args.jump_count).collect())
 
 
+def _read_while_indexed(args, took) -> Sheet:
+    """Read from the first to the last row that is there, over and over, until the index ends."""
+    live = LiveSheet(_session(), args.file, delimiter=dialect.parse_delimiter(args.delimiter) if args.delimiter else None)
+    rng, began = random.Random(args.seed), time.perf_counter()
+    while not live.done:
+        sheet = live.sheet()
+        there = sheet.count()
+        if there:
+            at = viewport.start_of(rng.randrange(there), 0, there, args.rows)
+            start = time.perf_counter()
+            sheet.rows(at, args.rows).collect()
+            took.append(1000 * (time.perf_counter() - start))
+        else:
+            time.sleep(0.01)
+    sheet = live.wait()
+    _timed("index", live.job.progress().bytes, began)
+    print(f"{sheet.count()} records, {len(took)} reads while indexing")
+    return sheet
+
+
 def cmd_viewport(args) -> None:
-    sheet, rng, took = _open(args), random.Random(args.seed), {"repeated": [], "sequential": [], "random": []}
-    last = max(0, sheet.count() - args.rows)
+    rng, took = random.Random(args.seed), {"live": [], "repeated": [], "sequential": [], "random": []}
+    sheet = _read_while_indexed(args, took["live"]) if args.live else _open(args)
+    last = viewport.last_start(sheet.count(), args.rows)
     for i in range(args.iterations):
         for name, at in (("repeated", last // 2), ("sequential", min(last, i * args.rows)), ("random", rng.randint(0, last))):
             began = time.perf_counter()
             sheet.rows(at, args.rows).collect()
             took[name].append(1000 * (time.perf_counter() - began))
     for name, ms in took.items():
-        print(f"{name}: min {min(ms):.3f}, p50 {dialect.nearest_rank(ms, 50):.3f}, p95 {dialect.nearest_rank(ms, 95):.3f}, max {max(ms):.3f} ms")
+        if ms:
+            print(f"{name}: min {min(ms):.3f}, p50 {dialect.nearest_rank(ms, 50):.3f}, p95 {dialect.nearest_rank(ms, 95):.3f}, max {max(ms):.3f} ms")
 
 
 def cmd_search(args) -> None:
@@ -84,8 +109,16 @@ def cmd_filter(args) -> None:
     count = found.count()
     print(f"{count} matches")
     _timed("filter", sheet.stamp[0], began)
-    for at in sorted({0, max(0, count // 2 - 50), max(0, count - 100)}) if count else []:
-        _print_rows(found.rows(at, 100).limit(3).collect())
+    sampled, checksum = [], 0
+    for start, n in viewport.sample_ranges(count, SAMPLE):
+        rows = found.rows(start, n).collect()
+        _print_rows(rows)
+        places = [(r["match"], r["row"], r["offset"]) for r in rows]
+        sampled += places
+        checksum = viewport.matches_checksum(((*at, [v.encode("latin-1") for v in r["fields"]]) for at, r in zip(places, rows, strict=True)), checksum)
+    if sampled:
+        first, last = sampled[0], sampled[-1]
+        print(f"{len(sampled)} sampled: match {first[0]} in row {first[1]} at byte {first[2]} to match {last[0]} in row {last[1]} at byte {last[2]}, checksum {checksum:016x}")
 
 
 def cmd_export(args) -> None:
@@ -133,7 +166,7 @@ def cmd_transform(args) -> None:
 def cmd_sort(args) -> None:
     sheet, began = _open(args), time.perf_counter()
     column, falling = dialect.one_based(args.column, "column"), args.order == "desc"
-    print(f"temporary bytes, at most: {sorting.temporary_bytes(sheet.stamp[0], sheet.count())}")
+    print(f"temporary bytes, at most: {sheet.sort_estimate()}")
     source = dialect.digest_of(args.file)
     out, summary = sheet.sort(column, falling)
     rows, size = out.save_as(args.output, mode=0o600)
@@ -174,6 +207,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--iterations", type=int, default=500)
     p.add_argument("--rows", type=int, default=100)
     p.add_argument("--seed", type=int, default=1)
+    p.add_argument("--live", action="store_true")
     p = add("search", cmd_search)
     p.add_argument("--query", required=True)
     p.add_argument("--start-row", default="1")

@@ -20,7 +20,7 @@ from . import grammar
 from .files import filesystem
 
 SCHEMA = "row bigint, offset bigint, raw string, fields array<string>"
-CHUNK = 1 << 20
+CHUNK = 4 << 20
 
 
 class Part(InputPartition):
@@ -82,6 +82,22 @@ def lifted(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def opening(data: np.ndarray, quotes: np.ndarray, delimiter: int, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of every other quote, from the first, open a field, and places of quotes that may not be where they are.
+
+    What precedes a quote with an even number before it, and what follows one
+    with an odd number, isn't inside quotes; so its neighbours tell. Data
+    before ``begin`` don't count.
+    """
+    opens, closes = quotes[::2], quotes[1::2]
+    before = data[np.maximum(opens - 1, 0)]
+    first = (opens == begin) | (before == delimiter) | (before == 10)
+    last = len(data) - 1
+    after, then = (data[np.minimum(closes + i, last)] for i in (1, 2))
+    may = (closes == last) | (after == 34) | (after == delimiter) | (after == 10) | ((after == 13) & (then == 10) & (closes + 2 <= last))
+    return first, np.concatenate([opens[~first & (before != 34)], closes[~may], quotes[-1:] if len(quotes) % 2 else quotes[:0]])
+
+
 def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, delimiter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Of neighbouring records: which bytes are text of their fields, how many of these come before each field's end, how many fields each record has, and the first record that isn't well-formed, or -1.
 
@@ -102,16 +118,7 @@ def cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, delimiter: int)
     dropped, bad = quotes[:0], -1
     if len(quotes):
         cuts = cuts[np.searchsorted(quotes, cuts) % 2 == 0]
-        begins = np.zeros(len(data) + 1, bool)  # of fields
-        begins[starts] = True
-        begins[cuts + 1] = True
-        opens, closes = quotes[::2], quotes[1::2]
-        first = begins[opens]
-        after = np.zeros(len(data) + 1, bool)  # what may follow a field
-        after[cuts] = True
-        after[stops] = True
-        after[opens] = True
-        wrong = np.concatenate([opens[~first & (data[np.maximum(opens - 1, 0)] != 34)], closes[~after[closes + 1]], quotes[-1:] if len(quotes) % 2 else quotes[:0]])
+        first, wrong = opening(data, quotes, delimiter, int(starts[0]))
         if len(wrong):
             bad = int(np.searchsorted(ends, wrong.min(), "right"))
         keep = np.zeros(len(quotes), bool)
@@ -154,9 +161,11 @@ def check(held: bytes, ends: np.ndarray, delimiter: bytes, at: int, limit: int =
     data = np.frombuffer(held, np.uint8)
     starts = np.concatenate([[0], ends[:-1]])
     long = np.flatnonzero(ends - starts > limit)
-    if at == 0 and held.startswith(grammar.BOM):
-        starts[0] = 3
-    bad = cut(data, starts, ends, delimiter[0])[3] if b'"' in held else -1
+    bad = -1
+    if b'"' in held:
+        wrong = opening(data, np.flatnonzero(data == 34), delimiter[0], 3 if at == 0 and held.startswith(grammar.BOM) else 0)[1]
+        if len(wrong):
+            bad = int(np.searchsorted(ends, wrong.min(), "right"))
     for i in sorted({*long[:1].tolist(), *([bad] if bad >= 0 else [])}):
         begin = int(ends[i - 1]) if i else 0
         if i != bad:
