@@ -2,16 +2,16 @@
 
 The network reads the bytes of a running text, forwards and backwards, and
 labels every position with probabilities of the languages; a document's
-probabilities are the means over its positions. States go on across words and
-lines. A text of more than SEGMENT bytes is cut into segments of equal size;
-each is read with WARM bytes more on either side, from which its states begin,
-so no text is too long and segments of all texts advance together.
+probabilities are the means over its positions. States go on from a text's first
+byte to its last. So that many positions advance together, texts are cut into
+segments, which are read at once and then again from the state in which the
+segment before ended, for as long as that makes a difference: what comes out is
+what one pass over the whole text gives, up to rounding.
 """
 
 from __future__ import annotations
 
 import io
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .shared import byte_texts, runs, spread, tidy
+from .shared import byte_texts, runs, spread, tidy, whole_rows
 
-#: Size of the network; bytes of a segment and of the context on its sides; segments that advance together, and numbers kept for them, at most.
-HIDDEN, SEGMENT, WARM, LANES, NUMBERS = 16, 1024, 64, 2048, 16 << 20
-#: Bounds of the training: documents of a language, stretches of one, bytes of a stretch; passes, stretches in a step.
-TRAIN_ROWS, STRETCHES, STRETCH, PASSES, BATCH, RATE = 400, 6, 40, 5, 96, 0.02
+#: Size of the network; bytes of a segment, bytes after which its state is compared, and the difference that rounding makes; numbers kept for positions at most.
+HIDDEN, SEGMENT, CHECK, NEAR, NUMBERS = 16, 1024, 128, 4e-6, 16 << 20
+#: Bounds of the training: documents of a language, and bytes of those of them that are learned, all whole; bytes over which gradients go back; passes at least and at most, and the stretches that they are to come to; stretches in a step.
+TRAIN_ROWS, TRAIN_BYTES, STRETCH, PASSES, STEPS, BATCH, RATE = 400, 300_000, 80, (2, 10), 30_000, 96, 0.02
 SLICE_BYTES = 4 << 20
 UNKNOWN = "und"
 
@@ -46,13 +46,12 @@ class Direction:
     def parameters(self):
         return [self.table, self.own, self.bias]
 
-    def reader(self, rows: int):
-        """``read(bytes, k)``: the states of the first ``k`` of ``rows`` lanes after one more byte of each; buffers are kept between calls."""
+    def reader(self, h: np.ndarray):
+        """``read(bytes, k)``: puts one more byte of each of the first ``k`` lanes into their states ``h``; buffers are kept between calls."""
         size, half = len(self.bias), np.float32(0.5)
         gate_table, table = np.ascontiguousarray(half * self.table[:, : 2 * size]), np.ascontiguousarray(self.table[:, 2 * size :])
         gate_own, own = np.ascontiguousarray(half * self.own[:, : 2 * size]), np.ascontiguousarray(self.own[:, 2 * size :])
-        h = np.zeros((rows, size), np.float32)
-        g, x, n, u = (np.empty((rows, w), np.float32) for w in (2 * size, 2 * size, size, size))
+        g, x, n, u = (np.empty((len(h), w), np.float32) for w in (2 * size, 2 * size, size, size))
 
         def read(byte: np.ndarray, k: int) -> np.ndarray:
             now, gates, more, new, inner = h[:k], g[:k], x[:k], n[:k], u[:k]
@@ -161,38 +160,110 @@ class ByteGRU:
     def texts(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities over the positions of each text; a row of zeros where there is no position."""
         total = np.zeros((len(texts), len(self.languages)))
+        most = max(SEGMENT, NUMBERS // len(self.languages) // SEGMENT * SEGMENT)
+        place = {i: len(t) for i, t in enumerate(texts) if t}
+        group: list[int] = []
+        held = 0
+        for i, size in sorted(place.items(), key=lambda x: x[1]):
+            if held + size > most and group:
+                total[group] = self._group([texts[j] for j in group])
+                group, held = [], 0
+            if size > most:
+                total[i] = self._long(texts[i], most)
+            else:
+                group.append(i)
+                held += size
+        if group:
+            total[group] = self._group([texts[j] for j in group])
+        return total / np.maximum([len(t) for t in texts], 1)[:, None] if texts else total
+
+    def _group(self, texts: list[bytes]) -> np.ndarray:
+        """Sums of the probabilities of each text's positions, of texts with some."""
         size = np.array([len(t) for t in texts], np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        odds = self._odds(np.frombuffer(b"".join(texts), np.uint8), size)[0]
+        return np.add.reduceat(self._pooled(odds), np.cumsum(size) - size, dtype=np.float64)
+
+    def _long(self, text: bytes, most: int) -> np.ndarray:
+        """The same of one text of any length: forward states at the ends of its parts first, then the parts from the last to the first."""
+        begins = list(range(0, len(text), most))
+        there = [np.zeros(len(self.there.bias), np.float32)]
+        for a in begins[:-1]:
+            there.append(self._odds(np.frombuffer(text[a : a + most], np.uint8), np.array([most]), there[-1], None, 1)[1])
+        total, back = np.zeros(len(self.languages)), None
+        for a, state in zip(begins[::-1], there[::-1], strict=True):
+            part = np.frombuffer(text[a : a + most], np.uint8)
+            odds, _, back = self._odds(part, np.array([len(part)]), state, back)
+            total += self._pooled(odds).sum(0, dtype=np.float64)
+        return total
+
+    def _odds(self, data, size, there=None, back=None, ways: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Odds of every position, and the states at the end, forwards, and at the beginning, backwards, of the last and the first text."""
         begin = np.cumsum(size) - size
         owner, first, stop = segments(size)
-        low, high = np.maximum(first - WARM, 0), np.minimum(stop + WARM, size[owner])
-        order = np.argsort(low - high, kind="stable")
-        longest = int((high - low).max()) if len(order) else 1
-        lanes = max(64, min(LANES, NUMBERS // (longest * len(self.languages))))
-        for a in range(0, len(order), lanes):
-            rows = order[a : a + lanes]
-            np.add.at(total, owner[rows], self._lanes(data, begin[owner[rows]] + low[rows], (high - low)[rows], (first - low)[rows], (stop - low)[rows]))
-        return total / np.maximum(size, 1)[:, None]
-
-    def _lanes(self, data, at, length, first, stop) -> np.ndarray:
-        """Sums of the probabilities of the positions from ``first`` to ``stop`` of each lane; lanes by falling length."""
-        steps, half, n = int(length[0]), len(self.there.bias), len(length)
-        alive = np.searchsorted(-length, -np.arange(steps), "left").tolist()
-        odds = np.zeros((steps, len(self.languages), n), np.float32)
-        read = self.there.reader(n)
-        for t, k in enumerate(alive):
-            odds[t, :, :k] = (read(data[at[:k] + t], k) @ self.out[:half]).T
-        read = self.back.reader(n)
-        for t in range(steps - 1, -1, -1):
-            k = alive[t]
-            odds[t, :, :k] += (read(data[at[:k] + t], k) @ self.out[half:]).T
-        out = np.zeros((len(self.languages), n), np.float64)
-        for t in range(0, steps, 64):
-            part = odds[t : t + 64] + self.base[:, None]
-            part = np.exp(part - part.max(1, keepdims=True))
-            when = np.arange(t, t + len(part))[:, None]
-            out += (part * (((first <= when) & (when < stop)) / part.sum(1))[:, None, :].astype(np.float32)).sum(0)
-        return out.T
+        opens = first == 0
+        half = len(self.there.bias)
+        odds = np.repeat(self.base[None, :], len(data), 0)
+        ahead = np.where(opens, -1, np.arange(len(owner)) - 1)
+        ends = self._states(self.there, data, begin[owner] + first, 1, stop - first, ahead, there, self.out[:half], odds)
+        if ways == 1:
+            return odds, ends[-1], None
+        closes = stop == size[owner]
+        behind = np.where(closes, -1, np.arange(len(owner)) + 1)
+        other = np.zeros_like(odds)
+        starts = self._states(self.back, data, begin[owner] + stop - 1, -1, stop - first, behind, back, self.out[half:], other)
+        odds += other
+        return odds, ends[-1], starts[0]
+
+    def _states(self, way: Direction, data, at, step, length, before, given, out, odds) -> np.ndarray:
+        """The state in which each segment ends. ``before`` names the segment from whose end it goes on, or -1; ``odds`` of its positions are put in their places.
+
+        All segments begin from nothing at first; those that should begin from
+        another state are read again from it, until the state is the one that
+        was there before at the same place. A segment of a text is right after
+        as many readings as it has predecessors, at the latest.
+        """
+        hidden = len(way.bias)
+        begin = np.zeros((len(at), hidden), np.float32)
+        if given is not None:
+            begin[before < 0] = given
+        seen = np.full((len(at), -(-SEGMENT // CHECK), hidden), np.nan, np.float32)
+        end = begin.copy()
+        todo = np.arange(len(at))
+        while len(todo):
+            lanes = todo[np.argsort(-length[todo], kind="stable")]
+            h = begin[lanes]
+            for c in range(seen.shape[1]):
+                low = c * CHECK
+                k = int(np.searchsorted(-length[lanes], -low, "left"))
+                end[lanes[k:]] = h[k:]
+                lanes, h = lanes[:k], np.ascontiguousarray(h[:k])
+                if not k:
+                    break
+                steps = min(CHECK, int(length[lanes[0]]) - low)
+                alive = np.searchsorted(-length[lanes], -(low + np.arange(steps)), "left").tolist()
+                read, here = way.reader(h), at[lanes] + step * low
+                for t, k in enumerate(alive):
+                    where = here[:k] + step * t
+                    odds[where] = read(data[where], k) @ out
+                same = (np.abs(seen[lanes, c] - h) <= NEAR).all(1)
+                seen[lanes, c] = h
+                lanes, h = lanes[~same], h[~same]
+            end[lanes] = h
+            nexts = np.flatnonzero(before >= 0)
+            wanted = end[before[nexts]]
+            moved = (np.abs(begin[nexts] - wanted) > NEAR).any(1)
+            todo = nexts[moved]
+            begin[todo] = wanted[moved]
+        return end
+
+    def _pooled(self, odds: np.ndarray) -> np.ndarray:
+        """Probabilities, in place of the odds."""
+        for a in range(0, len(odds), 1 << 16):
+            part = odds[a : a + (1 << 16)]
+            part -= part.max(1, keepdims=True)
+            np.exp(part, out=part)
+            part /= part.sum(1, keepdims=True)
+        return odds
 
 
 def segments(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +279,7 @@ def _softmax(x):
     return e / e.sum(-1, keepdims=True)
 
 
-def fit(words: list[bytes], label: np.ndarray, languages: list[str], passes: int = PASSES, seed: int = 5) -> ByteGRU:
+def fit(words: list[bytes], label: np.ndarray, languages: list[str], passes: int = PASSES[0], seed: int = 5) -> ByteGRU:
     """Adam over steps of words of one length, in an order fixed by ``seed``."""
     net, rng = ByteGRU(languages, seed=seed), np.random.default_rng(seed)
     size = np.array([len(w) for w in words])
@@ -238,20 +309,20 @@ def held_out() -> F.Column:
 
 
 def stretches(text: bytes) -> list[bytes]:
-    """What is learned of a text: the whole of a short one, else STRETCHES stretches from places given by its hash."""
-    room = len(text) - STRETCH
-    if room <= 0:
-        return [text] if text else []
-    return [text[a : a + STRETCH] for a in sorted({zlib.crc32(text, k) % (room + 1) for k in range(STRETCHES)})]
+    """The whole text in stretches over which gradients go back: of equal size, STRETCH bytes at most."""
+    n = -(-len(text) // STRETCH)
+    return [text[len(text) * k // n : len(text) * (k + 1) // n] for k in range(n)]
 
 
-def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> ByteGRU | None:
+def train(documents: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> ByteGRU | None:
     """Learn from a bounded hash sample of each language's documents that aren't held out.
 
-    Every language counts alike: of each at most ``rows`` distinct documents,
-    of whatever length, give a few stretches from all over their text, and
-    these alone travel to the driver. Null texts and languages are left out;
-    without any case there's no model.
+    Every language counts alike: of each at most ``rows`` distinct documents
+    are looked at, in the order of their hash, and those of them that fit into
+    ``size`` bytes together are learned, each whole; of a language none of
+    whose documents fits, the shortest of them. Only these texts travel to the
+    driver. Null texts and languages are left out; without any case there's no
+    model.
     """
     known = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and doc_id is not null").where(~held_out())
     grain = 1 << 40
@@ -259,22 +330,24 @@ def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> ByteGRU | None:
     distinct = ranked.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n")).collect()  # a row for each language
     if not distinct:
         return None
-    keep = documents.sparkSession.createDataFrame([(r["lang"], int(grain * min(1.0, 1.5 * rows / max(r["n"], 1)))) for r in distinct], "lang string, keep bigint")
+    spark = documents.sparkSession
+    keep = spark.createDataFrame([(r["lang"], int(grain * min(1.0, 1.5 * rows / max(r["n"], 1)))) for r in distinct], "lang string, keep bigint")
     near = ranked.join(F.broadcast(keep), "lang").where("rank <= keep")  # a row for each language
-
-    def cut(batches):
-        for batch in batches:
-            held = [(name, rank, k, x) for name, rank, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch.column(2)), strict=True) for k, x in enumerate(stretches(t))]
-            columns = list(zip(*held, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], ["lang", "rank", "k", "x"])
-
-    found = near.select("lang", "rank", "text").mapInArrow(tidy(cut), "lang string, rank bigint, k int, x binary").dropDuplicates(["lang", "rank", "k"])
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("rank", "k"))
-    got = found.withColumn("nth", nth).where(F.col("nth") <= rows * STRETCHES).select("lang", "x").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["lang"], r["x"]))
-    languages = sorted({r["lang"] for r in got})
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("rank"))
+    sizes = near.select("lang", "rank", F.octet_length("text").alias("size")).where("size > 0").dropDuplicates(["lang", "rank"]).withColumn("nth", nth).where(F.col("nth") <= rows).orderBy("lang", "nth").collect()  # ``rows`` numbers for each language
+    chosen = []
+    for name in {r["lang"] for r in sizes}:
+        own = [r for r in sizes if r["lang"] == name]
+        chosen += [(name, own[i]["rank"]) for i in whole_rows([r["size"] for r in own], size)]
+    if not chosen:
+        return None
+    picked = F.broadcast(spark.createDataFrame(chosen, "lang string, rank bigint"))
+    texts = ranked.join(picked, ["lang", "rank"]).dropDuplicates(["lang", "rank"]).select("lang", "text").toArrow()
+    got = sorted((name, x) for name, text in zip(texts["lang"].to_pylist(), texts["text"].to_pylist(), strict=True) for x in stretches(text.encode()))
+    languages = sorted({name for name, _ in got})
     place = {name: i for i, name in enumerate(languages)}
-    return fit([r["x"] for r in got], np.array([place[r["lang"]] for r in got]), languages) if got else None
+    passes = min(PASSES[1], max(PASSES[0], -(-STEPS // len(got))))
+    return fit([x for _, x in got], np.array([place[name] for name, _ in got]), languages, passes=passes)
 
 
 _nets: dict[bytes, ByteGRU] = {}

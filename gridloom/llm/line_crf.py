@@ -10,22 +10,19 @@ of their document.
 from __future__ import annotations
 
 import json
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, place_weights, sample_rows, text_runs, tidy
+from .shared import bound_batches, place_weights, sample_rows, text_runs, tidy, whole_rows
 from .shared import spread as deal
 
-#: Bound of the training sample: rows of labelled documents, and lines of one of them.
-TRAIN_ROWS, TRAIN_LINES = 2500, 400
+#: Bounds of the training sample: rows of labelled documents, and lines of all of them, which are learned whole.
+TRAIN_ROWS, TRAIN_LINES = 2500, 100_000
 #: Lines of a chain that forward-backward goes through one by one; longer chains are cut into such pieces.
 PIECE = 512
-#: Stretches of neighbouring lines that are taken from a longer document.
-STRETCHES = 10
 ROUNDS, RATE, L2 = 150, 0.15, 1e-3
 KEEP = 0.7
 SLICE_BYTES = 1 << 20
@@ -230,26 +227,13 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def spread(lines: int, text: bytes, most: int = TRAIN_LINES) -> np.ndarray:
-    """The lines of a document to learn from: all, or of more than ``most`` a stretch from each of STRETCHES equal parts, placed by hash.
-
-    Stretches follow each other in one chain, so a document counts once; lines'
-    features are of their real neighbours, only the seams' transitions aren't.
-    """
-    if lines <= most:
-        return np.arange(lines)
-    edge = lines * np.arange(STRETCHES + 1) // STRETCHES
-    size = most // STRETCHES
-    shift = [zlib.crc32(str(k).encode(), zlib.crc32(text)) % (int(room) - size + 1) for k, room in enumerate(np.diff(edge))]
-    return (edge[:-1, None] + np.array(shift)[:, None] + np.arange(size)).ravel()
-
-
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     """Fit on a bounded hash sample of labelled documents that aren't held out.
 
     Labels that are null are left out; of several for one id the smallest
-    counts. At most ``rows`` rows are learned from, however often an id comes,
-    and at most TRAIN_LINES lines of each; only lines' features travel to the
+    counts. At most ``rows`` rows are looked at, however often an id comes, in
+    the order of their hash, and those that fit into TRAIN_LINES lines
+    together are learned, each whole; only lines' features travel to the
     driver. Without both labels the
     model is flat: it gives every document the share of good labels, or 1
     where there are no labels at all.
@@ -259,15 +243,23 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> di
     picked = sample_rows(known, rows, "doc_id")  # at most `rows` rows: small enough to send to all
     chosen = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
 
+    most = TRAIN_LINES
+    lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    texts = sample_rows(chosen.withColumn("lines", F.coalesce(lines, F.lit(1))).where(F.col("lines") <= most), rows, "doc_id", "text")
+    name = F.xxhash64("doc_id", "text", "y")
+    sizes = texts.select("doc_id", "lines", "y", name.alias("name")).orderBy(F.xxhash64(F.lit(17), "name"), "lines").collect()  # ``rows`` numbers at most
+    known_names = texts.sparkSession.createDataFrame([(sizes[i]["name"],) for i in whole_rows([r["lines"] for r in sizes], most)], "name bigint")
+
     def features(batches):
         for batch in batches:
             for at, part in text_runs(batch.column(1), SLICE_BYTES):
                 active, per, _ = line_features(part)
                 begin = np.cumsum(per) - per
-                x = [active[b + spread(int(k), t)].astype("<i4").tobytes() for b, k, t in zip(begin, per, part, strict=True)]
+                x = [active[b : b + int(k)].astype("<i4").tobytes() for b, k in zip(begin, per, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(x, pa.binary()), batch.column(2).slice(at, len(part))], ["doc_id", "x", "y"])
 
-    got = sample_rows(chosen.mapInArrow(tidy(features), "doc_id bigint, x binary, y int"), rows, "doc_id", "x").toArrow()
+    picked_texts = texts.withColumn("name", name).join(F.broadcast(known_names.distinct()), "name", "left_semi").select("doc_id", "text", "y")
+    got = picked_texts.mapInArrow(tidy(features), "doc_id bigint, x binary, y int").limit(rows).toArrow()
     label = got["y"].to_numpy().astype(np.int64)
     if len(set(label.tolist())) < 2:
         share = float(label.mean()) if len(label) else 1.0

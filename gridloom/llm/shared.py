@@ -70,6 +70,16 @@ def sample_rows(df: DataFrame, rows: int, *keys: str, seed: int = 17) -> DataFra
     return near.dropDuplicates(["__rank"]).orderBy("__rank").limit(rows).drop("__rank")
 
 
+def whole_rows(sizes: list[int], budget: int) -> list[int]:
+    """Which of some rows, in their order, to take whole so that their sizes come to ``budget`` at most: each that still fits; if none does, the smallest."""
+    out, left = [], budget
+    for i, size in enumerate(sizes):
+        if size <= left:
+            out.append(i)
+            left -= size
+    return out or ([min(range(len(sizes)), key=sizes.__getitem__)] if sizes else [])
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; a null one is empty."""
     return pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary()).to_pylist()

@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import fresh_path, sample_rows, tidy
+from .shared import fresh_path, sample_rows, tidy, whole_rows
 from .words import byte_bpe_encoder
 
 MAGIC = b"TIDS0001"
 FOOTER = struct.Struct("<QQ32s8s")
-#: Documents on which the dictionary is trained and ids of each, at most; and its size in bytes at most.
-DICTIONARY_ROWS, DICTIONARY_IDS, DICTIONARY_BYTES = 400, 16 << 10, 32 << 10
+#: Documents that are looked at for the dictionary, bytes of text of those of them that it's trained on, all whole, and its size in bytes, at most.
+DICTIONARY_ROWS, DICTIONARY_TEXT, DICTIONARY_BYTES = 400, 4 << 20, 32 << 10
 #: Bytes of frames after which a task begins another file.
 SHARD_BYTES = 128 << 20
 END_ID = 0
@@ -65,25 +65,26 @@ def with_end(flat: np.ndarray, counts: np.ndarray, end_id: int = END_ID) -> tupl
 def train_dictionary(documents: DataFrame, vocabulary: str) -> bytes:
     """Dictionary from a bounded hash sample of documents; empty where they're too few to train on.
 
-    Tasks encode the sample; of a document of more than DICTIONARY_IDS ids a
-    stretch of so many travels to the driver, from a place given by its bytes.
+    At most DICTIONARY_ROWS rows are looked at, in the order of their hash;
+    those that fit into DICTIONARY_TEXT bytes together are learned, each
+    whole. Equal rows, ids or texts change nothing but how often a row
+    counts; an empty table gives an empty dictionary.
     """
     import zstandard
 
-    def stretches(batches):
+    def whole(batches):
         code = encoder(vocabulary)
         for batch in batches:
             for part in code.slices(batch.column(0)):
                 ids, bounds = with_end(*code.encode_slice(part))
-                out = []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    if b - a > DICTIONARY_IDS:
-                        a += zlib.crc32(ids[a:b].tobytes()) % (b - a - DICTIONARY_IDS + 1)
-                    out.append(ids[a : min(b, a + DICTIONARY_IDS)].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
-
-    sample = sample_rows(documents.select("doc_id", "text").where("text is not null"), DICTIONARY_ROWS, "doc_id", "text")
-    samples = sorted(sample.select("text").mapInArrow(tidy(stretches), "ids binary").toArrow()["ids"].to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], ["ids"])
+
+    fits = F.octet_length("text") <= DICTIONARY_TEXT
+    sample = sample_rows(documents.select("doc_id", "text").where(F.col("text").isNotNull() & fits), DICTIONARY_ROWS, "doc_id", "text").withColumn("name", F.xxhash64("doc_id", "text"))
+    sizes = sample.select("name", F.octet_length("text").alias("size")).distinct().orderBy(F.xxhash64(F.lit(17), "name")).collect()  # DICTIONARY_ROWS numbers at most
+    names = documents.sparkSession.createDataFrame([(sizes[i]["name"],) for i in whole_rows([r["size"] for r in sizes], DICTIONARY_TEXT)], "name bigint")
+    learned = sample.join(F.broadcast(names), "name", "left_semi").select("text")
+    samples = sorted(learned.mapInArrow(tidy(whole), "ids binary").toArrow()["ids"].to_pylist())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
