@@ -30,8 +30,8 @@ GRAIN = 256
 #: Where column generation stops: distance from the bound, knapsacks at most; and columns that one knapsack may add.
 #: None of them changes what is packed.
 GAP, STEPS, ENTER = 5e-4, 300, 40
-#: Ranks are counted in so many buckets of each length, at least.
-BUCKETS = 64
+#: Ranks are counted in so many buckets of each length, at least, and in as many as leave so many pieces to a bucket, about.
+BUCKETS, BUCKET_PIECES = 64, 100_000
 
 
 def knapsack(lengths: np.ndarray, price: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,13 +271,15 @@ def pack(pieces: DataFrame, size: int = LENGTH) -> DataFrame:
     Pieces of one length are alike, so their ranks are counted by length and
     hash bucket: a length that a third of all pieces share is spread over all
     buckets. The patterns, fewer than two for each length and what best fit
-    adds, travel to the tasks. An empty table stays empty.
+    adds, travel to the tasks. Pieces that agree in document, place and digest
+    have some order among themselves and a place each. An empty table stays
+    empty.
     """
     spark = pieces.sparkSession
     pieces = settle(pieces, "pieces")
     demand = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `size` rows at most
     where = slots(patterns(demand, size))
-    buckets = max(BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-max(demand.values(), default=0) // BUCKET_PIECES))
     keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     base = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     base = base.withColumn("_base", F.sum("_n").over(W.partitionBy("length").orderBy("_bucket")) - F.col("_n")).drop("_n")
