@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from .shared import byte_texts, runs, spread, tidy, whole_rows
 
 #: Size of the network; bytes of a segment, bytes after which its state is compared, and the difference that rounding makes; numbers kept for positions at most.
-HIDDEN, SEGMENT, CHECK, NEAR, NUMBERS = 16, 1024, 128, 4e-6, 16 << 20
+HIDDEN, SEGMENT, CHECK, NEAR, NUMBERS = 16, 2048, 64, 4e-6, 16 << 20
 #: Bounds of the training: documents of a language, and bytes of those of them that are learned, all whole; bytes over which gradients go back; passes at least and at most, and the stretches that they are to come to; stretches in a step.
 TRAIN_ROWS, TRAIN_BYTES, STRETCH, PASSES, STEPS, BATCH, RATE = 400, 300_000, 80, (2, 10), 30_000, 96, 0.02
 SLICE_BYTES = 4 << 20
