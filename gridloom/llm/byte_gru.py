@@ -23,8 +23,8 @@ from pyspark.sql import Window as W
 
 from .shared import byte_texts, runs, spread, tidy, whole_rows
 
-#: Size of the network; bytes of a segment, bytes after which its state is compared, and the difference that rounding makes; numbers kept for positions at most.
-HIDDEN, SEGMENT, CHECK, NEAR, NUMBERS = 16, 2048, 64, 4e-6, 16 << 20
+#: Size of the network; bytes of a segment, bytes after which its state is compared, and the difference that rounding makes; segments that advance together, and numbers kept for positions, at most.
+HIDDEN, SEGMENT, CHECK, NEAR, LANES, NUMBERS = 16, 2048, 64, 4e-6, 4096, 16 << 20
 #: Bounds of the training: documents of a language, and bytes of those of them that are learned, all whole; bytes over which gradients go back; passes at least and at most, and the stretches that they are to come to; stretches in a step.
 TRAIN_ROWS, TRAIN_BYTES, STRETCH, PASSES, STEPS, BATCH, RATE = 400, 300_000, 80, (2, 10), 30_000, 96, 0.02
 SLICE_BYTES = 4 << 20
@@ -230,25 +230,27 @@ class ByteGRU:
         end = begin.copy()
         todo = np.arange(len(at))
         while len(todo):
-            lanes = todo[np.argsort(-length[todo], kind="stable")]
-            h = begin[lanes]
-            for c in range(seen.shape[1]):
-                low = c * CHECK
-                k = int(np.searchsorted(-length[lanes], -low, "left"))
-                end[lanes[k:]] = h[k:]
-                lanes, h = lanes[:k], np.ascontiguousarray(h[:k])
-                if not k:
-                    break
-                steps = min(CHECK, int(length[lanes[0]]) - low)
-                alive = np.searchsorted(-length[lanes], -(low + np.arange(steps)), "left").tolist()
-                read, here = way.reader(h), at[lanes] + step * low
-                for t, k in enumerate(alive):
-                    where = here[:k] + step * t
-                    odds[where] = read(data[where], k) @ out
-                same = (np.abs(seen[lanes, c] - h) <= NEAR).all(1)
-                seen[lanes, c] = h
-                lanes, h = lanes[~same], h[~same]
-            end[lanes] = h
+            order = todo[np.argsort(-length[todo], kind="stable")]
+            for a in range(0, len(order), LANES):
+                lanes = order[a : a + LANES]
+                h = begin[lanes]
+                for c in range(seen.shape[1]):
+                    low = c * CHECK
+                    k = int(np.searchsorted(-length[lanes], -low, "left"))
+                    end[lanes[k:]] = h[k:]
+                    lanes, h = lanes[:k], np.ascontiguousarray(h[:k])
+                    if not k:
+                        break
+                    steps = min(CHECK, int(length[lanes[0]]) - low)
+                    alive = np.searchsorted(-length[lanes], -(low + np.arange(steps)), "left").tolist()
+                    read, here = way.reader(h), at[lanes] + step * low
+                    for t, k in enumerate(alive):
+                        where = here[:k] + step * t
+                        odds[where] = read(data[where], k) @ out
+                    same = (np.abs(seen[lanes, c] - h) <= NEAR).all(1)
+                    seen[lanes, c] = h
+                    lanes, h = lanes[~same], h[~same]
+                end[lanes] = h
             nexts = np.flatnonzero(before >= 0)
             wanted = end[before[nexts]]
             moved = (np.abs(begin[nexts] - wanted) > NEAR).any(1)

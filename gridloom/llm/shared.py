@@ -197,7 +197,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     small-star rounds alternate, each written to the shared folder, until
     every node points at the smallest id of its component. Only the number of
     changed edges reaches the driver. A hub's edges are aggregated by ``min``
-    and joined back, never gathered. Nodes without an edge aren't returned;
+    and joined back, which never gathers them into one row; the join's rows of
+    a hub are split over tasks by the adaptive engine's handling of skew. Nodes without an edge aren't returned;
     an empty input gives an empty result.
     """
     spark = edges.sparkSession
