@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..shared import shared_dir
 
-#: Rows that one window partition or range holds, about; ranges at most.
-ROWS, RANGES = 500_000, 2000
+#: Rows that one window partition or range holds, about; ranges at most, as many rows as are summed up and sent to all tasks.
+ROWS, RANGES = 500_000, 200_000
 #: Bits of a generated id that count within a partition.
 _BITS = 33
 

@@ -46,6 +46,11 @@ class SortSummary:
     total: Any
 
 
+def _cells(spark: SparkSession, path: str, delimiter: bytes, splits, rows: tuple[int, int] | None = None) -> DataFrame:
+    """``(row, offset, fields)`` alone, for what doesn't write records."""
+    return delimited.read(spark, path, delimiter, splits, rows, "row bigint, offset bigint, fields array<string>")
+
+
 def _content() -> Any:
     """Fields as one text that tells them apart."""
     return F.array_join(F.transform("fields", lambda v: F.concat(F.length(v).cast("string"), F.lit(":"), v)), "")
@@ -223,7 +228,14 @@ class Sheet:
         if self.index is None or self.path is None or not wanted:
             return self.body.where(F.col("row").isin(wanted)) if len(wanted) <= overlay.LITERAL_ROWS else self.body
         splits = [self.index.splits[i] for i in self.index.holding(wanted)]
-        return _records(self.spark, self.path, self.dialect.delimiter, splits, (max(wanted[0], self.data_start), wanted[-1]))
+        return _cells(self.spark, self.path, self.dialect.delimiter, splits, (max(wanted[0], self.data_start), wanted[-1]))
+
+    def cells_frame(self) -> DataFrame:
+        """``(row, fields)`` of the data rows with the pending edits, for what doesn't write records."""
+        if self.index is None or self.path is None:
+            return self.rows_frame().select("row", "fields")
+        rows = _cells(self.spark, self.path, self.dialect.delimiter, self.index.splits).where(F.col("row") >= self.data_start)
+        return self._with_edits(rows).select("row", "fields")
 
     def _row(self, row: int) -> list[str]:
         """The fields of one data row, with its edits."""
@@ -312,7 +324,7 @@ class Sheet:
                 splits, width = splits[width:], 2 * width
         for wave in waves:
             jobs.check()
-            rows = wave if isinstance(wave, DataFrame) else self._with_edits(_records(self.spark, self.path, self.dialect.delimiter, wave))
+            rows = wave if isinstance(wave, DataFrame) else self._with_edits(_cells(self.spark, self.path, self.dialect.delimiter, wave))
             hit = search.find_next(rows.select("row", "offset", "fields"), needle, start).first()
             if hit:
                 return Match(hit["row"], hit["column"], hit["offset"])
@@ -374,7 +386,7 @@ class Sheet:
 
     def analyze_split(self, column: int, separator: bytes | str, most: int = cols.MOST_COLUMNS) -> tuple[int, int]:
         """Rows and the most pieces of one of them."""
-        got = cols.split_width(self.rows_frame(), column, self._in(separator)).first()
+        got = cols.split_width(self.cells_frame(), column, self._in(separator)).first()
         if got["max_pieces"] > most:
             raise InvalidOption(f"the split makes more than {most} columns")
         return got["rows_scanned"], got["max_pieces"]
@@ -406,7 +418,7 @@ class Sheet:
         if needle == replacement:
             return None
         out = replacing.replaced(self.rows_frame(), needle, replacement)
-        total = out.agg(F.sum("replacements")).first()[0]
+        total = replacing.replacement_total(self.cells_frame(), needle).first()[0]
         if not total:
             return None
         rows = out.withColumn("raw", F.when(F.col("replacements") == 0, F.col("raw"))).drop("replacements")
@@ -588,9 +600,13 @@ class FilteredSheet:
         """Matches in each part of the file: a number for each 64 MB."""
         if self.sheet.index is None or self.sheet.path is None:
             return None
-        found = {r["part"]: r["n"] for r in self.matches.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()}
+        found = {r["part"]: r["n"] for r in self.places().groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()}
         return [found.get(i, 0) for i in range(len(self.sheet.index.splits))]
 
+    def places(self) -> DataFrame:
+        """``row`` of each match; of a file, partitions are its parts."""
+        return filters.matching(self.sheet.cells_frame(), self.predicates).select("row") if self.predicates else self.matches.select("row")
+
     def count(self) -> int:
         return self.matches.count() if self._by_part is None else sum(self._by_part)
 

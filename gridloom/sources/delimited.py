@@ -216,12 +216,12 @@ class DelimitedReader(DataSourceReader):
             refuse(data[starts[i] : ends[i]].tobytes(), self.delimiter, offset + int(starts[i]))
             refuse(data[starts[i] :].tobytes(), self.delimiter, offset + int(starts[i]))
         columns = {
-            "row": pa.array(np.arange(row, row + len(ends)), pa.int64()),
-            "offset": pa.array(starts + offset, pa.int64()),
-            "raw": lifted(data, np.concatenate([[mark], ends])),
-            "fields": fields,
+            "row": lambda: pa.array(np.arange(row, row + len(ends)), pa.int64()),
+            "offset": lambda: pa.array(starts + offset, pa.int64()),
+            "raw": lambda: lifted(data, np.concatenate([[mark], ends])),
+            "fields": lambda: fields,
         }
-        return pa.RecordBatch.from_arrays([columns[n] for n in self.names], self.names)
+        return pa.RecordBatch.from_arrays([columns[n]() for n in self.names], self.names)
 
 
 class Delimited(DataSource):
@@ -238,9 +238,10 @@ class Delimited(DataSource):
         return DelimitedReader(dict(self.options), schema)
 
 
-def read(spark: SparkSession, path: str, delimiter: bytes, splits, rows: tuple[int, int] | None = None):
+def read(spark: SparkSession, path: str, delimiter: bytes, splits, rows: tuple[int, int] | None = None, columns: str = SCHEMA):
+    """``columns`` of SCHEMA, in its form: no others are made and sent."""
     spark.dataSource.register(Delimited)
-    reader = spark.read.format("delimited").option("delimiter", delimiter.decode("latin-1")).option("splits", json.dumps(list(splits)))
+    reader = spark.read.format("delimited").schema(columns).option("delimiter", delimiter.decode("latin-1")).option("splits", json.dumps(list(splits)))
     if rows:
         reader = reader.option("first_row", rows[0]).option("last_row", rows[1])
     return reader.load(path)

@@ -121,7 +121,7 @@ def filter_live(sheet: Sheet, predicates: Sequence[Predicate]) -> LiveMatches:
 
     def run() -> int:
         log(to)
-        return sum(r["n"] for r in found.matches.select("row").mapInArrow(count, "n bigint").collect())  # a number for each part
+        return sum(r["n"] for r in found.places().mapInArrow(count, "n bigint").collect())  # a number for each part
 
     return LiveMatches(found.sheet, found.matches, found.predicates, Job(sheet.spark, run), to)
 
