@@ -535,7 +535,9 @@ class Sheet:
         if self.sorted is None or self.edits:
             return
         again = Sheet.open(self.spark, path, delimiter=self.dialect.delimiter, header="first-row" if self.names is not None else "none")
-        got = sorting.fingerprint(again.body.withColumn("_content", _content() if self.lifted else F.encode(_content(), "UTF-8")), "_content").first()
+        plain = F.transform("fields", lambda v: F.decode(cells.lower(v), "UTF-8"))  # as a table's sheet has them
+        rows = again.body if self.lifted else again.body.withColumn("fields", plain)
+        got = sorting.fingerprint(rows.withColumn("_content", _content()), "_content").first()
         if (got["n"], got["mixed"], got["total"]) != (self.sorted.rows, self.sorted.mixed, self.sorted.total):
             raise InvalidData("the sorted rows differ from the source")
 

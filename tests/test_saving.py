@@ -283,3 +283,17 @@ def test_threads_share_nothing(spark, file, tmp_path):
     for t in threads:
         t.join()
     assert all((tmp_path / f"{i}.csv").read_bytes() == b"".join(b"q%d,t%d\n" % (i, i) if j == i else line for j, line in enumerate(records(300))) for i in range(3))
+
+
+def test_a_sorted_table_is_saved_and_checked(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(["é", "日本", "", 'a "b"', "z\nz", None, "é", "\ufeffmark", "😀"])]
+    sheet = Sheet.from_dataframe(spark.createDataFrame(rows, "id int, text string"), ["id"])
+    ordered, summary = sheet.sort(1)
+    assert summary.rows == len(rows) and ordered.save_as(str(tmp_path / "out.csv"))[0] == len(rows) + 1
+    again = Sheet.open(spark, str(tmp_path / "out.csv"), header="first-row", delimiter=b",")
+    want = [[str(i), t or ""] for i, t in sorted(rows, key=lambda r: ((r[1] or "").encode(), r[0]))]
+    assert [[v.encode("latin-1").decode() for v in r["fields"]] for r in again.rows_frame().orderBy("row").collect()] == want
+    assert [r["fields"] for r in ordered.rows_frame().orderBy("row").collect()] == want
+    edited = ordered.edit({(1, 1): "edited"})
+    edited.save_as(str(tmp_path / "edited.csv"))
+    assert (tmp_path / "edited.csv").read_bytes().count(b"edited") == 1
