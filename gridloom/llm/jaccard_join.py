@@ -43,8 +43,8 @@ ROUNDS, SHRUNK = 5, 0.8
 SAMPLE_ROWS, RARE, COMMON, SALTS = 4000, 200, 4096, 64
 #: Set names that a task remembers so that copies don't give their keys again.
 REMEMBERED = 500_000
-#: Sets of a cell that are compared with each other: of more, pivots split the cell, one for SHARE sets, PIVOTS at most.
-CELL, SHARE, PIVOTS = 3, 3, 8
+#: Size of a cell that is compared directly, and pivots of a split.
+CELL, PIVOTS = 64, 8
 
 _ORDER = np.random.default_rng(29).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _BLANK = np.zeros(256, bool)
@@ -211,7 +211,6 @@ class Region:
             self.label[core] = np.flatnonzero(core)[0]  # they are connected already
         self.start = self.label.copy()
         self.every, self.found = every, [np.zeros(0, np.int64)]
-        self.ways = {"pivots": 0, "cells": 0, "whole": 0}  # distances measured: to pivots, within cells, within what windows don't divide
 
     def flat(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.bounds[rows + 1] - self.bounds[rows]
@@ -244,47 +243,37 @@ class Region:
 
     def join(self, rows: np.ndarray) -> None:
         """Connect all pairs of ``rows`` within the threshold."""
-        # rows of a cell, and which of them are its own: of the others only pairs with these count
-        todo = [(rows, np.ones(len(rows), bool))]
+        todo = [rows]
         while todo:
-            rows, own = todo.pop()
+            rows = todo.pop()
             if len(rows) < 2 or (not self.every and (self.label[rows] == self.label[rows[0]]).all()):
                 continue
             if len(rows) <= CELL:
-                self.ways["cells"] += int(own.sum()) * len(rows)
-                self.compare(rows[own], rows)
+                self.compare(rows)
                 continue
             items, owner = self.flat(rows)
-            pivots = min(PIVOTS, -(-len(rows) // SHARE))
-            gap = np.empty((len(rows), pivots))
+            gap = np.empty((len(rows), PIVOTS))
             far = np.full(len(rows), np.inf)
             at = int(self.n[rows].argmax())
-            self.ways["pivots"] += pivots * len(rows)
-            for k in range(pivots):
+            for k in range(PIVOTS):
                 mark = np.zeros(self.width, bool)
                 mark[items[owner == at]] = True
                 common = np.bincount(owner, mark[items], len(rows))
-                size = self.n[rows[at]]
-                gap[:, k] = 1 - common / (self.n[rows] + size - common)
-                hit = self.linked(common, self.n[rows], size)
+                own = self.n[rows[at]]
+                gap[:, k] = 1 - common / (self.n[rows] + own - common)
+                hit = self.linked(common, self.n[rows], own)
                 hit[at] = False
                 self.link(rows[hit], np.full(int(hit.sum()), rows[at]))
                 far = np.minimum(far, gap[:, k])
                 far[at] = -1
                 at = int(far.argmax())
-            home = np.where(gap.min(1) + self.reach >= 1, pivots, gap.argmin(1))  # rows near no pivot are a cell of their own
-            for k in range(pivots + 1):
-                mine = own & (home == k)
-                if not mine.any():
-                    continue
-                # a partner's distance to any pivot differs by the threshold's at most
-                low, high = gap[mine].min(0) - self.reach - 1e-9, gap[mine].max(0) + self.reach + 1e-9
-                near = ((gap >= low) & (gap <= high)).all(1)
-                if near.sum() > SHRUNK * len(rows):
-                    self.ways["whole"] += int(mine.sum() * near.sum())
-                    self.compare(rows[mine], rows[near])
+            home = gap.min(1)
+            for k in range(PIVOTS):
+                cell = rows[gap[:, k] <= home + 2 * self.reach + 1e-9]
+                if len(cell) > 0.8 * len(rows):
+                    self.compare(cell)
                 else:
-                    todo.append((rows[near], mine[near]))
+                    todo.append(cell)
 
     def compare(self, rows: np.ndarray, others: np.ndarray | None = None) -> None:
         """All pairs of a cell, or of two, by counting common shingles in dense blocks."""

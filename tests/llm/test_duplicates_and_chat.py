@@ -202,23 +202,6 @@ def test_cells_split_exactly(over):
     assert groups(find) == groups(lambda i: region.label[i])
 
 
-def test_windows_divide_a_region():
-    """Sets that share one shingle and are near in threes: pivots and small cells find all links, and most pairs are never compared."""
-    rng = np.random.default_rng(7)
-    sets = []
-    for k in range(20):
-        own = rng.integers(10, 1 << 40, 60)
-        sets += [np.unique(np.concatenate([own[j:], [1]])).astype(np.uint64) for j in range(3)]
-    region = jaccard_join.Region(sets, 85, 100, every=True)
-    region.join(np.arange(len(sets)))
-    a, b = region.links()
-    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(i, j) for k in range(0, 60, 3) for i, j in ((k, k + 1), (k, k + 2), (k + 1, k + 2))]
-    assert region.ways["whole"] == 0 and 0 < region.ways["cells"] + region.ways["pivots"] < 60 * 59 // 2
-    few = jaccard_join.Region(sets[:5], 85, 100)
-    few.join(np.arange(5))
-    assert few.ways["pivots"] > 0  # a region of a handful goes the same way
-
-
 def _by(of, n):
     out = {}
     for i in range(n):
