@@ -75,6 +75,18 @@ def test_ordinals_of_one_key_use_many_ranges(spark, monkeypatch):
     assert placed.select(F.spark_partition_id().alias("p")).distinct().count() > 2
 
 
+def test_ordinals_of_few_long_rows_use_many_ranges(spark, monkeypatch):
+    """Rows are far fewer than ROWS, but their bytes are more than a task should get."""
+    monkeypatch.setattr(ordinals, "BYTES", 100_000)
+    text = F.repeat(F.sha2(F.col("id").cast("string"), 256), F.lit(16))
+    for long in (text, F.array(text), F.struct(text.alias("t")), text.cast("binary")):
+        df = spark.range(1000).select("id", long.alias("long"), F.lit(None).cast("string").alias("none"))
+        got = ordinals.with_ordinal(df, ["id"], "n")
+        assert len(got.inputFiles()) >= 8
+        assert all(r["n"] == r["id"] for r in got.collect())
+    assert "_range" not in plan(ordinals.with_ordinal(spark.range(1000), ["id"], "n"))
+
+
 def test_deep_ranges_of_matches(spark, monkeypatch):
     from gridloom.operators import filters
 
