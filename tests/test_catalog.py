@@ -8,7 +8,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from gridloom import catalog
+from gridloom import catalog, sheet
 from gridloom.errors import InvalidOption
 from gridloom.functions import cells
 from gridloom.operators import columns, edits, sorting
@@ -87,6 +87,23 @@ def test_ordinals_of_few_long_rows_use_many_ranges(spark, monkeypatch):
     assert "_range" not in plan(ordinals.with_ordinal(spark.range(1000), ["id"], "n"))
 
 
+@pytest.mark.parametrize("name", ["sort_whole_text", "file_index", "file_export", "file_edit", "file_sort"])
+def test_queries_over_texts_in_many_ranges(name, spark, data, oracle, monkeypatch):
+    seen = []
+
+    def counted(df, *rest, **more):
+        out = ordinals.with_ordinal(df, *rest, **more)
+        seen.append(len(out.inputFiles()) if "_range" in plan(out) else 1)
+        return out
+
+    monkeypatch.setattr(ordinals, "BYTES", 50_000)
+    monkeypatch.setattr(catalog, "_FILES", {})
+    for module in (catalog, sorting, sheet):
+        monkeypatch.setattr(module, "with_ordinal", counted)
+    test_query_matches_sql(name, spark, data, oracle)
+    assert max(seen) > 2
+
+
 def test_deep_ranges_of_matches(spark, monkeypatch):
     from gridloom.operators import filters
 
