@@ -559,13 +559,20 @@ def _compared(documents: DataFrame, words: int, over: int, under: int, every: bo
     edges = _small(little, over, under, every)
     if True in found:
         big = settle(placed.where("large").select("name", F.col("pivot").alias("region"), F.ceil(F.col("total") / TASK_ROWS).cast("int").alias("parts")), "large")
-        some = settle(sets.where("large").select("name", "node", "items"), "large-sets")
+        # often a few rows of many files: as many files as tasks run at a time, or as the rows need
+        files = max(documents.sparkSession.sparkContext.defaultParallelism, -(-found[True]["rows"] // (16 * TASK_ROWS)))
+        some = settle(sets.where("large").select("name", "node", "items").coalesce(files), "large-sets")
         cells = settle(big.join(some.select("name", "node"), "name").select("region", "node", F.lit(False).alias("core"), "parts"), "cells")
         for more in _large(cells, some, over, under, every, counts):
             edges = edges.union(more)
     return rows, edges
 
 
+def _settled_links(links: DataFrame) -> DataFrame:
+    """Links as a table of a few files, though hundreds of tasks find a few each; without one a task holds two Python workers, one that compares and one that shrinks the edges."""
+    return settle(links.repartition("src", "dst"), "links")
+
+
 def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
     """``(node, lowest, lowest_twin)``: the smallest id in the group of each set, and the least twin of its rows there."""
     parts = connected_components(links)
@@ -590,14 +597,14 @@ def similar_groups(documents: DataFrame, words: int = WORDS, over: int = OVER, u
     columns aren't read; an empty table gives an empty result.
     """
     rows, links = _compared(documents, words, over, under)
-    links = settle(links, "links")  # else a task holds two Python workers, one that compares and one that shrinks the edges
+    links = _settled_links(links)
     return rows.join(_named(rows, links), "node", "left").select("doc_id", "n_shingles", _group())
 
 
 def first_rows(documents: DataFrame, words: int = WORDS, over: int = OVER, under: int = UNDER) -> DataFrame:
     """``(doc_id, twin)``, each once, of the first row of every group; rows without a shingle are their own."""
     rows, links = _compared(documents, words, over, under)
-    links = settle(links, "links")  # as in similar_groups
+    links = _settled_links(links)
     alone = rows.where("n_shingles = 0").select("doc_id", "twin")
     return _named(rows, links).select(F.col("lowest").alias("doc_id"), F.col("lowest_twin").alias("twin")).union(alone).distinct()
 

@@ -581,3 +581,22 @@ def test_edges_and_regions_are_held_a_part_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "_compared", lambda *a: (spark.createDataFrame([(1, 2, b"%016d" % 1, 1)], "doc_id bigint, twin bigint, node binary, n_shingles bigint"), links))
     jaccard_join.first_rows(None).collect()
     assert made == ["links"]  # one Python worker for a task
+
+
+def test_few_links_of_many_tasks_make_few_files(spark, monkeypatch):
+    """For each file that an executor writes it starts processes, which share its memory at first and may be counted as much again."""
+    from pyspark.sql import functions as F
+
+    links = spark.range(0, 400, 1, 40).select(*(F.lpad(F.expr(f"id div {n}").cast("string"), 16, "0").cast("binary").alias(c) for n, c in ((1, "src"), (10, "dst"))))
+    rows = spark.range(400).select("id", F.col("id").alias("twin"), F.lpad(F.col("id").cast("string"), 16, "0").cast("binary").alias("node"), F.lit(1).alias("n_shingles")).withColumnRenamed("id", "doc_id")
+    files, settle = {}, jaccard_join.settle
+
+    def counted(df, label):
+        out = settle(df, label)
+        files[label] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "settle", counted)
+    monkeypatch.setattr(jaccard_join, "_compared", lambda *a: (rows, links))
+    assert jaccard_join.first_rows(None).count() == jaccard_join.similar_groups(None).select("component_id").distinct().count() == 1
+    assert files["links"] <= 4
